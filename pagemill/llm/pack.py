@@ -181,7 +181,8 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
         if capacity is None or capacity < 1:
             raise ValueError(f"capacity of pack {pack_id} is {capacity}")
     most = max(c for _, c in capacities)
-    items = items.select("id", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
+    # ids and sizes are read several times (range bounds, numbering, what is left over): texts only once
+    items = cut(items.select("id", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")), "pack-sizes")
     kind = items.schema["id"].dataType.simpleString()
     places_of = numbered(items, most)
     histogram = np.zeros(most + 1, dtype=np.int64)
