@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 
 from pyspark.sql import Column
@@ -28,7 +29,6 @@ FUNCTION_WORDS = {
     "ja": "は を に の が で と も た い す る",
 }
 WORDS = {lang: frozenset(text.split()) for lang, text in FUNCTION_WORDS.items()}
-_WORD = re.compile(r"[^\W\d_]+")
 _KANA = re.compile("[぀-ヿ]")
 _HAN = re.compile("[㐀-鿿豈-﫿⼀-⿕]")
 
@@ -42,9 +42,11 @@ def label(column: Column | str) -> Column:
 
 def guess(text: str) -> str:
     """The language of a text by its script; among those of the Latin script by function words."""
-    kana, han = len(_KANA.findall(text)), len(_HAN.findall(text))
-    if kana + han > 0.15 * len(text):
-        return "ja" if kana * 12 > han else "zh-TW"
-    words = [w.lower() for w in _WORD.findall(text)]
-    score = [(sum(w in WORDS[lang] for w in words), -k, lang) for k, lang in enumerate(("en", "de", "fr"))]
+    if not text.isascii():
+        kana = len(_KANA.findall(text))
+        han = len(_HAN.findall(text)) if kana or _HAN.search(text) else 0
+        if kana + han > 0.15 * len(text):
+            return "ja" if kana * 12 > han else "zh-TW"
+    words = Counter(text.lower().split())
+    score = [(sum(words[w] for w in WORDS[lang]), -k, lang) for k, lang in enumerate(("en", "de", "fr"))]
     return max(score)[2]

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm.arrow import code_points, slices
 from pagemill.llm.langs import guess
@@ -80,37 +81,54 @@ def line_kind(line: str) -> int:
 
 def _cells(points: np.ndarray, salt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each context length, the cell of the context that ends at each position (of the positions that have one)."""
-    p = points.astype(np.uint64)
+    p = points.astype(np.uint64) + np.uint64(1)
     h, power = np.zeros(p.size, dtype=np.uint64), np.uint64(1)
     with np.errstate(over="ignore"):
-        for length in range(1, LONGEST + 1):
-            if length > p.size:
-                return
+        for length in range(1, min(LONGEST, p.size) + 1):
             h = h[1:] if length > 1 else h
-            h = h + (p[: p.size - length + 1] + np.uint64(1)) * power
+            # the character furthest from the end carries the highest power
+            h = h + p[: p.size - length + 1] * power
             power = power * _BASE
-            mixed = (h ^ (h >> np.uint64(29)) ^ salt[length - 1 :] * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(length)) * np.uint64(0x94D049BB133111EB)
-            yield length, (mixed >> np.uint64(44)).astype(np.int64)
+            yield length, _mixed(h, salt[length - 1 :], length)
 
 
 def _end_of(text: str) -> tuple[str, int, bool] | None:
-    """(last characters, kind of the last line, whether a mark was taken off); null without a letter or if it ends in a code."""
+    """(text before the stop, kind of the last line, whether a mark was taken off); null for a text without characters."""
     text = text.rstrip()
-    bare = MARK.sub("", text).rstrip()
+    m = MARK.search(text, max(0, len(text) - 60)) if text and text[-1] in "].)>…�" else None
+    bare = text[: m.start()].rstrip() if m else text
     if not bare:
         return None
-    line = bare[bare.rfind("\n") + 1 :]
-    return bare[-200:], line_kind(line), len(bare) < len(text)
+    at = bare.rfind("\n") + 1
+    return bare, line_kind(bare[at : at + 12]), m is not None
+
+
+def _end_cells(ends: list[tuple[str, int]], column: np.ndarray) -> np.ndarray:
+    """For each (text, kind), the cells of the contexts of 1 to LONGEST characters at its end; -1 where it is shorter."""
+    # twice the length leaves room for characters that are dropped
+    points = np.zeros((len(ends), 3 * LONGEST), dtype=np.uint32)
+    for i, (text, _) in enumerate(ends):
+        last = text[-3 * LONGEST :]
+        points[i, 3 * LONGEST - len(last) :] = np.frombuffer(last.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = _folded(points)
+    # dropped characters move to the front, the others keep their order
+    points = np.take_along_axis(points, np.argsort(points > 0, axis=1, kind="stable"), axis=1)[:, -LONGEST:]
+    salt = np.array([k for _, k in ends], dtype=np.uint64) + np.uint64(4) * column.astype(np.uint64)
+    out = np.full((len(ends), LONGEST), -1, dtype=np.int32)
+    p = points.astype(np.uint64)
+    h, power = np.zeros(len(ends), dtype=np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for length in range(1, LONGEST + 1):
+            c = p[:, LONGEST - length]
+            h = h + (c + np.uint64(1)) * power
+            power = power * _BASE
+            out[:, length - 1] = np.where(c > 0, _mixed(h, salt, length), -1)
+    return out
 
 
-def _end_cells(tail: str, kind: int, column: int) -> np.ndarray:
-    points = _folded(np.frombuffer(tail.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-    points = points[points > 0][-LONGEST:]
-    salt = np.full(points.size, kind + 4 * column, dtype=np.uint64)
-    out = np.full(LONGEST, -1, dtype=np.int64)
-    for length, cells in _cells(points, salt):
-        out[length - 1] = cells[-1]
-    return out
+def _mixed(h: np.ndarray, salt: np.ndarray, length: int) -> np.ndarray:
+    m = (h ^ (h >> np.uint64(29)) ^ salt * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(length)) * np.uint64(0x94D049BB133111EB)
+    return (m >> np.uint64(44)).astype(np.int32)
 
 
 def values_of(chunks: DataFrame, gate: DataFrame) -> DataFrame:
@@ -120,21 +138,49 @@ def values_of(chunks: DataFrame, gate: DataFrame) -> DataFrame:
     return contents.unionByName(messages).where("length(trim(text)) > 0")
 
 
+def _ends(values: DataFrame) -> DataFrame:
+    """(run_id, item_id, doc_id, col, lang, marked, text_hash, cells) of every value; ``cells`` is null where nothing can be said (no letter, an ending that is one long code)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "tail"):
+            lang, marked, ends, usable = [], [], [], []
+            for text in b.column("tail").to_pylist():
+                end = _end_of(text)
+                lang.append(guess(text))
+                marked.append(bool(end and end[2] and end[1] in (_TEXT, _HEAD)))
+                ends.append(end[:2] if end else ("", 0))
+                usable.append(bool(end) and not _CODE.search(end[0], max(0, len(end[0]) - 64)) and any(map(str.isalpha, end[0])))
+            cells = _end_cells(ends, b.column("col").to_numpy(zero_copy_only=False))
+            packed = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel(), pa.int32()), LONGEST).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in ("run_id", "item_id", "doc_id", "col")), pa.array(lang, pa.string()), pa.array(marked, pa.bool_()), pa.array(usable, pa.bool_()), b.column("text_hash"), packed],
+                names=["run_id", "item_id", "doc_id", "col", "lang", "marked", "usable", "text_hash", "cells"],
+            )
+
+    # the end decides, and the start of the last line where that line is long; the rest of a text is counted in _count_inside
+    last = F.expr("substring_index(rtrim(text), '\n', -1)")
+    tail = F.when(F.length(last) > 380, F.concat(F.lit("\n"), F.substring(last, 1, 8), F.expr("right(rtrim(text), 390)"))).otherwise(F.expr("right(rtrim(text), 400)"))
+    tails = values.select("run_id", "item_id", "doc_id", "col", F.xxhash64("text").alias("text_hash"), tail.alias("tail"))
+    return tails.mapInArrow(find, "run_id string, item_id string, doc_id string, col int, lang string, marked boolean, usable boolean, text_hash bigint, cells array<int>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, LONGEST)
+
+
 def _count_ends(ends: DataFrame) -> np.ndarray:
     """Ends by cell; equal ends of one document count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
         for b in batches:
-            for col, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                end = _end_of(text)
-                if end:
-                    cells = _end_cells(end[0], end[1], col)
-                    total[cells[cells >= 0]] += 1
+            if b.num_rows:
+                cells = _matrix(b.column("cells")).ravel()
+                total += np.bincount(cells[cells >= 0], minlength=CELLS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
 
-    return _gathered(ends.select("col", "tail").mapInArrow(count, "cell int, n bigint"))
+    return _gathered(ends.where("usable").select("doc_id", "col", "cells").distinct().select("cells").mapInArrow(count, "cell int, n bigint"))
 
 
 def _gathered(counted: DataFrame, column: str = "n") -> np.ndarray:
@@ -180,12 +226,14 @@ def _count_inside(values: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, np.n
                 # the last line of a value isn't counted here: its end is a value's end
                 again = np.r_[flat[2:], 10, 10] != 10
                 stops = (following == 10) & listed & (flat != 10) & again | sentence
+                met: list[np.ndarray] = []
+                shut: list[np.ndarray] = []
                 for length, cells in _cells(flat, salt):
                     hit = keep[cells]
-                    here = inside[length - 1 :] & hit
-                    total += np.bincount(cells[here], minlength=CELLS)
-                    here = stops[length - 1 :] & hit
-                    closed += np.bincount(cells[here], minlength=CELLS)
+                    met.append(cells[inside[length - 1 :] & hit])
+                    shut.append(cells[stops[length - 1 :] & hit])
+                total += np.bincount(np.concatenate(met), minlength=CELLS)
+                closed += np.bincount(np.concatenate(shut), minlength=CELLS)
         at = np.flatnonzero(total | closed)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64()), pa.array(closed[at], pa.int64())], names=["cell", "n", "closed"])
 
@@ -193,61 +241,52 @@ def _count_inside(values: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return _gathered(counted), _gathered(counted, "closed")
 
 
-def _score(tails: DataFrame, ends: np.ndarray, closed: np.ndarray, inside: np.ndarray) -> DataFrame:
-    """``tails`` with log_odds, lang and marked; ``counted`` tells whether a value's own end is among ``ends``."""
-    ends_total, inside_total = max(1, int(ends.sum()) // LONGEST), max(1, int(inside.sum()) // LONGEST)
-    base = ends_total / (ends_total + inside_total)
-    tables = tails.sparkSession.sparkContext.broadcast(((ends + closed).astype(np.float32), inside.astype(np.float32)))
+def _score(ends: DataFrame, counts: np.ndarray, closed: np.ndarray, inside: np.ndarray) -> DataFrame:
+    """``ends`` with log_odds; ``counted`` tells whether a value's own end is among the counts."""
+    total, going = max(1, int(counts.sum()) // LONGEST), max(1, int(inside.sum()) // LONGEST)
+    base = total / (total + going)
+    tables = ends.sparkSession.sparkContext.broadcast(((counts + closed).astype(np.float32), inside.astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop, go = tables.value
         zero = np.log(base / (1 - base))
         for b in batches:
-            out: list[list] = [[], [], []]
-            for col, text, counted in zip(*(b.column(k).to_pylist() for k in ("col", "tail", "counted"))):
-                end = _end_of(text)
-                odds = None
-                if end and any(map(str.isalpha, end[0])) and not _CODE.search(end[0]):
-                    p = prior = base
-                    last = np.inf
-                    for cell in _end_cells(end[0], end[1], col):
-                        if cell >= 0:
-                            e = max(0.0, float(stop[cell]) - counted)
-                            n = e + float(go[cell])
-                            # a longer context that is seen nearly as often is the same evidence: it replaces the last, else it builds on it
-                            if n < last / 2:
-                                prior, last = p, n
-                            p = (e + SMOOTH * prior) / (n + SMOOTH)
-                    p = min(max(p, 1e-9), 1 - 1e-9)
-                    odds = float(np.log(p / (1 - p)) - zero)
-                for column, x in zip(out, (guess(text), odds, bool(end and end[2] and end[1] in (_TEXT, _HEAD)))):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in ("run_id", "item_id", "doc_id", "col", "tail")), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())],
-                names=["run_id", "item_id", "doc_id", "col", "tail", "lang", "log_odds", "marked"],
-            )
-
-    return tails.select("run_id", "item_id", "doc_id", "col", "tail", "counted").mapInArrow(
-        score, "run_id string, item_id string, doc_id string, col int, tail string, lang string, log_odds double, marked boolean"
-    )
+            if not b.num_rows:
+                continue
+            cells, own = _matrix(b.column("cells")), b.column("counted").to_numpy(zero_copy_only=False)
+            p, prior, last = (np.full(b.num_rows, x) for x in (base, base, np.inf))
+            for length in range(LONGEST):
+                cell = cells[:, length]
+                here = cell >= 0
+                e = np.maximum(0.0, stop[cell] - own)
+                n = e + go[cell]
+                # a longer context that is seen nearly as often is the same evidence: it replaces the last, else it builds on it
+                new = here & (n < last / 2)
+                prior, last = np.where(new, p, prior), np.where(new, n, last)
+                p = np.where(here, (e + SMOOTH * prior) / (n + SMOOTH), p)
+            p = np.clip(p, 1e-9, 1 - 1e-9)
+            odds = pa.array(np.log(p / (1 - p)) - zero, pa.float64(), mask=~b.column("usable").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*b.columns, odds], names=[*b.schema.names, "log_odds"])
+
+    return ends.mapInArrow(score, T.StructType([*ends.schema.fields, T.StructField("log_odds", T.DoubleType())]))
 
 
 def scored(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, int, bool], float]]:
-    """(run_id, item_id, doc_id, col, tail, lang, log_odds, marked) of every value, and the thresholds; high log-odds speak for a true end.
+    """(run_id, item_id, doc_id, col, lang, marked, log_odds) of every value, and the thresholds; high log-odds speak for a true end.
 
     Cut values are among the ends that are counted, so the counts are taken again without those that look cut.
     """
-    tails = values.withColumn("tail", F.expr("right(text, 400)")).select("run_id", "item_id", "doc_id", "col", "tail", F.expr("substring_index(right(text, 4000), '\n', -1)").alias("last")).distinct()
-    tails = cut(tails.withColumn("tail", F.expr("if(length(last) > 380, concat(left(last, 6), right(tail, 390)), tail)")).drop("last").withColumn("counted", F.lit(1)), "truncation-tails")
-    ends = _count_ends(tails.select("doc_id", "col", "tail").distinct())
-    inside, closed = _count_inside(values, ends)
-    scores, limits = tails, {}
+    ends = cut(_ends(values), "truncation-ends")
+    counts = _count_ends(ends)
+    inside, closed = _count_inside(values, counts)
+    own: Column = F.lit(1)
     for _ in range(ROUNDS):
-        scores = cut(_score(scores, ends, closed, inside), "truncation-scores")
-        limits = thresholds(scores)
-        scores = scores.withColumn("counted", F.coalesce(F.col("log_odds") >= _limit(limits) + DOUBT, F.lit(True)).cast("int"))
-        ends = _count_ends(scores.where("counted = 1").select("doc_id", "col", "tail").distinct())
-    scores = cut(_score(scores, ends, closed, inside), "truncation-scores")
+        scores = cut(_score(ends.withColumn("counted", own).drop("keep"), counts, closed, inside), "truncation-scores")
+        limit = _limit(thresholds(scores))
+        ends = scores.withColumn("keep", F.coalesce(F.col("log_odds") >= limit + DOUBT, F.lit(True)).cast("int")).drop("counted", "log_odds")
+        counts = _count_ends(ends.where("keep = 1"))
+        own = F.col("keep")
+    scores = cut(_score(ends.withColumn("counted", own).drop("keep"), counts, closed, inside).drop("cells"), "truncation-scores")
     return scores, thresholds(scores)
 
 
@@ -285,7 +324,7 @@ def truncated(chunks: DataFrame, gate: DataFrame) -> DataFrame:
     return (
         scores.join(followed, ["run_id", "item_id"], "left")
         .withColumn("cut", F.coalesce(F.col("log_odds") < _limit(limits), F.lit(False)) & F.col("goes_on").isNull())
-        .drop("goes_on", "tail")
+        .drop("goes_on", "usable", "text_hash", "counted")
     )
 
 
