@@ -225,7 +225,11 @@ def _count_inside(values: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, np.n
                 listed = (salt == 4 * column + _ENTRY) | (salt == 4 * column + _ROW)
                 # the last line of a value isn't counted here: its end is a value's end
                 again = np.r_[flat[2:], 10, 10] != 10
-                stops = (following == 10) & listed & (flat != 10) & again | sentence
+                # menu names end in dots of their own, which scoring takes off
+                far = np.r_[flat[1:], 10, 10, 10, 10, 10]
+                dotted = (far[: flat.size] == 46) & (far[1 : flat.size + 1] == 46) & (far[2 : flat.size + 2] == 46) & (far[3 : flat.size + 3] == 10) & (flat != 46)
+                stops = ((following == 10) & again | dotted) & listed & (flat != 10) | sentence
+                inside &= ~(dotted & listed)
                 met: list[np.ndarray] = []
                 shut: list[np.ndarray] = []
                 for length, cells in _cells(flat, salt):
