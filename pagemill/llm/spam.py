@@ -34,20 +34,41 @@ SPAM = {"words": 0.0, "entropy": 0.6, "repetition": 0.65, "phrases": 0.7}
 FLOOR = np.array([0.08, 0.02, 0.02, 0.03, 0.04, 0.04, 0.02])
 LEAST, WINDOW, FEW = 12, 60, 50
 #: 0.999 quantile of chi-squared with seven degrees of freedom; the least share of the way from the centre to pure spam.
-CUTOFF, SHARE, ROUNDS = 24.32, 0.4, 3
+CUTOFF, SHARE, ROUNDS = 24.32, 0.42, 3
 
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|href=|<a\b|</a>|\]\(|\b[a-z0-9\-]+\.(?:example|test|invalid|com|org|net|info|biz|shop|online|site)\b(?:/\S*)?", re.I)
-_SENTENCE = re.compile(r"[A-ZÀ-ÖØ-Þ0-9«\"„][^.!?。！？\n#·|]{18,}(?:[.,]\d[^.!?。！？\n#·|]*)*[.!?](?=\s|$)|[^。！？\n#·|]{6,}[。！？]")
-_TOKEN = re.compile(r"[^\W\d_]+|[぀-ヿ㐀-鿿]")
+_PIECE = re.compile(r"[^.!?。！？\n#·|]++[.!?。！？]?+|[.!?。！？]++|[\n#·|]++")
+_LINKED = ("://", "www.", "](", "</a>", "href=", ".example", ".test", ".invalid", ".com", ".org", ".net", ".info", ".biz", ".shop", ".online", ".site", "WWW.", ".COM")
 _WORD = re.compile(r"[a-zß-öø-ɏ]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _MARK = re.compile(r"[#·|;•►»]|>>| / |\b[A-Z]{2,4}\d{1,4}\b")
 _CUT = re.compile(r"[\n,，、;；|·•#＃►»>\[\]()（）。！？]+|\s[-/]\s|(?<=[぀-ヿ㐀-鿿])\s+|[.!?]\s|\x00")
-_SEP = re.compile(r"[^\w぀-ヿ㐀-鿿]+")
 
 
-def features(text: str) -> tuple[list[float], int]:
-    """The seven numbers, and the number of tokens."""
+def _windows(ids: np.ndarray) -> tuple[float, float]:
+    """(entropy relative to its maximum, repetition) of the tokens, as means over windows of WINDOW tokens."""
+    n = ids.size
+    full = n // WINDOW
+    sizes = [WINDOW] * full + ([n - full * WINDOW] if n - full * WINDOW >= (LEAST if full else 1) else [])
+    entropy = repeated = 0.0
+    if full:
+        rows = np.sort(ids[: full * WINDOW].reshape(full, WINDOW), axis=1)
+        new = np.ones((full, WINDOW), dtype=bool)
+        new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        at = np.flatnonzero(new.ravel())
+        p = np.diff(np.r_[at, full * WINDOW]) / WINDOW
+        entropy -= float((p * np.log(p)).sum()) / np.log(WINDOW)
+        repeated += full - at.size / WINDOW
+    if len(sizes) > full:
+        k = sizes[-1]
+        p = np.unique(ids[full * WINDOW :], return_counts=True)[1] / k
+        entropy -= float((p * np.log(p)).sum()) / max(np.log(k), 0.7)
+        repeated += 1 - p.size / k
+    return entropy / len(sizes), repeated / len(sizes)
+
+
+def features(text: str) -> tuple[list[float], int, str]:
+    """The seven numbers, the number of tokens and the language by script and function words."""
     text = fold(text)
     size = max(1, sum(map(len, text.split())))
     links = 0
@@ -57,38 +78,45 @@ def features(text: str) -> tuple[list[float], int]:
         links += len(m[0])
         return "\x00"
 
-    bare = _LINK.sub(drop, text)
-    prose, sentences = 0, []
+    bare = _LINK.sub(drop, text) if any(x in text for x in _LINKED) else text
     lang = guess(bare)
     own = WORDS[lang]
-    for m in _SENTENCE.finditer(bare):
-        s = m[0]
-        if lang in ("zh-TW", "ja"):
-            good = bool(_CJK.search(s)) and (any(w in s for w in own) or not _SEP.search(s[:-1])) or len(_WORD.findall(s.lower())) >= 6
-        else:
-            words = _WORD.findall(s.lower())
-            good = sum(w in own for w in words) * 12 >= len(words) or bool(_CJK.search(s))
-        if good and (k := _TOKEN.findall(s)) and len({(a, b) for a, b in zip(k, k[1:])}) >= 0.7 * (len(k) - 1):
-            prose += sum(map(len, s.split()))
+    prose = held = spaces = 0
+    stopped = False
+    for piece in _PIECE.findall(bare):
+        last = piece[-1]
+        if last in "\n#·|":
+            if stopped and spaces >= 4 and held >= 18:
+                prose += held - spaces
+            held = spaces = 0
+            continue
+        # a point inside a number or code doesn't end a sentence: what follows it doesn't start with a space
+        if held and piece[0].isspace() and stopped:
+            if spaces >= 4 and held >= 18:
+                prose += held - spaces
+            held = spaces = 0
+        held += len(piece)
+        spaces += piece.count(" ")
+        stopped = last in ".!?"
+        if last in "。！？":
+            if held >= 6:
+                prose += held - spaces
+            held = spaces = 0
+    if held >= 18 and spaces >= 4 and stopped:
+        prose += held - spaces
     lower = bare.lower()
     words = _WORD.findall(lower)
-    wide = _CJK.findall(lower)
-    tokens = words + [a + b for a, b in zip(wide, wide[1:])]
-    n = len(tokens)
+    wide = [] if lower.isascii() else _CJK.findall(lower)
+    n = len(words) + max(0, len(wide) - 1)
     if not n:
-        return [0.0, 0.0, links / size, 0.0, 0.0, 0.0, 0.0], 0
-    rate = (sum(w in own for w in words) / max(1, len(words))) if len(words) * 2 > len(wide) else sum(w in own for w in wide) / max(1, len(wide))
-    entropy, repeated, full = 0.0, 0.0, 0
-    for i in range(0, n, WINDOW):
-        part = tokens[i : i + WINDOW]
-        if len(part) < LEAST and full:
-            break
-        c = Counter(part)
-        k = len(part)
-        p = np.fromiter(c.values(), dtype=np.float64) / k
-        entropy += float(-(p * np.log(p)).sum() / max(np.log(k), 0.7))
-        repeated += 1 - len(c) / k
-        full += 1
+        return [0.0, 0.0, links / size, 0.0, 0.0, 0.0, 0.0], 0, lang
+    counted = Counter(wide if len(words) * 2 <= len(wide) else words)
+    rate = sum(counted[w] for w in own) / max(1, counted.total())
+    ids = np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
+    if len(wide) > 1:
+        points = np.frombuffer("".join(wide).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        ids = np.concatenate([ids, points[:-1] << 21 | points[1:]])
+    entropy, repeated = _windows(ids)
     phrases = [x for x in (" ".join(p.split()) for p in _CUT.split(lower)) if len(x) > 1]
     again, parts = 0.0, 0
     for i in range(0, len(phrases), WINDOW):
@@ -98,7 +126,7 @@ def features(text: str) -> tuple[list[float], int]:
         again += 1 - len(set(part)) / len(part)
         parts += 1
     marks = len(_MARK.findall(bare)) / n
-    return [prose / size, rate, links / size, entropy / full, repeated / full, again / max(1, parts), min(marks, 1.0)], n
+    return [prose / size, rate, links / size, entropy, repeated, again / max(1, parts), min(marks, 1.0)], n, lang
 
 
 def measured(documents: DataFrame) -> DataFrame:
@@ -108,8 +136,7 @@ def measured(documents: DataFrame) -> DataFrame:
         for b in slices(batches, "text"):
             out: list[list] = [[] for _ in range(len(NAMES) + 2)]
             for text, given in zip(b.column("text").to_pylist(), b.column("given").to_pylist()):
-                made, n = features(text)
-                lang = guess(text)
+                made, n, lang = features(text)
                 if lang not in ("zh-TW", "ja") and made[1] < 0.05 and given in ("en", "de", "fr"):
                     lang = given
                 for column, x in zip(out, (lang, n, *made)):
