@@ -25,29 +25,29 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.arrow import slices
 from pagemill.llm.langs import LANGS, guess, label
-from pagemill.llm.lookalike import TO_LATIN, fold
+from pagemill.llm.lookalike import IGNORABLE, TO_LATIN, fold
 from pagemill.llm.truncation import MARK
 from pagemill.sources.tables import table
 
 #: Cells of the hashed n-grams; landmarks; labelled chunks of the training sample (its bound) and units of it that are fitted; ridge.
 CELLS, LANDMARKS, SAMPLE, UNITS, RIDGE = 1 << 15, 240, 3000, 6000, 0.05
 _MAX_N = 4
-_BREAK = re.compile(r"(?<=[。！？])[」』）]*|(?<=[.!?])[\"'”»)]*\s+(?=[\"'“«「(]?[A-ZÀ-ÖØ-Þ0-9぀-ヿ㐀-鿿])|(?<=[.!?])(?=[぀-ヿ㐀-鿿])")
-_CODES = re.compile(r"[A-Za-z0-9_./\\:+#<>|@=&%\-]*[0-9@\\][A-Za-z0-9_./\\:+#<>|@=&%\-,]*|https?\S+")
+_SENTENCE = re.compile(r"[^.!?。！？]*+(?:[.!?]++(?!\s|$|[぀-ヿ㐀-鿿\"'”»)])[^.!?。！？]*+)*+(?:[.!?。！？]++[\"'”»」』）)]*+\s*+|$)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _ENTRY = re.compile(r"\s*(?:[-*•・·◦‣📎]|\d{1,3}[.)、）．]|[a-z][.)])\s+")
 _LABEL = re.compile(r"\s*[^\s:：。.]{1,14}[:：]\s*\S{0,40}$")
 _WHOLE = re.compile(r"[.!?。！？][\"'”»」』）)]*$")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _CJK_RUN, _LATIN = re.compile("[぀-ヿ㐀-鿿]+"), re.compile("[a-zß-öø-ɏ]+")
+_ASCII = {c: chr(c).lower() if chr(c).isalpha() else " " for c in range(128)}
+_DIRT = re.compile(rf"[{IGNORABLE}\u0300-\u052f\u2f00-\u2fdf\uf900-\ufaff\ufb00-\ufb06\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f]")
 _LOOK = re.compile("[" + "".join(TO_LATIN) + "]")
 
 
 def units(text: str) -> list[tuple[str, bool]]:
     """(unit, whole): sentences, headings, list entries and table rows in order; ``whole`` marks complete sentences."""
-    text = fold(text) if not text.isascii() else text
-    if _LOOK.search(text):
-        text = _LOOK.sub(lambda m: TO_LATIN[m[0]], text)
+    if not text.isascii() and _DIRT.search(text):
+        text = _LOOK.sub(lambda m: TO_LATIN[m[0]], fold(text))
     out: list[tuple[str, bool]] = []
     block: list[str] = []
     first = True
@@ -67,7 +67,10 @@ def units(text: str) -> list[tuple[str, bool]]:
         block.clear()
         if last and (m := MARK.search(joined)):
             joined = joined[: m.start()]
-        for part in _BREAK.split(joined):
+        for part in _SENTENCE.findall(joined):
+            # a stop before a small letter was that of an abbreviation
+            if out and out[-1][1] and part[:1].islower() and out[-1][0][-1:] == "." and not first:
+                part = out.pop()[0] + " " + part
             part = part.strip()
             if part:
                 whole = bool(_WHOLE.search(part)) and not part.endswith("..") and not _LABEL.match(part)
@@ -90,12 +93,14 @@ def units(text: str) -> list[tuple[str, bool]]:
 
 
 def letters(unit: str) -> str:
-    """A unit's letters in lower case, with one space between words; codes and numbers dropped.
+    """A unit's letters in lower case, with one space between words; numbers dropped.
 
     Where CJK and Latin letters mix, those of the script with more words stay (menu names and quoted signs aren't the
     language of a sentence).
     """
-    x = _NOT_LETTER.sub(" ", _CODES.sub(" ", unit)).strip().lower()
+    if unit.isascii():
+        return " ".join(unit.translate(_ASCII).split())
+    x = _NOT_LETTER.sub(" ", unit).strip().lower()
     wide = _CJK.findall(x)
     if not wide or not (latin := _LATIN.findall(x)):
         return x
@@ -103,22 +108,28 @@ def letters(unit: str) -> str:
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(unit, cell) of all distinct n-grams of the units, sorted: the sparse presence matrix."""
-    lengths = np.array([len(t) + 2 for t in texts], dtype=np.int64)
-    flat = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
+    """(unit, cell) of all distinct n-grams of at most 65,536 units, sorted: the sparse presence matrix."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    flat = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
+    owner = np.r_[owner, owner[-1:]] if owner.size else owner
     keys = []
-    h = np.zeros(flat.size, dtype=np.uint64)
+    h = flat
     with np.errstate(over="ignore"):
         for n in range(1, _MAX_N + 1):
             if flat.size < n:
                 break
-            h = h[: flat.size - n + 1] * np.uint64(0x100000001B3) + flat[n - 1 :] if n > 1 else flat + np.uint64(7)
-            cell = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64)
-            inside = owner[: owner.size - n + 1] == owner[n - 1 :]
-            keys.append((owner[: owner.size - n + 1] * CELLS + cell)[inside])
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return key // CELLS, key % CELLS
+            h = h[: flat.size - n + 1] * np.uint32(0x01000193) + flat[n - 1 :] if n > 1 else flat + np.uint32(7)
+            cell = (h ^ h >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(17)
+            first = owner[: owner.size - n + 1]
+            key = first << np.uint32(15) | cell
+            # n-grams that reach from one unit over a space into the next
+            keys.append(key if n < 3 else key[first == owner[n - 2 : owner.size - 1]])
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = np.sort(np.concatenate(keys))
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    return (key >> np.uint32(15)).astype(np.int64), (key & np.uint32(CELLS - 1)).astype(np.int64)
 
 
 def _dense(texts: list[str]) -> np.ndarray:
@@ -161,13 +172,9 @@ def hash_of(text: str) -> int:
 def score(texts: list[str], coefficients: np.ndarray) -> np.ndarray:
     """Scores by language: presence matrix times coefficients, over the norm of the unit."""
     unit, cell = presence(texts)
-    out = np.zeros((len(texts), len(LANGS)), dtype=np.float64)
-    if not unit.size:
-        return out
-    start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-    size = np.diff(np.r_[start, unit.size])
-    out[unit[start]] = np.add.reduceat(coefficients[cell].astype(np.float64), start) / np.sqrt(size)[:, None]
-    return out
+    size = np.bincount(unit, minlength=len(texts))
+    out = np.stack([np.bincount(unit, coefficients[:, k].take(cell), minlength=len(texts)) for k in range(len(LANGS))], axis=1)
+    return out / np.sqrt(np.maximum(size, 1))[:, None]
 
 
 def run_labels(gate: DataFrame) -> DataFrame:
@@ -205,7 +212,7 @@ def classify(chunks: DataFrame, coefficients: np.ndarray) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float, float]] = {}
-        g = shared.value
+        g = np.asfortranarray(shared.value)
         for b in slices(batches, "content", 1_000_000):
             rows: list[tuple[int, int, str, bool, int]] = []
             fresh: dict[str, None] = {}
@@ -214,7 +221,7 @@ def classify(chunks: DataFrame, coefficients: np.ndarray) -> DataFrame:
                     x = letters(u)
                     if x and x not in known:
                         fresh[x] = None
-                    rows.append((i, k, x, whole and (len(x.split()) >= 4 or len(_CJK.findall(x)) >= 6), len(u)))
+                    rows.append((i, k, x, whole and (x.count(" ") >= 3 or not x.isascii() and len(_CJK.findall(x)) >= 6), len(u)))
             if len(known) > 400_000:
                 kept = {x for _, _, x, _, _ in rows}
                 known = {x: v for x, v in known.items() if x in kept}
@@ -249,7 +256,7 @@ def _parts(texts: list[str], chars: int) -> Iterator[list[str]]:
     for t in texts:
         part.append(t)
         n += len(t)
-        if n > chars:
+        if n > chars or len(part) == 1 << 16:
             yield part
             part, n = [], 0
     if part:
