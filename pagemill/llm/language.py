@@ -1,6 +1,6 @@
 """Problem 2: languages of chunks and of the passages in them.
 
-Blended-spectrum kernel: a unit (a sentence, heading or entry) is the set of its character n-grams of 1 to 4
+Blended-spectrum kernel: a unit (a sentence, heading or entry) is the set of its character n-grams of 1 to 3
 characters; the kernel of two units is the cosine of their sets. A bounded sample of chunks whose run has a
 language label trains one-versus-rest kernel ridge regression on Nyström landmarks; since labels are wrong in places,
 the fit is repeated once without the units that contradict their label. Scoring needs the kernel with the landmarks
@@ -31,7 +31,7 @@ from pagemill.sources.tables import table
 
 #: Cells of the hashed n-grams; landmarks; labelled chunks of the training sample (its bound) and units of it that are fitted; ridge.
 CELLS, LANDMARKS, SAMPLE, UNITS, RIDGE = 1 << 15, 240, 3000, 6000, 0.05
-_MAX_N = 4
+_MAX_N = 3
 _SENTENCE = re.compile(r"[^.!?。！？]*+(?:[.!?]++(?!\s|$|[぀-ヿ㐀-鿿\"'”»)])[^.!?。！？]*+)*+(?:[.!?。！？]++[\"'”»」』）)]*+\s*+|$)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _ENTRY = re.compile(r"\s*(?:[-*•・·◦‣📎]|\d{1,3}[.)、）．]|[a-z][.)])\s+")
