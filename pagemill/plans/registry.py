@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "chunk_estimates"
+from pagemill.plans import composite, queries as basic
+
+FLAGSHIP = "document_report"
 
 
 def queries() -> dict:
-    return {}
+    return basic.QUERIES | composite.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return basic.SQL | composite.SQL
