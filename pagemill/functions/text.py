@@ -153,4 +153,5 @@ def html_to_markdown(c: Column | str) -> Column:
         ("<[^>]*>", ""),
     ):
         x = F.regexp_replace(x, pattern, to)
-    return F.trim(F.regexp_replace(decode_entities(x), "\\n[ \\t]*\\n(?:[ \\t]*\\n)+", "\n\n"))
+    x = F.regexp_replace(decode_entities(x), "\\n[ \\t]*\\n(?:[ \\t]*\\n)+", "\n\n")
+    return F.regexp_replace(x, "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")

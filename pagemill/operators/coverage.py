@@ -15,12 +15,12 @@ def grams(text: Column | str, n: int = 4) -> Column:
 
 
 def covers(source: Column | str, delivered: Column | str, least: float = 0.98) -> Column:
-    """Whether a delivered text holds a source passage: empty passages do; numbers must all be there; then as a substring, or for passages of 12 characters or more by the share of 4-grams."""
+    """Whether a delivered text holds a source passage: empty passages are held, null ones give null; numbers must all be there; then as a substring, or for passages of 12 characters or more by the share of 4-grams."""
     s, d = normalized_text(source), normalized_text(delivered)
     there = F.size(F.array_except(numbers(source), numbers(delivered))) == 0
     own = grams(source)
     share = F.size(F.array_intersect(own, grams(delivered))) / F.greatest(F.size(own), F.lit(1))
-    return F.when(s == "", F.lit(True)).when(~there, F.lit(False)).when(F.contains(d, s), F.lit(True)).when(F.length(s) < 12, F.lit(False)).otherwise(share >= least)
+    return F.when(s.isNull(), F.lit(None).cast("boolean")).when(s == "", F.lit(True)).when(~there, F.lit(False)).when(F.contains(d, s), F.lit(True)).when(F.length(s) < 12, F.lit(False)).otherwise(share >= least)
 
 
 def survival(passages: DataFrame, texts: DataFrame, key: str, passage: str, text: str) -> DataFrame:
