@@ -45,6 +45,8 @@ _FOREIGN = re.compile(r"[\u0370-\u052f]")
 SWITCH = 14.0
 #: Letters a script counts for before any text is seen.
 PRIOR_LETTERS = 5.0
+#: What the script of the rest of a text weighs against the letter scores of a token.
+PRIOR_WEIGHT = 4.0
 _ALPHABET = 64
 
 
@@ -83,7 +85,7 @@ class LetterModel:
 
     def _prior(self, seen: tuple[int, ...]) -> np.ndarray:
         n = np.asarray(seen, dtype=np.float64)
-        return np.log((PRIOR_LETTERS * self.share + n) / (PRIOR_LETTERS + n.sum()))
+        return PRIOR_WEIGHT * np.log((PRIOR_LETTERS * self.share + n) / (PRIOR_LETTERS + n.sum()))
 
     def token(self, token: str, seen: tuple[int, ...]) -> str:
         """The best path through the lattice of ``token``; ``seen`` counts the text's letters of each script that have no look-alike."""

@@ -26,7 +26,7 @@ from pagemill.functions.tokens import token_estimate
 from pagemill.sources.tables import cut, table
 
 #: Share of the capacity that a combination may leave unused; lengths tried for each leading length; update steps.
-WINDOW, PARTNERS, STEPS = 0.004, 6, 150
+WINDOW, PARTNERS, STEPS = 0.004, 6, 300
 
 
 def combinations(sizes: np.ndarray, stock: np.ndarray, capacity: int) -> list[tuple[tuple[int, int], ...]]:
@@ -41,6 +41,8 @@ def combinations(sizes: np.ndarray, stock: np.ndarray, capacity: int) -> list[tu
     found: dict[tuple, None] = {}
     for lead in sizes.tolist():
         most = capacity // lead
+        # a length that no combination carries into the window still gets the fullest ones there are
+        best: list[tuple[int, tuple]] = []
         for times in sorted({1, max(1, most // 2), most}):
             room = capacity - lead * times
             if room <= window:
@@ -50,29 +52,38 @@ def combinations(sizes: np.ndarray, stock: np.ndarray, capacity: int) -> list[tu
                 for n in sorted({1, max(1, room // second // 2), room // second}):
                     rest = room - second * n
                     last = int(below[rest]) if rest > 0 else 0
+                    made: dict[int, int] = {}
+                    for length, k in ((lead, times), (second, n), (last, 1 if last else 0)):
+                        if k:
+                            made[length] = made.get(length, 0) + k
+                    pattern = tuple(sorted(made.items(), reverse=True))
                     if rest - last <= window:
-                        made: dict[int, int] = {}
-                        for length, k in ((lead, times), (second, n), (last, 1 if last else 0)):
-                            if k:
-                                made[length] = made.get(length, 0) + k
-                        found[tuple(sorted(made.items(), reverse=True))] = None
+                        found[pattern] = None
+                        best = [(-1, ())]
+                    elif not best or best[0][0] >= 0:
+                        best = sorted({*best, (rest - last, pattern)})[:4]
+        for unused, pattern in best:
+            if unused >= 0:
+                found[pattern] = None
     return list(found)
 
 
 def repeat_counts(patterns: list[tuple[tuple[int, int], ...]], stock: np.ndarray) -> np.ndarray:
     """Non-negative least squares of pattern counts against the histogram by multiplicative updates.
 
-    ``A x`` is to be ``stock``, with A non-negative; x is multiplied by (A' stock) / (A' A x) until it settles.
+    ``A x`` is to be ``stock``, with A non-negative, and a row weighs as the square of its length (what stays unplaced is
+    counted by volume); x is multiplied by (A' W stock) / (A' W A x) until it settles.
     """
     column = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     row = np.array([length for p in patterns for length, _ in p], dtype=np.int64)
     weight = np.array([k for p in patterns for _, k in p], dtype=np.float64)
     n = len(patterns)
-    target = np.bincount(column, weight * stock[row], minlength=n)
+    volume = np.arange(stock.size, dtype=np.float64) ** 2
+    target = np.bincount(column, weight * (volume * stock)[row], minlength=n)
     x = np.full(n, stock.sum() / max(1.0, weight.sum()))
     for _ in range(STEPS):
         made = np.bincount(row, weight * x[column], minlength=stock.size)
-        x *= target / np.maximum(np.bincount(column, weight * made[row], minlength=n), 1e-12)
+        x *= target / np.maximum(np.bincount(column, weight * (volume * made)[row], minlength=n), 1e-12)
     return x
 
 
@@ -85,10 +96,11 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, in
     patterns = combinations(sizes, left[sizes], capacity) if sizes.size else []
     if patterns:
         x = repeat_counts(patterns, left.astype(np.float64))
-        for k in np.argsort(-x, kind="stable"):
+        # large items first: they depend on the small ones that close their containers
+        for k in np.lexsort((-x, [-p[0][0] for p in patterns])):
             n = int(round(x[k]))
             if n <= 0:
-                break
+                continue
             n = min(n, *(int(left[s]) // m for s, m in patterns[k]))
             if n > 0:
                 out.append((patterns[k], n))

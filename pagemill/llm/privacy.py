@@ -75,8 +75,8 @@ _NO_NAME = frozenset(
     "The A An If In On At For From Until When Where While After Before During Each Every Please Reviewed Ms Mr Mrs Dr According Write Quote Serial Batch Open Select Move Use Two One Laut Nach Bei Bis Ab Der Die Das Im Am Auf Le La Les Un Une Si Pour Office Team Desk Room Unit Centre Group Board Pool Section".split()
 )
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*$"), re.compile(r"\s?[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*")
-_ID_VALUE = re.compile(r"[\s:：.#(]*(?:(?:no|nr|number|n°|nº|id|is|lautet)(?![A-Za-z])[.:]?)?[\s:：]*((?:[A-Za-z][A-Za-z0-9_.\-]*\\[A-Za-z0-9_.\-]+)|[A-Z]{0,4}(?:[ \-]?\d[\dA-Z]*)+(?:[ \-][A-Z](?![\w]))?)(?![A-Za-z\d])")
-_ACCOUNT = re.compile(r"(?<![A-Za-z0-9\\])[A-Za-z][A-Za-z0-9\-]{1,20}\\[A-Za-z][A-Za-z0-9_.\-]*\d[A-Za-z0-9_.\-]*")
+_ID_VALUE = re.compile(r"[\s:：.#(]*(?:(?:no|nr|number|n°|nº|id|is|lautet)(?![A-Za-z])[.:]?)?[\s:：]*((?:[A-Za-z][A-Za-z0-9_.\-]*\\[A-Za-z0-9_.\-]*[A-Za-z0-9_])|[A-Z]{0,4}(?:[ \-]?\d[\dA-Z]*)+(?:[ \-][A-Z](?![\w]))?)(?![A-Za-z\d])")
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9\\])[A-Za-z][A-Za-z0-9\-]{1,20}\\[A-Za-z][A-Za-z0-9_.\-]*\d(?:[A-Za-z0-9_.\-]*[A-Za-z0-9_])?")
 _SHAPES = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2} \d\d \d\d \d\d [A-D]|[A-Z][1289]\d{8})(?![A-Za-z0-9])")
 _PHONE = re.compile(
     r"(?<![A-Za-z0-9.,/+\-])(?:\+\d{1,3}[ \-.]?(?:\(0\)[ \-.]?)?(?:\(?\d{1,4}\)?[ \-./]?){2,5}\d{2,}|\(0\d{0,3}\) ?\d{3,4}[ \-]?\d{3,4}|\(\d{3}\) ?\d{3}[ \-]\d{4}|0\d{1,4}(?:[ \-./]\d{2,8}){1,4}|0\d{8,10}|\d{3}([-. ])\d{3}\1\d{4})"
