@@ -109,7 +109,7 @@ def _automaton() -> ahocorasick.Automaton:
             found.setdefault(cue, set()).add(kind)
     out = ahocorasick.Automaton()
     for cue, kinds in found.items():
-        out.add_word(cue, (len(cue), tuple(kinds)))
+        out.add_word(cue, (len(cue), tuple(k for k in kinds if k != _A), _A in kinds))
     out.make_automaton()
     return out
 
@@ -119,6 +119,11 @@ _SLOW = re.compile(rf"[{IGNORABLE}\ufb00-\ufb06\uff61-\uffdc\u0300-\u036f\u2f00-
 _DROP = re.compile(rf"[{IGNORABLE}]")
 
 
+@lru_cache(20_000)
+def _flat(c: str) -> str:
+    return unicodedata.normalize("NFKC", c).translate(_WIDTH)
+
+
 def folded(text: str) -> tuple[str, list[int] | None]:
     """The text without dirt, and for each of its characters the place in the stored text (null: the same)."""
     if text.isascii():
@@ -128,12 +133,16 @@ def folded(text: str) -> tuple[str, list[int] | None]:
     out: list[str] = []
     where: list[int] = []
     for i, c in enumerate(text):
+        if c < "\x7f":
+            out.append(c)
+            where.append(i)
+            continue
         if _DROP.match(c):
             continue
         if out and unicodedata.combining(c) and len(both := unicodedata.normalize("NFC", out[-1] + c)) == 1:
             out[-1] = both
             continue
-        for x in unicodedata.normalize("NFKC", c).translate(_WIDTH):
+        for x in _flat(c):
             out.append(x)
             where.append(i)
     return "".join(out), where
@@ -151,7 +160,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if len(lower) != len(plain):
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
     anchors: list[list[tuple[int, int]]] = [[] for _ in range(6)]
-    for end, (size, kinds) in _automaton().iter(lower):
+    placed = False
+    for end, (size, kinds, place) in _automaton().iter(lower):
+        placed |= place
         for kind in kinds:
             anchors[kind].append((end + 1 - size, end + 1))
     spans: list[tuple[int, int, str]] = []
@@ -193,7 +204,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             add(m.start(1), m.end(1), "id_number")
     for m in _SHAPES.finditer(plain):
         add(m.start(), m.end(), "id_number")
-    if anchors[_A]:
+    if placed:
         for pattern in _ADDRESSES:
             for m in pattern.finditer(plain):
                 if add(m.start(), m.end(), "address"):
