@@ -98,6 +98,22 @@ _ADDRESSES = (
     re.compile(r"(?:[㐀-鿿]{2,10}郵便局)?私書箱(?:第 ?)?\d+号?"),
 )
 
+#: For each form of an address, groups of which the text must hold one part each; without them its parser has no anchor.
+_PARTS = (
+    (("Box",),),
+    (tuple(f" {w}" for w in _WAYS.split("|")),),
+    (("straße", "strasse", "str.", "weg ", "gasse ", "platz ", "allee ", "ring ", "ufer ", "damm ", "graben ", "steig "),),
+    ((",",), tuple(f"{d} " for d in range(10))),
+    (("Postfach",),),
+    (("rue ", "allée ", "chemin ", "avenue ", "boulevard ", "impasse ", "place ", "quai ", "cours ", "route ", "square ", "passage "),),
+    (("BP ", "B.P.", "boîte postale"),),
+    (("號",), ("市", "縣"), ("路", "街", "大道", "巷", "弄")),
+    (("信箱",),),
+    (("都", "道", "府", "県"), ("市", "区", "郡", "町", "村"), ("丁目", "番", "号", "-")),
+    (("私書箱",),),
+)
+_POSTCODE = re.compile(r",\s\d{5}\s")
+
 _E, _I, _P, _A, _B, _C = range(6)
 
 
@@ -205,7 +221,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for m in _SHAPES.finditer(plain):
         add(m.start(), m.end(), "id_number")
     if placed:
-        for pattern in _ADDRESSES:
+        for k, (pattern, parts) in enumerate(zip(_ADDRESSES, _PARTS, strict=True)):
+            if not all(any(x in plain for x in group) for group in parts) or k == 3 and not _POSTCODE.search(plain):
+                continue
             for m in pattern.finditer(plain):
                 if add(m.start(), m.end(), "address"):
                     starts.append(m.start())
