@@ -155,3 +155,68 @@ def html_to_markdown(c: Column | str) -> Column:
         x = F.regexp_replace(x, pattern, to)
     x = F.regexp_replace(decode_entities(x), "\\n[ \\t]*\\n(?:[ \\t]*\\n)+", "\n\n")
     return F.regexp_replace(x, "^[ \\t\\n\\r]+|[ \\t\\n\\r]+$", "")
+
+
+# small forms ------------------------------------------------------------------------------------------------------
+
+
+def rejoin_urls(c: Column | str) -> Column:
+    """A link broken by a space before its tail is glued, three times at most."""
+    x = col(c)
+    for _ in range(3):
+        x = F.regexp_replace(x, "(https?://[A-Za-z0-9._/-]*[/._-])[ \\n]+([a-z0-9][A-Za-z0-9._/-]*)", "$1$2")
+    return x
+
+
+def clean_symbols(c: Column | str) -> Column:
+    """Box symbols written as formulas."""
+    x = col(c)
+    # Formulas and their characters.
+    for formula, char in (("$\\square$", "☐"), ("$\\boxtimes$", "☒"), ("$\\checkmark$", "✓"), ("$\\bigcirc$", "○"), ("$\\rightarrow$", "→")):
+        x = F.replace(x, F.lit(formula), F.lit(char))
+    return x
+
+
+def strip_asset_tokens(c: Column | str) -> Column:
+    return F.regexp_replace(col(c), "\\[\\[asset:[^\\]]*\\]\\]", "")
+
+
+def truncate_text(c: Column | str, limit: int, marker: str = "…") -> Column:
+    return F.when(F.length(col(c)) > limit, F.concat(F.substring(col(c), 1, limit), F.lit(marker))).otherwise(col(c))
+
+
+def version_text(c: Column | str) -> Column:
+    """The first version or revision stamp, empty without one."""
+    return F.regexp_extract(col(c), "((?:[vV]|Ver\\.? ?|Rev\\.? ?)[0-9]+(?:\\.[0-9]+)+)", 1)
+
+
+def is_watermark(c: Column | str) -> Column:
+    """A line that is a short number, a date stamp or a document code."""
+    x = F.trim(col(c))
+    return x.rlike("^[0-9]{1,4}$") | x.rlike("^[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}$") | x.rlike("^[A-Z]{2,4}-[0-9]{3,6}$")
+
+
+def looks_like_prose(c: Column | str) -> Column:
+    """Sentence punctuation inside or at the end, or a list marker."""
+    return col(c).rlike("[。！？；]|[.!?;](?: |$)") | col(c).rlike("^[ ]*(?:[-*•]|[0-9]{1,3}[.)]) ")
+
+
+def is_generic_title(c: Column | str) -> Column:
+    return F.lower(F.trim(col(c))).rlike("^(?:table|figure|page|form|untitled|表|圖|附件)?[ .:#_-]*[0-9]*$")
+
+
+def is_noise_fact(c: Column | str) -> Column:
+    """Whole numbers of one or two digits and fallback column names."""
+    return col(c).rlike("^[0-9]{1,2}$") | F.lower(col(c)).rlike("^(?:column|col|欄)[ _]?[0-9]+$")
+
+
+def canonical_hash(json: Column | str, schema: str) -> Column:
+    """Hash of a JSON text that doesn't depend on the order of keys or on white space."""
+    return F.sha2(F.to_json(F.from_json(col(json), schema)), 256)
+
+
+def page_range(pages: Column | str) -> Column:
+    """``a``, ``a-b`` for pages without a gap, else a list."""
+    p = F.array_sort(F.array_distinct(col(pages)))
+    n, low, high = F.size(p), F.array_min(p), F.array_max(p)
+    return F.when(n <= 0, "").when(n == 1, low.cast("string")).when(high - low + 1 == n, F.concat(low.cast("string"), F.lit("-"), high.cast("string"))).otherwise(F.array_join(F.transform(p, lambda x: x.cast("string")), ","))

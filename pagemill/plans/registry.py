@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pagemill.plans import composite, queries as basic
+from pagemill.plans import composite, more
+from pagemill.plans import queries as basic
 
 FLAGSHIP = "document_report"
 
 
 def queries() -> dict:
-    return basic.QUERIES | composite.QUERIES
+    return basic.QUERIES | more.QUERIES | composite.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return basic.SQL | composite.SQL
+    return basic.SQL | more.SQL | composite.SQL
