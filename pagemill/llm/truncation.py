@@ -36,7 +36,7 @@ CELLS, LONGEST, SMOOTH = 1 << 20, 8, 4.0
 ROUNDS, DOUBT = 2, 4.5
 #: What may stand after the stop.
 MARK = re.compile(r"(?:\s*(?:\[\s*(?:\.{2,}|…+)\s*\]|\(\s*(?:\.{2,}|…+)\s*\)|\.{2,}|…+|�+|[\[(<]\s*(?:truncated|cut|continued|more)[^\])>]*[\])>]))+\s*$", re.I)
-_CODE = re.compile(r"[0-9A-Za-z+/=]{32,}$")
+_CODE = re.compile(r"[0-9A-Za-z+/=]{32,}[.。]?$")
 _LIST = re.compile(r"\s*(?:[-*•・·◦‣–📎>]|\d{1,3}[.)、）．]|[a-z][.)])\s+")
 _TEXT, _ENTRY, _ROW, _HEAD = range(4)
 
