@@ -62,7 +62,7 @@ def _fold_table() -> np.ndarray:
 
 
 _FOLD = _fold_table()
-_STOPS = np.array([ord(x) for x in ".!?。！？"], dtype=np.uint32)
+_STOPS = np.isin(np.arange(0x10000), [ord(x) for x in ".!?。！？"])
 _CAPITAL = np.fromiter((chr(c).isupper() or c >= 0x3000 for c in range(0x10000)), dtype=bool, count=0x10000)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -219,15 +219,18 @@ def _count_inside(values: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, np.n
                 salt = np.repeat(kind, np.diff(np.r_[starts, flat.size])) + np.uint64(4 * column)
                 following = np.r_[flat[1:], 10]
                 # a sentence that ends inside a text might end it: such a place is an end, not a continuation
-                closes = np.isin(flat, _STOPS)
+                closes = _STOPS[np.minimum(flat, 0xFFFF)]
                 sentence = closes & (flat >= 0x3000) | closes & ((following == 32) | (following == 10)) & np.r_[capital[2:], True, True]
                 inside = (following != 10) & (flat != 10) & ~sentence
                 listed = (salt == 4 * column + _ENTRY) | (salt == 4 * column + _ROW)
                 # the last line of a value isn't counted here: its end is a value's end
                 again = np.r_[flat[2:], 10, 10] != 10
                 # menu names end in dots of their own, which scoring takes off
-                far = np.r_[flat[1:], 10, 10, 10, 10, 10]
-                dotted = (far[: flat.size] == 46) & (far[1 : flat.size + 1] == 46) & (far[2 : flat.size + 2] == 46) & (far[3 : flat.size + 3] == 10) & (flat != 46)
+                points = np.flatnonzero(flat == 46)
+                points = points[(points > 0) & (points + 3 < flat.size)]
+                points = points[(flat[points + 1] == 46) & (flat[points + 2] == 46) & (flat[points + 3] == 10) & (flat[points - 1] != 46)] - 1
+                dotted = np.zeros(flat.size, dtype=bool)
+                dotted[points] = True
                 stops = ((following == 10) & again | dotted) & listed & (flat != 10) | sentence
                 inside &= ~(dotted & listed)
                 met: list[np.ndarray] = []
