@@ -8,8 +8,8 @@ times the coefficients, which is one product of the sparse presence matrix of a
 (n-gram x language) matrix; repeated units of a batch are scored once.
 
 Defined results: null and empty contents give no rows; a unit without letters takes the language of the unit before it;
-ties go to the language that comes first in ``LANGS``; repeated rows give equal rows; training without any label raises
-ValueError.
+ties go to the language that comes first in ``LANGS``; repeated rows give equal rows; without any labelled sentence all
+scores are 0, so that no language leads and nothing is found.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def train(chunks: DataFrame, gate: DataFrame) -> np.ndarray:
     keyed = chunks.where("length(content) > 40").select("run_id", "chunk_id").withColumn("h", F.xxhash64("run_id", "chunk_id")).join(labelled, "run_id").orderBy("h", "run_id", "chunk_id").limit(SAMPLE)
     keys = [(r["run_id"], r["chunk_id"], r["label"]) for r in keyed.collect()]
     if not keys:
-        raise ValueError("no run has a language label")
+        return np.zeros((CELLS, len(LANGS)), dtype=np.float32)
     spark = chunks.sparkSession
     wanted = spark.createDataFrame(keys, "run_id string, chunk_id string, label string")
     rows = chunks.join(F.broadcast(wanted), ["run_id", "chunk_id"]).select("content", "label").distinct().collect()
@@ -199,7 +199,7 @@ def train(chunks: DataFrame, gate: DataFrame) -> np.ndarray:
             if whole and len(x) >= 8:
                 texts.append(x)
                 labels.append(LANGS.index(r["label"]))
-    return fit(texts[:UNITS], labels[:UNITS])
+    return fit(texts[:UNITS], labels[:UNITS]) if texts else np.zeros((CELLS, len(LANGS)), dtype=np.float32)
 
 
 #: Slope of the softmax over scores that gives the confidence; the least lead over the next language that a foreign sentence needs.

@@ -9,7 +9,7 @@ numbered by a range sort on (size, id), so that a frequent size is spread over t
 tell the container.
 
 Defined results: an item above the capacity gets a container of its own (``oversized``); empty and null texts have
-size 0 and go to the first container; a null capacity or one below 1 is refused with ValueError; two items may
+size 0 and go to the first container; no capacity, a null one or one below 1 is refused with ValueError; two items may
 share an id and each gets its place; equal sizes are placed in the order of ids.
 """
 
@@ -189,6 +189,8 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
 
     ``container`` counts from 0 within a pack; an oversized item's container is null, it is alone in it.
     """
+    if not capacities:
+        raise ValueError("no capacity is given")
     for pack_id, capacity in capacities:
         if capacity is None or capacity < 1:
             raise ValueError(f"capacity of pack {pack_id} is {capacity}")

@@ -8,7 +8,7 @@ before it: the longest run of whole words (of characters, in scripts without spa
 
 Defined results: null and empty texts and texts within the limit give no pieces; an overlap of half the limit or
 more is lowered to half the limit; a limit below 8 or null takes the default; a text without any boundary is cut at
-characters; repeated rows of a key give one set of pieces, of the latest ``written_at``.
+characters; repeated rows of a key give one set of pieces, of the latest ``written_at``; a null key stays null.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def split_oversized(chunks: DataFrame, runs: DataFrame) -> DataFrame:
                 parts = pieces(text, limit, overlap)
                 for k, (o, a, e) in enumerate(parts, 1):
                     piece = text[o:e]
-                    row = (run, chunk, f"{chunk}_part{k}", k, len(parts), piece, a - o, _Sizes(piece).of(0, len(piece)))
+                    row = (run, chunk, None if chunk is None else f"{chunk}_part{k}", k, len(parts), piece, a - o, _Sizes(piece).of(0, len(piece)))
                     for column, x in zip(out, row):
                         column.append(x)
             types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64())

@@ -327,3 +327,39 @@ def test_spam(spark):
 def test_queries_run(spark, name):
     df = registry.queries()[name](spark, DATA)
     assert df.select([F.col(c) for c in df.columns]).count() >= 0
+
+
+# edge cases of all ---------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def hard(spark, tmp_path):
+    """Tables with nulls in every column, empty and very long texts, ties and repeated rows, and an empty copy of each."""
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    for name in ("docs", "runs", "chunks", "quality_gate", "documents", "eval_items", "pack_specs"):
+        df = spark.read.parquet(f"{DATA}/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+        more = df.limit(30)
+        if name not in ("pack_specs",):
+            nulls = spark.createDataFrame([tuple(None for _ in df.columns)] * 2, df.schema)
+            more = more.unionByName(more).unionByName(nulls)
+        text = {"chunks": "content", "documents": "text", "quality_gate": "message"}.get(name)
+        if text:
+            first = df.limit(1)
+            for value in ("", " ", "\n\n", "word " * 60_000, "表" * 90_000, "\ufffd" * 50, "a"):
+                more = more.unionByName(first.withColumn(text, F.lit(value)))
+        more.withColumn("item", F.lit(1)).withColumn("spam", F.lit("x")).coalesce(3).write.parquet(f"{tmp_path}/hard/{name}.parquet")
+    return tmp_path
+
+
+def test_edge_cases(spark, hard):
+    for name, q in registry.queries().items():
+        q(spark, f"{hard}/hard").collect()
+        if name not in ("p7_found", "p7_containers", "p7_fill"):
+            assert q(spark, f"{hard}/empty").count() == 0, name
+
+
+def test_no_capacity(spark, hard):
+    with pytest.raises(ValueError, match="no capacity"):
+        pack.p7_found(spark, f"{hard}/empty")
