@@ -1,7 +1,7 @@
 """Problem 3: noise in text from scanned pages.
 
-Counts of words, of pairs of CJK letters and of headings are taken over the whole corpus, into tables of a fixed
-number of cells. With them a noisy-channel decoder reads a chunk's lines: page numbers and running heads inside the
+Counts of words, of pairs of CJK letters and of headings are taken over the whole corpus, each under its full 64-bit
+key, so that what isn't in the corpus counts nothing. With them a noisy-channel decoder reads a chunk's lines: page numbers and running heads inside the
 text are taken out, the lines of running text become one character stream, and the best segmentation of the stream
 is searched, which may remove or keep the hyphen at a line end, merge or split words, close letter spacing and
 replace characters that readers of pages confuse; a reading is only changed where the counts speak clearly for it.
@@ -30,6 +30,7 @@ from pagemill.llm.arrow import code_points, slices
 from pagemill.llm.lookalike import TO_LATIN, fold
 from pagemill.sources.tables import table
 
+#: Size of an array of counts by cell (see ``Dense``).
 CELLS = 1 << 20
 #: How many times as frequent a reading must be as what stands there, for one change and for each further one.
 CLEARLY, FURTHER = 60.0, 4.0
@@ -88,11 +89,44 @@ for _pair in CJK_CONFUSED.split():
 _CJK_SEEN = re.compile("[" + "".join(_CONFUSABLE) + "]")
 
 
-def _cell(values: np.ndarray | int, salt: int) -> np.ndarray | int:
+def _key(values: np.ndarray | int, salt: int) -> np.ndarray | int:
+    """64-bit key of a word, a pair or a heading; one to one for each salt."""
     if isinstance(values, int):
-        return (((values ^ salt) * 0xBF58476D1CE4E5B9) & _MASK) >> 44
+        return ((values ^ salt) * 0xBF58476D1CE4E5B9) & _MASK
     with np.errstate(over="ignore"):
-        return (((values ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44)).astype(np.int64)
+        return (values ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _cell(value: int, salt: int) -> int:
+    return _key(value, salt) >> 44
+
+
+class Keyed:
+    """Counts by key: the sorted keys and how often each occurs; a key that isn't there counts 0."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+
+    def of(self, key: int) -> float:
+        i = int(self.keys.searchsorted(np.uint64(key)))
+        return float(self.counts[i]) if i < self.keys.size and int(self.keys[i]) == key else 0.0
+
+    def top(self) -> float:
+        return float(self.counts.max(initial=0))
+
+
+class Dense:
+    """Counts given as an array by cell, for a vocabulary of a few words."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+
+    def of(self, key: int) -> float:
+        return float(self.counts[key >> 44])
+
+    def top(self) -> float:
+        return float(self.counts.max(initial=0))
 
 
 def _word_value(word: str) -> int:
@@ -108,11 +142,10 @@ def title_key(line: str) -> str:
     return " ".join(re.sub(r"^[#\s]*(?:§\s*\d+)?", "", line).lower().split())
 
 
-def corpus_counts(texts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of words and of pairs of CJK letters, and of headings, by cell, over all rows."""
+def corpus_counts(texts: DataFrame, column: str) -> tuple[Keyed, Keyed]:
+    """Counts of words and of pairs of CJK letters, and of headings, by key, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, titles = np.zeros(CELLS, dtype=np.int64), np.zeros(CELLS, dtype=np.int64)
         for b in slices(batches, column):
             own = [x for x in b.column(column).to_pylist() if x]
             if not own:
@@ -121,30 +154,31 @@ def corpus_counts(texts: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray
             low = np.where(flat < 0x10000, _LOWER[np.minimum(flat, 0xFFFF)], 0)
             letter = low > 0
             start = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
+            met: list[np.ndarray] = []
             if start.size:
                 length = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1 - start
                 where = np.arange(flat.size) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, flat.size]))
                 with np.errstate(over="ignore"):
                     value = np.add.reduceat(np.where(letter, low.astype(np.uint64) * _POWERS[np.minimum(where, 63)], np.uint64(0)), start)
-                total += np.bincount(_cell(value[length <= 40], _WORD_SALT), minlength=CELLS)
+                met.append(_key(value[length <= 40], _WORD_SALT))
             wide = _is_cjk(flat) | (flat == 0x2014)
             pair = wide[:-1] & wide[1:]
-            total += np.bincount(_cell(flat[:-1][pair].astype(np.uint64) << np.uint64(21) | flat[1:][pair], _PAIR_SALT), minlength=CELLS)
+            met.append(_key(flat[:-1][pair].astype(np.uint64) << np.uint64(21) | flat[1:][pair], _PAIR_SALT))
+            heads: list[int] = []
             for text in own:
                 at = 0 if text.startswith("#") else text.find("\n#") + 1
                 while text[at : at + 1] == "#":
                     end = text.find("\n", at)
-                    titles[_cell(_word_value(title_key(fold(text[at : end if end >= 0 else len(text)]))), _TITLE_SALT)] += 1
+                    heads.append(_key(_word_value(title_key(fold(text[at : end if end >= 0 else len(text)]))), _TITLE_SALT))
                     at = text.find("\n#", at) + 1 if end >= 0 and text.find("\n#", at) >= 0 else len(text)
-        at = np.flatnonzero(total | titles)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64()), pa.array(titles[at], pa.int64())], names=["cell", "n", "titles"])
+            for title, keys in ((False, np.concatenate(met)), (True, np.array(heads, dtype=np.uint64))):
+                keys, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, title)), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["title", "key", "n"])
 
-    summed = texts.select(column).mapInArrow(count, "cell int, n bigint, titles bigint").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("titles").alias("titles")).toArrow()
-    counts, titles = np.zeros(CELLS, dtype=np.float32), np.zeros(CELLS, dtype=bool)
-    at = summed.column("cell").to_numpy()
-    counts[at] = summed.column("n").to_numpy()
-    titles[at] = summed.column("titles").to_numpy() > 0
-    return counts, titles
+    summed = texts.select(column).mapInArrow(count, "title boolean, key bigint, n bigint").groupBy("title", "key").agg(F.sum("n").alias("n")).toArrow()
+    title, keys = summed.column("title").to_numpy(), summed.column("key").to_numpy().view(np.uint64)
+    n = summed.column("n").to_numpy()
+    return Keyed(keys[~title], n[~title]), Keyed(keys[title], n[title])
 
 
 @dataclass
@@ -164,10 +198,11 @@ class Repaired:
 
 
 class Decoder:
-    def __init__(self, counts: np.ndarray, titles: np.ndarray):
-        self.counts, self.titles = counts, titles
-        self.top = float(counts.max(initial=0))
+    def __init__(self, counts: Keyed | np.ndarray, titles: Keyed | np.ndarray):
+        self.counts, self.titles = (Dense(x) if isinstance(x, np.ndarray) else x for x in (counts, titles))
+        self.top = self.counts.top()
         self._words: dict[str, float] = {}
+        self._pairs: dict[str, float] = {}
         self._readings: dict[str, str | None] = {}
 
     def n(self, word: str) -> float:
@@ -176,11 +211,16 @@ class Decoder:
         if found is None:
             if len(self._words) > 300_000:
                 self._words.clear()
-            found = self._words[word] = float(self.counts[_cell(_word_value(word), _WORD_SALT)])
+            found = self._words[word] = self.counts.of(_key(_word_value(word), _WORD_SALT))
         return found
 
     def pair(self, a: str, b: str) -> float:
-        return float(self.counts[_cell(ord(a) << 21 | ord(b), _PAIR_SALT)])
+        found = self._pairs.get(a + b)
+        if found is None:
+            if len(self._pairs) > 300_000:
+                self._pairs.clear()
+            found = self._pairs[a + b] = self.counts.of(_key(ord(a) << 21 | ord(b), _PAIR_SALT))
+        return found
 
     # words -----------------------------------------------------------------------------------------------------
 
@@ -291,7 +331,7 @@ class Decoder:
         return self._is_title(plain)
 
     def _is_title(self, line: str) -> bool:
-        return len(line) >= 4 and not _TERMINAL.search(line) and bool(self.titles[_cell(_word_value(title_key(line)), _TITLE_SALT)])
+        return len(line) >= 4 and not _TERMINAL.search(line) and self.titles.of(_key(_word_value(title_key(line)), _TITLE_SALT)) > 0
 
     def repair(self, text: str) -> Repaired:
         out = Repaired(text)
@@ -410,12 +450,12 @@ def _is_letter(c: str) -> bool:
     return bool(c) and ("぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or c == "—")
 
 
-def _shared(spark: SparkSession, counts: np.ndarray, titles: np.ndarray) -> Broadcast:
-    """The counts: 5 MB, whatever the corpus."""
+def _shared(spark: SparkSession, counts: Keyed, titles: Keyed) -> Broadcast:
+    """The counts: 16 bytes for each distinct word, pair and heading."""
     return spark.sparkContext.broadcast((counts, titles))
 
 
-def repair(texts: DataFrame, column: str, counts: np.ndarray, titles: np.ndarray) -> DataFrame:
+def repair(texts: DataFrame, column: str, counts: Keyed, titles: Keyed) -> DataFrame:
     """``texts`` with ``repaired``, ``broken``, ``confused``, ``furniture`` and ``spaced`` (numbers of what was mended)."""
     made = ("repaired", "broken", "confused", "furniture", "spaced")
     if clash := set(made) & set(texts.columns):

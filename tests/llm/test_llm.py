@@ -157,6 +157,16 @@ def test_repair_keeps_rows(spark):
     assert scanned.repair(df.limit(0), "content", *scanned.corpus_counts(df.limit(0), "content")).count() == 0
 
 
+def test_counts_of_absent_words_are_zero(spark):
+    # 30,000 words would fill 2^20 cells so that about 3 in 100 made-up words fall into the cell of one of them
+    letters = "abcdefghij"
+    made = ["k" + "".join(letters[int(d)] for d in f"{i:05d}") for i in range(30_000)]
+    df = spark.createDataFrame([(" ".join(made[k : k + 1000]),) for k in range(0, 30_000, 1000)] + [("## A head\n申請",)], "content string")
+    d = scanned.Decoder(*scanned.corpus_counts(df, "content"))
+    assert all(d.n(w) == 1 for w in made[::100]) and d.pair("申", "請") == 1 and d._is_title("A head")
+    assert not any(d.n("z" + w[1:]) for w in made[:3000]) and not any(d._is_title("T " + w) for w in made[:3000])
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
