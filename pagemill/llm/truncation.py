@@ -8,7 +8,7 @@ value's log-odds compare the likelihood of its final context at a true end with
 left out of the counts. The threshold follows from the share of cut values, which is estimated by expectation
 maximisation for each language and column (and for values with a mark in running text apart) from all values.
 
-Counts sit in a table of a fixed number of cells, whatever the size of the corpus.
+Only contexts at which a value ends are counted, each under its full 64-bit key; the table is as large as their number.
 
 Defined results: null and empty values and values without a letter are no cases; a mark put after the stop (dots, brackets,
 replacement characters) is taken off before scoring; an ending that is one long code is complete; a part of a split
@@ -31,7 +31,7 @@ from pagemill.llm.langs import guess
 from pagemill.llm.lookalike import TO_LATIN
 from pagemill.sources.tables import cut, table
 
-CELLS, LONGEST, SMOOTH = 1 << 20, 8, 4.0
+LONGEST, SMOOTH = 8, 4.0
 #: Recounts of the ends, and nats above the threshold up to which a value's end is left out of them.
 ROUNDS, DOUBT = 2, 4.5
 #: What may stand after the stop.
@@ -79,8 +79,8 @@ def line_kind(line: str) -> int:
     return _ENTRY if _LIST.match(line) else _TEXT
 
 
-def _cells(points: np.ndarray, salt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each context length, the cell of the context that ends at each position (of the positions that have one)."""
+def _keys(points: np.ndarray, salt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each context length, the key of the context that ends at each position (of the positions that have one)."""
     p = points.astype(np.uint64) + np.uint64(1)
     h, power = np.zeros(p.size, dtype=np.uint64), np.uint64(1)
     with np.errstate(over="ignore"):
@@ -103,8 +103,8 @@ def _end_of(text: str) -> tuple[str, int, bool] | None:
     return bare, line_kind(bare[at : at + 12]), m is not None
 
 
-def _end_cells(ends: list[tuple[str, int]], column: np.ndarray) -> np.ndarray:
-    """For each (text, kind), the cells of the contexts of 1 to LONGEST characters at its end; -1 where it is shorter."""
+def _end_keys(ends: list[tuple[str, int]], column: np.ndarray) -> np.ndarray:
+    """For each (text, kind), the keys of the contexts of 1 to LONGEST characters at its end; 0 where it is shorter."""
     # twice the length leaves room for characters that are dropped
     points = np.zeros((len(ends), 3 * LONGEST), dtype=np.uint32)
     for i, (text, _) in enumerate(ends):
@@ -114,7 +114,7 @@ def _end_cells(ends: list[tuple[str, int]], column: np.ndarray) -> np.ndarray:
     # dropped characters move to the front, the others keep their order
     points = np.take_along_axis(points, np.argsort(points > 0, axis=1, kind="stable"), axis=1)[:, -LONGEST:]
     salt = np.array([k for _, k in ends], dtype=np.uint64) + np.uint64(4) * column.astype(np.uint64)
-    out = np.full((len(ends), LONGEST), -1, dtype=np.int32)
+    out = np.zeros((len(ends), LONGEST), dtype=np.uint64)
     p = points.astype(np.uint64)
     h, power = np.zeros(len(ends), dtype=np.uint64), np.uint64(1)
     with np.errstate(over="ignore"):
@@ -122,13 +122,51 @@ def _end_cells(ends: list[tuple[str, int]], column: np.ndarray) -> np.ndarray:
             c = p[:, LONGEST - length]
             h = h + (c + np.uint64(1)) * power
             power = power * _BASE
-            out[:, length - 1] = np.where(c > 0, _mixed(h, salt, length), -1)
+            out[:, length - 1] = np.where(c > 0, _mixed(h, salt, length), np.uint64(0))
     return out
 
 
 def _mixed(h: np.ndarray, salt: np.ndarray, length: int) -> np.ndarray:
     m = (h ^ (h >> np.uint64(29)) ^ salt * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(length)) * np.uint64(0x94D049BB133111EB)
-    return (m >> np.uint64(44)).astype(np.int32)
+    # the low bits of a product depend on few bits of its factors
+    return np.maximum(m ^ (m >> np.uint64(32)), np.uint64(1))
+
+
+class Contexts:
+    """The contexts at which any value ends: sorted keys, found through the range of keys that begin with the same bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        bits = max(10, int(8 * max(1, keys.size)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        size = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.r_[0, np.cumsum(size)].astype(np.int64)
+        self.used = size > 0
+        self.most = int(size.max(initial=0))
+
+    def __reduce__(self):
+        # what is sent is the keys; the rest is made again from them
+        return Contexts, (self.keys,)
+
+    @property
+    def size(self) -> int:
+        return self.keys.size
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where it is no such context."""
+        out = np.full(keys.size, -1, dtype=np.int64)
+        bucket = (keys >> self.shift).astype(np.int64)
+        left = np.flatnonzero(self.used[bucket])
+        at, end, wanted = self.first[bucket[left]], self.first[bucket[left] + 1], keys[left]
+        for _ in range(self.most):
+            same = self.keys[at] == wanted
+            out[left[same]] = at[same]
+            at = at + 1
+            more = ~same & (at < end)
+            if not more.any():
+                break
+            left, at, end, wanted = left[more], at[more], end[more], wanted[more]
+        return out
 
 
 def values_of(chunks: DataFrame, gate: DataFrame) -> DataFrame:
@@ -139,7 +177,7 @@ def values_of(chunks: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def _ends(values: DataFrame) -> DataFrame:
-    """(run_id, item_id, doc_id, col, lang, marked, text_hash, cells) of every value; ``cells`` is null where nothing can be said (no letter, an ending that is one long code)."""
+    """(run_id, item_id, doc_id, col, lang, marked, usable, text_hash, keys) of every value; ``usable`` is false where nothing can be said (no letter, an ending that is one long code)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "tail"):
@@ -150,53 +188,53 @@ def _ends(values: DataFrame) -> DataFrame:
                 marked.append(bool(end and end[2] and end[1] in (_TEXT, _HEAD)))
                 ends.append(end[:2] if end else ("", 0))
                 usable.append(bool(end) and not _CODE.search(end[0], max(0, len(end[0]) - 64)) and any(map(str.isalpha, end[0])))
-            cells = _end_cells(ends, b.column("col").to_numpy(zero_copy_only=False))
-            packed = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel(), pa.int32()), LONGEST).cast(pa.list_(pa.int32()))
+            keys = _end_keys(ends, b.column("col").to_numpy(zero_copy_only=False))
+            packed = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), LONGEST).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(k) for k in ("run_id", "item_id", "doc_id", "col")), pa.array(lang, pa.string()), pa.array(marked, pa.bool_()), pa.array(usable, pa.bool_()), b.column("text_hash"), packed],
-                names=["run_id", "item_id", "doc_id", "col", "lang", "marked", "usable", "text_hash", "cells"],
+                names=["run_id", "item_id", "doc_id", "col", "lang", "marked", "usable", "text_hash", "keys"],
             )
 
     # the end decides, and the start of the last line where that line is long; the rest of a text is counted in _count_inside
     last = F.expr("substring_index(rtrim(text), '\n', -1)")
     tail = F.when(F.length(last) > 380, F.concat(F.lit("\n"), F.substring(last, 1, 8), F.expr("right(rtrim(text), 390)"))).otherwise(F.expr("right(rtrim(text), 400)"))
     tails = values.select("run_id", "item_id", "doc_id", "col", F.xxhash64("text").alias("text_hash"), tail.alias("tail"))
-    return tails.mapInArrow(find, "run_id string, item_id string, doc_id string, col int, lang string, marked boolean, usable boolean, text_hash bigint, cells array<int>")
+    return tails.mapInArrow(find, "run_id string, item_id string, doc_id string, col int, lang string, marked boolean, usable boolean, text_hash bigint, keys array<bigint>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, LONGEST)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LONGEST)
 
 
-def _count_ends(ends: DataFrame) -> np.ndarray:
-    """Ends by cell; equal ends of one document count once."""
+def _count_ends(ends: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the contexts at which values end, and the ends at each; equal ends of one document count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
         for b in batches:
             if b.num_rows:
-                cells = _matrix(b.column("cells")).ravel()
-                total += np.bincount(cells[cells >= 0], minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cell", "n"])
+                keys = _matrix(b.column("keys")).ravel()
+                keys, n = np.unique(keys[keys > 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
-    return _gathered(ends.where("usable").select("doc_id", "col", "cells").distinct().select("cells").mapInArrow(count, "cell int, n bigint"))
+    counted = ends.where("usable").select("doc_id", "col", "keys").distinct().select("keys").mapInArrow(count, "key bigint, n bigint")
+    summed = counted.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return summed.column("key").to_numpy().view(np.uint64), summed.column("n").to_numpy()
 
 
-def _gathered(counted: DataFrame, column: str = "n") -> np.ndarray:
-    """Sum by cell, brought to the driver: at most ``CELLS`` rows."""
-    summed = counted.groupBy("cell").agg(F.sum(column).alias("n")).toArrow()
-    out = np.zeros(CELLS, dtype=np.int64)
-    out[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
+def _placed(contexts: Contexts, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` at the places of ``keys``, which are all contexts; 0 elsewhere."""
+    out = np.zeros(contexts.size, dtype=np.int64)
+    out[contexts.find(keys)] = n
     return out
 
 
-def _count_inside(values: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Continuations, and ends of list entries and table rows inside values, for the cells in which any value ends."""
-    wanted = values.sparkSession.sparkContext.broadcast(ends > 0)
+def _count_inside(values: DataFrame, contexts: Contexts) -> tuple[np.ndarray, np.ndarray]:
+    """Continuations, and ends of list entries and table rows inside values, at the contexts at which any value ends."""
+    wanted = values.sparkSession.sparkContext.broadcast(contexts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, closed, keep = np.zeros(CELLS, dtype=np.int64), np.zeros(CELLS, dtype=np.int64), wanted.value
+        known = wanted.value
+        total, closed = np.zeros(known.size, dtype=np.int64), np.zeros(known.size, dtype=np.int64)
         for b in slices(batches, "text"):
             for column in (0, 1):
                 texts = [t for c, t in zip(b.column("col").to_pylist(), b.column("text").to_pylist()) if c == column]
@@ -235,38 +273,43 @@ def _count_inside(values: DataFrame, ends: np.ndarray) -> tuple[np.ndarray, np.n
                 inside &= ~(dotted & listed)
                 met: list[np.ndarray] = []
                 shut: list[np.ndarray] = []
-                for length, cells in _cells(flat, salt):
-                    hit = keep[cells]
-                    met.append(cells[inside[length - 1 :] & hit])
-                    shut.append(cells[stops[length - 1 :] & hit])
-                total += np.bincount(np.concatenate(met), minlength=CELLS)
-                closed += np.bincount(np.concatenate(shut), minlength=CELLS)
+                for length, keys in _keys(flat, salt):
+                    place = known.find(keys)
+                    met.append(place[inside[length - 1 :] & (place >= 0)])
+                    shut.append(place[stops[length - 1 :] & (place >= 0)])
+                total += np.bincount(np.concatenate(met), minlength=known.size)
+                closed += np.bincount(np.concatenate(shut), minlength=known.size)
         at = np.flatnonzero(total | closed)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64()), pa.array(closed[at], pa.int64())], names=["cell", "n", "closed"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64()), pa.array(closed[at], pa.int64())], names=["place", "n", "closed"])
 
-    counted = cut(values.select("col", "text").mapInArrow(count, "cell int, n bigint, closed bigint"), "truncation-counts")
-    return _gathered(counted), _gathered(counted, "closed")
+    counted = values.select("col", "text").mapInArrow(count, "place bigint, n bigint, closed bigint")
+    summed = counted.groupBy("place").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed")).toArrow()
+    inside, closed = np.zeros(contexts.size, dtype=np.int64), np.zeros(contexts.size, dtype=np.int64)
+    at = summed.column("place").to_numpy()
+    inside[at], closed[at] = summed.column("n").to_numpy(), summed.column("closed").to_numpy()
+    return inside, closed
 
 
-def _score(ends: DataFrame, counts: np.ndarray, closed: np.ndarray, inside: np.ndarray) -> DataFrame:
+def _score(ends: DataFrame, contexts: Contexts, counts: np.ndarray, closed: np.ndarray, inside: np.ndarray) -> DataFrame:
     """``ends`` with log_odds; ``counted`` tells whether a value's own end is among the counts."""
     total, going = max(1, int(counts.sum()) // LONGEST), max(1, int(inside.sum()) // LONGEST)
     base = total / (total + going)
-    tables = ends.sparkSession.sparkContext.broadcast(((counts + closed).astype(np.float32), inside.astype(np.float32)))
+    tables = ends.sparkSession.sparkContext.broadcast((contexts, (counts + closed).astype(np.float32), inside.astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stop, go = tables.value
+        known, stop, go = tables.value
         zero = np.log(base / (1 - base))
         for b in batches:
             if not b.num_rows:
                 continue
-            cells, own = _matrix(b.column("cells")), b.column("counted").to_numpy(zero_copy_only=False)
+            keys, own = _matrix(b.column("keys")), b.column("counted").to_numpy(zero_copy_only=False)
             p, prior, last = (np.full(b.num_rows, x) for x in (base, base, np.inf))
             for length in range(LONGEST):
-                cell = cells[:, length]
-                here = cell >= 0
-                e = np.maximum(0.0, stop[cell] - own)
-                n = e + go[cell]
+                # ends of values that aren't usable may be no context; they get no score
+                place = known.find(keys[:, length])
+                here = place >= 0
+                e = np.where(here, np.maximum(0.0, stop[place] - own), 0.0) if stop.size else np.zeros(b.num_rows)
+                n = e + (go[place] if go.size else 0.0)
                 # a longer context that is seen nearly as often is the same evidence: it replaces the last, else it builds on it
                 new = here & (n < last / 2)
                 prior, last = np.where(new, p, prior), np.where(new, n, last)
@@ -284,16 +327,18 @@ def scored(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, int, bool], fl
     Cut values are among the ends that are counted, so the counts are taken again without those that look cut.
     """
     ends = cut(_ends(values), "truncation-ends")
-    counts = _count_ends(ends)
-    inside, closed = _count_inside(values, counts)
+    keys, n = _count_ends(ends)
+    contexts = Contexts(keys)
+    counts = _placed(contexts, keys, n)
+    inside, closed = _count_inside(values, contexts)
     own: Column = F.lit(1)
     for _ in range(ROUNDS):
-        scores = cut(_score(ends.withColumn("counted", own).drop("keep"), counts, closed, inside), "truncation-scores")
+        scores = cut(_score(ends.withColumn("counted", own).drop("keep"), contexts, counts, closed, inside), "truncation-scores")
         limit = _limit(thresholds(scores))
         ends = scores.withColumn("keep", F.coalesce(F.col("log_odds") >= limit + DOUBT, F.lit(True)).cast("int")).drop("counted", "log_odds")
-        counts = _count_ends(ends.where("keep = 1"))
+        counts = _placed(contexts, *_count_ends(ends.where("keep = 1")))
         own = F.col("keep")
-    scores = cut(_score(ends.withColumn("counted", own).drop("keep"), counts, closed, inside).drop("cells"), "truncation-scores")
+    scores = cut(_score(ends.withColumn("counted", own).drop("keep"), contexts, counts, closed, inside).drop("keys"), "truncation-scores")
     return scores, thresholds(scores)
 
 

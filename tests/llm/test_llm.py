@@ -193,6 +193,22 @@ def test_truncation(spark):
     assert truncation.MARK.sub("", "the floor pl [...]") == "the floor pl" and truncation.MARK.sub("", "done.") == "done."
 
 
+def test_contexts_are_told_apart(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    ends = [word() for _ in range(20)]
+    rows = [("r", f"c{i}", f"d{i}", f"{' '.join(word() for _ in range(3000))} {ends[i % 20]}") for i in range(60)]
+    values = truncation.values_of(chunks(spark, rows), gate(spark, []))
+    keys, n = truncation._count_ends(truncation._ends(values))
+    # every context of a text that a value ends in, and no other, is counted
+    suffixes = {e[-k:] for e in (" " + e for e in ends) for k in range(1, truncation.LONGEST + 1)}
+    assert keys.size == len(suffixes) and n.sum() == 60 * truncation.LONGEST
+    inside, closed = truncation._count_inside(values, truncation.Contexts(keys))
+    texts = [r[3] for r in rows]
+    assert inside.sum() == sum(t[max(0, i + 1 - k) : i + 1] in suffixes for t in texts for i in range(len(t) - 1) for k in range(1, 9) if i + 1 >= k)
+    assert truncation.Contexts(keys).find(np.arange(1, 5000, dtype=np.uint64)).max() == -1 and not closed.any()
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
