@@ -2,9 +2,10 @@
 
 Counts of words, of pairs of CJK letters and of headings are taken over the whole corpus, each under its full 64-bit
 key, so that what isn't in the corpus counts nothing. With them a noisy-channel decoder reads a chunk's lines: page numbers and running heads inside the
-text are taken out, the lines of running text become one character stream, and the best segmentation of the stream
-is searched, which may remove or keep the hyphen at a line end, merge or split words, close letter spacing and
-replace characters that readers of pages confuse; a reading is only changed where the counts speak clearly for it.
+text are taken out, the lines of running text become one character stream, and a dynamic program over its word ends
+searches the best segmentation: keep a word, join it over a line end or space, drop the hyphen at a line end, split it, or
+replace characters that readers of pages confuse. A reading is only changed where the counts speak clearly for it.
+Letter spacing is closed, and misread CJK letters are put right, by rules before and after that.
 Paragraph boundaries between the lines are chosen by dynamic programming over line ends, line widths and blank lines.
 Headings, list entries, table rows and quotations stay as they are.
 
@@ -59,6 +60,8 @@ _LABEL = re.compile(r"\s*(?:[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ.\- ]{1,14}: ?\S|[\u3400-\u
 _TERMINAL = re.compile(r"[.!?:。！？：][\"'”»」』）)]*\s*$")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _MIXED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ015]*[a-zß-öø-ɏ][A-Za-zÀ-ÖØ-öø-ɏ015]*")
+_TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ015]+")
+_UNDECIDED = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f0-9])-\n(?=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
 _HYPHEN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f0-9])[-\u00ac\u00ad\u2010\u2011] ?$")
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _WIDE = re.compile(f"[{_CJK}　-〿＀-￯—]")
@@ -115,6 +118,9 @@ class Keyed:
     def top(self) -> float:
         return float(self.counts.max(initial=0))
 
+    def total(self) -> float:
+        return float(self.counts.sum(dtype=np.float64))
+
 
 class Dense:
     """Counts given as an array by cell, for a vocabulary of a few words."""
@@ -128,6 +134,9 @@ class Dense:
     def top(self) -> float:
         return float(self.counts.max(initial=0))
 
+    def total(self) -> float:
+        return float(self.counts.sum(dtype=np.float64))
+
 
 def _word_value(word: str) -> int:
     return sum(ord(c) * int(_POWERS[min(k, 63)]) for k, c in enumerate(word)) & _MASK
@@ -200,7 +209,12 @@ class Repaired:
 class Decoder:
     def __init__(self, counts: Keyed | np.ndarray, titles: Keyed | np.ndarray):
         self.counts, self.titles = (Dense(x) if isinstance(x, np.ndarray) else x for x in (counts, titles))
-        self.top = self.counts.top()
+        self.top, self.total = self.counts.top(), max(1.0, self.counts.total())
+        # words without a reading of their own; neighbours in a line that aren't one word, by two and by three
+        self._settled: set[str] = set()
+        self._apart: tuple[set, set] = set(), set()
+        self._done: dict[tuple[str, bool], Repaired] = {}
+        self._kept = 0
         self._words: dict[str, float] = {}
         self._pairs: dict[str, float] = {}
         self._readings: dict[str, str | None] = {}
@@ -262,39 +276,173 @@ class Decoder:
             beam = set(grown)
         return None
 
-    def _split(self, word: str) -> str | None:
-        """Two words that were run together."""
-        if len(word) < 6 or self.n(word) >= 3:
+    def _split(self, word: str) -> tuple[float, str] | None:
+        """Two words that were run together: how often they would meet by chance speaks for them."""
+        if not word.isalpha() or len(word) > 40:
+            return None
+        needed = CLEARLY * FURTHER * max(self.n(word), 0.2)
+        if needed > self.top:
+            return None
+        n, k = max(((self.n(word[:k]) * self.n(word[k:]) / self.total, k) for k in range(1, len(word))), default=(0.0, 0))
+        return (math.log(n / needed), f"{word[:k]} {word[k:]}") if n >= max(KNOWN, needed) else None
+
+    def _rare(self, word: str) -> bool:
+        """Whether some word may be clearly more frequent, so that this one may be a piece of it."""
+        return word.isalpha() and CLEARLY * max(self.n(word), 0.2) <= self.top
+
+    def _joined(self, words: list[str], gaps: list[str]) -> float | None:
+        """Gain of reading ``words`` (lower case) as one word over the breaks between them; null if it isn't clear."""
+        made = "".join(words)
+        if len(made) > 40:
+            return None
+        n, least, open_ = self.n(made), min(map(self.n, words)), [g for g in gaps if g != "-\n"]
+        if not open_:
+            whole = max(n, self.n(self.reading(made) or made))
+            if whole >= 1:
+                return math.log(whole + 1)
+            after = [self.n(w) for w in words[1:]]
+            return sum(math.log((KNOWN + 1) / (x + 1)) for x in after) if max(after) < KNOWN else None
+        needed = CLEARLY * FURTHER ** (len(gaps) - 1 + gaps.count(" ")) * max(least, 0.2)
+        if n >= max(KNOWN, needed):
+            return math.log(n / needed) + 1e-6
+        if n or " " in gaps or not all(map(self._rare, words)):
             return None
-        ways = [(min(self.n(word[:k]), self.n(word[k:])), k) for k in range(2, len(word) - 1)]
-        n, k = max(ways)
-        return f"{word[:k]} {word[k:]}" if n >= 50 * KNOWN else None
+        n, needed = self.n(self.reading(made) or made), needed * FURTHER
+        return math.log(n / needed) + 1e-6 if n >= max(KNOWN, needed) else None
 
     def words(self, text: str, out: Repaired, ended: bool) -> str:
-        """``text`` with misread words put right; the last word of a text that doesn't end is left alone."""
-
-        def put(m: re.Match) -> str:
-            w = m[0]
-            # nearly all words were looked at before and stand
-            if self._readings.get(w, "") is None or self._readings.get(w.lower(), "") is None:
-                return w
-            if m.end() == len(text) and not ended or m.start() and text[m.start() - 1] in "@._/\\" or text[m.end() : m.end() + 1] in ("@", "_", "\\"):
-                return w
-            if m.start() and text[m.start() - 1].isdigit() or text[m.end() : m.end() + 1].isdigit():
-                return w
-            if not m.start() and w.islower() and w.isalpha() or "-" in (text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]):
-                return w
-            if not w.isalpha() and (not (w.islower() or w[0].isupper() and w[1:].islower()) or re.match(r"[.,/-]\d", text[m.end() :])):
-                return w
+        """``text`` in its best segmentation; line ends without a decision are "\\n", after a hyphen or not. The last word of a text that doesn't end is left alone."""
+        hyphens = bool(_UNDECIDED.search(text))
+        met = _TOKEN.findall(text)
+        near = list(zip(met, met[1:])), list(zip(met, met[1:], met[2:]))
+        if "\n" not in text and self._settled.issuperset(met) and all(a.issuperset(x) for a, x in zip(self._apart, near)):
+            return text
+        tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+        count = len(tokens)
+
+        def gap(i: int) -> str:
+            """What stands between word i and the next, if it may be a break inside a word."""
+            if not 0 <= i < count - 1:
+                return ""
+            g, w, x = text[tokens[i][1] : tokens[i + 1][0]], tokens[i][2], tokens[i + 1][2]
+            if g == "-\n":
+                return g if w[-1].isalpha() and x[0].islower() else ""
+            return g if g in (" ", "\n") and w.isalpha() and x.isalpha() and (x.islower() or x.isupper() and w.isupper()) else ""
+
+        def stands(a: int, b: int) -> bool:
+            """Whether what begins at ``a`` and ends at ``b`` is part of something else than running text, or not whole."""
+            before, after = text[a - 1 : a], text[b : b + 1]
+            if before == "\n":
+                before = text[a - 2 : a - 1] if text[a - 2 : a - 1] == "-" else " "
+            w = text[a:b]
+            if b == len(text) and not ended or before and before in "@._/\\" or after in ("@", "_", "\\") or before.isdigit() or after.isdigit():
+                return True
+            return not a and w[:1].islower() and w.replace("\n", "").replace("-", "").replace(" ", "").isalpha() and w.islower() or "-" in (before, after)
+
+        # edges[j]: (first word, gain, what is read, joins, confused, splits) of the readings that end before word j
+        edges: dict[int, list[tuple[int, float, str, int, int, int]]] = {}
+
+        def add(i: int, j: int, gain: float, read: str, joins: int = 0, confused: int = 0, splits: int = 0) -> None:
+            edges.setdefault(j, []).append((i, gain, read, joins, confused, splits))
+
+        def join(i: int, j: int) -> None:
+            a, b = tokens[i][0], tokens[j - 1][1]
+            gaps = [gap(k) for k in range(i, j - 1)]
+            closed = all(g == "-\n" for g in gaps)
+            if not all(gaps) or not closed and stands(a, b):
+                return
+            # beside a hyphen a word may hold digits; its letters at the break count
+            gain = self._joined([_WORD.findall(t[2].lower())[-1 if k == 0 else 0] for k, t in enumerate(tokens[i:j])], gaps)
+            if gain is not None:
+                whole = "".join(t[2] for t in tokens[i:j])
+                plain = whole.isalpha() or whole.islower() or whole[0].isupper() and whole[1:].islower()
+                r = self.reading(whole.lower()) if plain and not stands(a, b) else None
+                add(i, j, gain, whole if r is None else _cased(r, whole), sum(g != "-\n" for g in gaps), int(r is not None))
+
+        tried: set[tuple[int, int]] = set()
+
+        def around(i: int, shortest: int) -> None:
+            """Tries the words from ``shortest`` on that hold word i and its next: pieces that are rare, and one neighbour on either side."""
+            first = last = i
+            while gap(first - 1) and self._rare(tokens[first][2].lower()) and tokens[i][1] - tokens[first][0] <= 80:
+                first -= 1
+            while gap(last) and (last == i or self._rare(tokens[last][2].lower())) and tokens[last][1] - tokens[i][0] <= 80:
+                last += 1
+            for x in range(first, i + 1):
+                spaces, least = 0, self.n(tokens[x][2].lower())
+                for y in range(x + 1, last + 1):
+                    spaces += gap(y - 1) == " "
+                    least = min(least, self.n(tokens[y][2].lower()))
+                    # no word is frequent enough to be a clear reading of so many pieces
+                    if y > i and y + 1 - x >= shortest and CLEARLY * FURTHER ** (y - x - 1 + spaces) * max(least, 0.2) <= self.top:
+                        tried.add((x, y + 1))
+
+        if "\n" in text:
+            at = {e: i for i, (_, e, _) in enumerate(tokens)}
+            for m in re.finditer("-?\n", text):
+                i = at.get(m.start(), -1)
+                if gap(i) == m[0]:
+                    around(i, 2)
+                j = i + 1
+                while i >= 0 and gap(j - 1) == "-\n":
+                    j += 1
+                    tried.add((i, j))
+        for k, (apart, those) in enumerate(zip(self._apart, near), 2):
+            if apart.issuperset(those):
+                continue
+            if len(apart) > 300_000:
+                apart.clear()
+            for i, those_words in [(i, x) for i, x in enumerate(those) if x not in apart]:
+                low = [w.lower() for w in those_words]
+                if not all(map(str.isalpha, low)) or k > 2 and not self._rare(low[1]) or self._joined(low, [" "] * (k - 1)) is None:
+                    apart.add(those_words)
+                else:
+                    tried.add((i, i + k))
+        for i in [k for k, w in enumerate(met) if w not in self._settled]:
+            a, b, w = tokens[i]
             low = w.lower()
-            r = self.reading(low)
-            if r is None:
-                return w
-            out.short += len(w) < 4
-            out.confused += 1
-            return r.upper() if w.isupper() and len(w) > 1 else r[0].upper() + r[1:] if w[0].isupper() else r
-
-        return _MIXED.sub(put, text)
+            r, parts = self.reading(low) if _MIXED.fullmatch(w) else None, self._split(low)
+            # four pieces in a line
+            scarce = w.isalpha() and CLEARLY * FURTHER**5 * max(self.n(low), 0.2) <= self.top
+            if not scarce and r is None and parts is None:
+                if len(self._settled) > 300_000:
+                    self._settled.clear()
+                self._settled.add(w)
+                continue
+            if (r or parts) and not stands(a, b):
+                plain = w.isalpha() or (w.islower() or w[0].isupper() and w[1:].islower()) and not re.match(r"[.,/-]\d", text[b:])
+                if r and plain:
+                    add(i, i + 1, math.log(max(self.n(r), 1.0) / (CLEARLY * max(self.n(low) if low.isalpha() else 0.0, 0.2))) + 1e-3, _cased(r, w), confused=1)
+                if parts:
+                    add(i, i + 1, parts[0] + 1e-6, _cased(parts[1], w), splits=1)
+            if scarce:
+                around(i, 4)
+                around(i - 1, 4)
+        for i, j in tried:
+            join(i, j)
+        if hyphens:
+            out.broken += len(_UNDECIDED.findall(text))
+        if not edges:
+            return _rest(text)
+        # best[j]: highest gain of the words before j; a word that no edge takes is kept
+        best, back = [0.0] * (count + 1), [None] * (count + 1)
+        for j in range(1, count + 1):
+            best[j] = best[j - 1]
+            for e in edges.get(j, ()):
+                if best[e[0]] + e[1] > best[j]:
+                    best[j], back[j] = best[e[0]] + e[1], e
+        made, j, end = [], count, len(text)
+        while j:
+            e = back[j]
+            if e is None:
+                j -= 1
+                continue
+            made += [_rest(text[tokens[j - 1][1] : end]), e[2]]
+            end = tokens[e[0]][0]
+            out.broken, out.confused, out.spaced = out.broken + e[3], out.confused + e[4], out.spaced + e[5]
+            out.short += e[4] and len(text[end : tokens[j - 1][1]]) < 4
+            j = e[0]
+        return "".join([*made, _rest(text[:end])][::-1])
 
     def letters(self, text: str, out: Repaired) -> str:
         """``text`` with misread CJK letters put right by the pairs they form with their neighbours."""
@@ -418,10 +566,7 @@ class Decoder:
                 a, b = _WORD.search(stem[::-1]), _WORD.match(line)
                 left = stem[len(stem) - a.end() :] if a and a.start() == 0 else ""
                 if left and b and first.islower():
-                    low = (left + b[0]).lower()
-                    whole = max(self.n(low), self.n(self.reading(low) or low))
-                    text = stem + line if whole >= 1 or self.n(b[0].lower()) < KNOWN else stem + "-" + line
-                    out.broken += 1
+                    text = stem + "-\n" + line
                 elif left and b and not first.islower() and self.n(b[0].lower()) >= KNOWN and not left.isupper():
                     text = stem + "-" + line
                 else:
@@ -435,8 +580,19 @@ class Decoder:
                 out.broken += 1
                 text = text + line
             else:
-                text = text + " " + line
-        return self.letters(self.words(text, out, ended), out)
+                text = text + "\n" + line
+        # paragraphs come again from run to run
+        done = self._done.get((text, ended))
+        if done is None:
+            done = Repaired("")
+            done.text = self.letters(self.words(text, done, ended), done)
+            self._kept += len(text)
+            if self._kept > 4_000_000:
+                self._done.clear()
+                self._kept = len(text)
+            self._done[text, ended] = done
+        out.broken, out.confused, out.spaced, out.short = out.broken + done.broken, out.confused + done.confused, out.spaced + done.spaced, out.short + done.short
+        return done.text
 
     def _close(self, run: str, out: Repaired) -> str:
         units = re.split(r"( +)", run)
@@ -446,6 +602,16 @@ class Decoder:
         return "".join(x if k % 2 == 0 else " " * (len(x) // 2) for k, x in enumerate(units))
 
 
+def _cased(read: str, w: str) -> str:
+    """``read`` in the case of ``w``."""
+    return read.upper() if w.isupper() and len(w) > 1 else read[0].upper() + read[1:] if w[0].isupper() else read
+
+
+def _rest(text: str) -> str:
+    """What no reading changes: a hyphen at a line end stays, other line ends are spaces."""
+    return _UNDECIDED.sub("-", text).replace("\n", " ") if "\n" in text else text
+
+
 def _is_letter(c: str) -> bool:
     return bool(c) and ("぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or c == "—")
 

@@ -157,6 +157,28 @@ def test_repair_keeps_rows(spark):
     assert scanned.repair(df.limit(0), "content", *scanned.corpus_counts(df.limit(0), "content")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("noisy", "clean"),
+    [
+        ("The depart\nment notes the reason.", "The department notes the reason."),
+        ("The depart ment notes the reason.", "The department notes the reason."),
+        ("The depa\nrtm\nent notes the reason.", "The department notes the reason."),
+        ("The depa-\nrtm-\nent notes the reason.", "The department notes the reason."),
+        ("The dcpart\nment notes the reason.", "The department notes the reason."),
+        ("The readerreturns every file.", "The reader returns every file."),
+        ("The reader returns\nevery file on\nward.", "The reader returns every file onward."),
+    ],
+)
+def test_joined_and_split_words(noisy, clean):
+    done = decoder().repair(noisy)
+    assert done.text == clean and done.noisy
+
+
+def test_words_that_stand():
+    text = "The reader\nreturns the\nfile to the office and second file."
+    assert decoder().repair(text).text == text.replace("\n", " ") and not decoder().repair(text).noisy
+
+
 def test_counts_of_absent_words_are_zero(spark):
     # 30,000 words would fill 2^20 cells so that about 3 in 100 made-up words fall into the cell of one of them
     letters = "abcdefghij"
