@@ -539,11 +539,14 @@ class Decoder:
             cost[i] = (-1.5 if ends else 6.0) + (-1.0 if short and ends else 2.5) + (0.0 if not lines[i][:1].islower() else 3.0)
         # best[i]: lowest cost of lines[:i] with a paragraph ending before i; a paragraph of one short line costs extra
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        # the cheapest beginning of a paragraph of two lines or more
+        least, start = math.inf, 0
         for j in range(1, n + 1):
-            for i in range(max(0, j - 200), j):
-                c = best[i] + (cost[i] if i else 0.0) + (0.8 if j - i == 1 and width[i] < 0.5 * full else 0.0)
-                if c < best[j]:
-                    best[j], back[j] = c, i
+            c = best[j - 1] + (cost[j - 1] if j > 1 else 0.0)
+            one = c + (0.8 if width[j - 1] < 0.5 * full else 0.0)
+            best[j], back[j] = (one, j - 1) if one < least else (least, start)
+            if c < least:
+                least, start = c, j - 1
         out, j = [], n
         while j:
             out.append(lines[back[j] : j])

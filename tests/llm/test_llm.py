@@ -179,6 +179,11 @@ def test_words_that_stand():
     assert decoder().repair(text).text == text.replace("\n", " ") and not decoder().repair(text).noisy
 
 
+def test_long_paragraph_stays_whole():
+    lines = ["the reader returns every file to the office and"] * 450
+    assert decoder()._paragraphs(lines) == [lines]
+
+
 def test_counts_of_absent_words_are_zero(spark):
     # 30,000 words would fill 2^20 cells so that about 3 in 100 made-up words fall into the cell of one of them
     letters = "abcdefghij"
