@@ -1,8 +1,10 @@
 """Problem 3: noise in text from scanned pages.
 
-Counts of words, of pairs of CJK letters and of headings are taken over the whole corpus, each under its full 64-bit
-key, so that what isn't in the corpus counts nothing. With them a noisy-channel decoder reads a chunk's lines: page numbers and running heads inside the
-text are taken out, the lines of running text become one character stream, and a dynamic program over its word ends
+Counts of words and of pairs of CJK letters are taken over the whole corpus, each under its full 64-bit key, so that
+what isn't in the corpus counts nothing. What is sent to the workers are those with at least a share of ``SHARE`` of
+all counts, so at most 1 / ``SHARE`` of them whatever the corpus; the others count as that share. Headings are kept as
+keys of their whole text: up to ``HEADS`` of them are sent, beyond that they are joined to the lines that ask for them.
+A noisy-channel decoder reads a chunk's lines: page numbers and running heads inside the text are taken out, the lines of running text become one character stream, and a dynamic program over its word ends
 searches the best segmentation: keep a word, join it over a line end or space, drop the hyphen at a line end, split it, or
 replace characters that readers of pages confuse. A reading is only changed where the counts speak clearly for it.
 Letter spacing is closed, and misread CJK letters are put right, by rules before and after that.
@@ -17,22 +19,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.arrow import code_points, slices
 from pagemill.llm.lookalike import TO_LATIN, fold
-from pagemill.sources.tables import table
+from pagemill.sources.tables import cut, table
 
-#: Size of an array of counts by cell (see ``Dense``).
-CELLS = 1 << 20
+#: The least share of all counts with which a word or pair is kept by itself: at most 1 / SHARE are, 16 bytes each.
+SHARE = 5e-8
+#: Headings that are sent to the workers at most (8 bytes each); more are joined.
+HEADS = 1 << 21
 #: How many times as frequent a reading must be as what stands there, for one change and for each further one.
 CLEARLY, FURTHER = 60.0, 4.0
 #: Least number of times that a word must occur to be taken as a reading.
@@ -67,8 +70,16 @@ _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _WIDE = re.compile(f"[{_CJK}　-〿＀-￯—]")
 _SPACED = re.compile(r"(?:(?<=^)|(?<=\s))\S(?: {1,3}\S){5,}(?=\s|$)")
 _MASK, _BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
-_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(64)], dtype=np.uint64)
-_WORD_SALT, _PAIR_SALT, _TITLE_SALT = 0x1234567, 0x89ABCDE, 0x55AA55A
+_LAST = 511
+_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(_LAST + 2)], dtype=np.uint64)
+_POWER_LIST = _POWERS.tolist()
+_WORD_SALT, _PAIR_SALT, _TITLE_SALT, _SHAPE_SALT = 0x1234567, 0x89ABCDE, 0x55AA55A, 0x3C3C3C3
+#: What is left of a letter when all readings of ``CONFUSED`` are one: two words that a chain of them leads to one
+#: another have the same shape.
+_SHAPE = dict.fromkeys("il1uühb", "") | {"d": "c", "e": "c", "t": "f", "m": "rr", "n": "r", "w": "vv", "y": "v", "g": "q", "0": "o", "5": "s"}
+_SHAPE_1, _SHAPE_2 = np.arange(0x250, dtype=np.uint32), np.zeros(0x250, dtype=np.uint32)
+for _a, _b in _SHAPE.items():
+    _SHAPE_1[ord(_a)], _SHAPE_2[ord(_a)] = ord(_b[0]) if _b else 0, ord(_b[1]) if len(_b) > 1 else 0
 
 
 def _lower_table() -> np.ndarray:
@@ -100,10 +111,6 @@ def _key(values: np.ndarray | int, salt: int) -> np.ndarray | int:
         return (values ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _cell(value: int, salt: int) -> int:
-    return _key(value, salt) >> 44
-
-
 class Keyed:
     """Counts by key: the sorted keys and how often each occurs; a key that isn't there counts 0."""
 
@@ -115,31 +122,44 @@ class Keyed:
         i = int(self.keys.searchsorted(np.uint64(key)))
         return float(self.counts[i]) if i < self.keys.size and int(self.keys[i]) == key else 0.0
 
+    def __contains__(self, key: int) -> bool:
+        return self.of(key) > 0
+
     def top(self) -> float:
         return float(self.counts.max(initial=0))
 
-    def total(self) -> float:
-        return float(self.counts.sum(dtype=np.float64))
 
+@dataclass
+class Lexicon:
+    """Counts of words and CJK pairs, the highest count of each shape of words, what an absent word may count, and the longest word."""
 
-class Dense:
-    """Counts given as an array by cell, for a vocabulary of a few words."""
+    counts: Keyed
+    shapes: Keyed
+    absent: float
+    longest: int
+    total: float
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
 
-    def of(self, key: int) -> float:
-        return float(self.counts[key >> 44])
+def _word_value(word: str) -> int:
+    if len(word) > _LAST:
+        return (sum(ord(c) * p for c, p in zip(word, _POWER_LIST[:_LAST])) + sum(map(ord, word[_LAST:])) * _POWER_LIST[_LAST]) & _MASK
+    return sum(ord(c) * p for c, p in zip(word, _POWER_LIST)) & _MASK
 
-    def top(self) -> float:
-        return float(self.counts.max(initial=0))
 
-    def total(self) -> float:
-        return float(self.counts.sum(dtype=np.float64))
+def _shape_key(word: str) -> int:
+    return _key(_word_value("".join(_SHAPE.get(c, c) for c in word)), _SHAPE_SALT)
 
 
-def _word_value(word: str) -> int:
-    return sum(ord(c) * int(_POWERS[min(k, 63)]) for k, c in enumerate(word)) & _MASK
+def _shape_keys(low: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The keys of the shapes of words, given the letters of a text and where each word starts."""
+    at = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(int(length.sum()))
+    a, b = _SHAPE_1[low[at]], _SHAPE_2[low[at]]
+    ends = np.r_[0, np.cumsum((a > 0).astype(np.int64) + (b > 0))]
+    first = np.r_[0, np.cumsum(length)[:-1]]
+    k = ends[:-1] - np.repeat(ends[first], length)
+    with np.errstate(over="ignore"):
+        value = a.astype(np.uint64) * _POWERS[np.minimum(k, _LAST)] + b.astype(np.uint64) * _POWERS[np.minimum(k + 1, _LAST)]
+        return _key(np.add.reduceat(value, first), _SHAPE_SALT)
 
 
 def _is_cjk(p: np.ndarray) -> np.ndarray:
@@ -151,8 +171,8 @@ def title_key(line: str) -> str:
     return " ".join(re.sub(r"^[#\s]*(?:§\s*\d+)?", "", line).lower().split())
 
 
-def corpus_counts(texts: DataFrame, column: str) -> tuple[Keyed, Keyed]:
-    """Counts of words and of pairs of CJK letters, and of headings, by key, over all rows."""
+def corpus_counts(texts: DataFrame, column: str) -> tuple[Lexicon, DataFrame]:
+    """The lexicon of words and pairs of CJK letters, and the keys (``key``) of all headings, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, column):
@@ -163,16 +183,17 @@ def corpus_counts(texts: DataFrame, column: str) -> tuple[Keyed, Keyed]:
             low = np.where(flat < 0x10000, _LOWER[np.minimum(flat, 0xFFFF)], 0)
             letter = low > 0
             start = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
-            met: list[np.ndarray] = []
             if start.size:
                 length = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1 - start
                 where = np.arange(flat.size) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, flat.size]))
                 with np.errstate(over="ignore"):
-                    value = np.add.reduceat(np.where(letter, low.astype(np.uint64) * _POWERS[np.minimum(where, 63)], np.uint64(0)), start)
-                met.append(_key(value[length <= 40], _WORD_SALT))
+                    value = np.add.reduceat(np.where(letter, low.astype(np.uint64) * _POWERS[np.minimum(where, _LAST)], np.uint64(0)), start)
+                keys, first, n = np.unique(_key(value, _WORD_SALT), return_index=True, return_counts=True)
+                yield _counted(0, keys, _shape_keys(low, start[first], length[first]), length[first], n)
             wide = _is_cjk(flat) | (flat == 0x2014)
             pair = wide[:-1] & wide[1:]
-            met.append(_key(flat[:-1][pair].astype(np.uint64) << np.uint64(21) | flat[1:][pair], _PAIR_SALT))
+            keys, n = np.unique(_key(flat[:-1][pair].astype(np.uint64) << np.uint64(21) | flat[1:][pair], _PAIR_SALT), return_counts=True)
+            yield _counted(1, keys, np.zeros_like(keys), np.zeros_like(n), n)
             heads: list[int] = []
             for text in own:
                 at = 0 if text.startswith("#") else text.find("\n#") + 1
@@ -180,14 +201,31 @@ def corpus_counts(texts: DataFrame, column: str) -> tuple[Keyed, Keyed]:
                     end = text.find("\n", at)
                     heads.append(_key(_word_value(title_key(fold(text[at : end if end >= 0 else len(text)]))), _TITLE_SALT))
                     at = text.find("\n#", at) + 1 if end >= 0 and text.find("\n#", at) >= 0 else len(text)
-            for title, keys in ((False, np.concatenate(met)), (True, np.array(heads, dtype=np.uint64))):
-                keys, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, title)), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["title", "key", "n"])
-
-    summed = texts.select(column).mapInArrow(count, "title boolean, key bigint, n bigint").groupBy("title", "key").agg(F.sum("n").alias("n")).toArrow()
-    title, keys = summed.column("title").to_numpy(), summed.column("key").to_numpy().view(np.uint64)
-    n = summed.column("n").to_numpy()
-    return Keyed(keys[~title], n[~title]), Keyed(keys[title], n[title])
+            keys, n = np.unique(np.array(heads, dtype=np.uint64), return_counts=True)
+            yield _counted(2, keys, np.zeros_like(keys), np.zeros_like(n), n)
+
+    met = texts.select(column).mapInArrow(count, "kind int, key bigint, shape bigint, size int, n bigint")
+    summed = cut(met.groupBy("kind", "key").agg(F.min("shape").alias("shape"), F.min("size").alias("size"), F.sum("n").alias("n")), "scanned-counts")
+    words = summed.where("kind < 2")
+    total = float(words.agg(F.sum("n")).first()[0] or 0)
+    least = SHARE * total
+    # all words where a single occurrence is above the share, at most 1 / SHARE in any case
+    kept = words.where(F.col("n") >= least).select("kind", "key", "shape", "size", "n").toArrow()
+    keys, shape, n = (kept.column(k).to_numpy() for k in ("key", "shape", "n"))
+    word = kept.column("kind").to_numpy() == 0
+    frequent = word & (n >= KNOWN)
+    order = np.argsort(n[frequent], kind="stable")[::-1]
+    shapes, first = np.unique(shape[frequent][order].view(np.uint64), return_index=True)
+    longest = int(kept.column("size").to_numpy()[frequent].max(initial=0))
+    lexicon = Lexicon(Keyed(keys.view(np.uint64), n), Keyed(shapes, n[frequent][order][first]), max(0.2, least if least > 1 else 0.0), longest, max(1.0, total))
+    return lexicon, summed.where("kind = 2").select("key")
+
+
+def _counted(kind: int, keys: np.ndarray, shapes: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(keys.size, kind), pa.int32()), pa.array(keys.view(np.int64)), pa.array(shapes.view(np.int64)), pa.array(sizes, pa.int32()), pa.array(n, pa.int64())],
+        names=["kind", "key", "shape", "size", "n"],
+    )
 
 
 @dataclass
@@ -207,9 +245,10 @@ class Repaired:
 
 
 class Decoder:
-    def __init__(self, counts: Keyed | np.ndarray, titles: Keyed | np.ndarray):
-        self.counts, self.titles = (Dense(x) if isinstance(x, np.ndarray) else x for x in (counts, titles))
-        self.top, self.total = self.counts.top(), max(1.0, self.counts.total())
+    def __init__(self, lexicon: Lexicon, titles: Container[int]):
+        self.counts, self.shapes, self.absent, self.longest, self.total = lexicon.counts, lexicon.shapes, lexicon.absent, lexicon.longest, lexicon.total
+        self.titles = titles
+        self.top = self.counts.top()
         # words without a reading of their own; neighbours in a line that aren't one word, by two and by three
         self._settled: set[str] = set()
         self._apart: tuple[set, set] = set(), set()
@@ -247,10 +286,14 @@ class Decoder:
         return self._readings[word]
 
     def _search(self, word: str) -> str | None:
-        if len(word) < 2 or len(word) > 40:
+        # each of three changes adds a letter at most
+        if len(word) < 2 or len(word) > self.longest + 3:
             return None
         own = self.n(word) if word.isalpha() else 0.0
-        needed = max(KNOWN, CLEARLY * max(own, 0.2))
+        needed = max(KNOWN, CLEARLY * max(own, self.absent))
+        # no word that a chain of changes can lead to is frequent enough
+        if self.shapes.of(_shape_key(word)) < needed:
+            return None
         beam, seen = {word}, {word}
         best: tuple[float, str] | None = None
         for edits in range(1, 4):
@@ -271,29 +314,29 @@ class Decoder:
                 return best[1]
             needed *= FURTHER
             # no word is frequent enough to be a clear reading of this one
-            if needed > self.top or len(grown) * len(word) > 4000:
+            if needed > self.top:
                 return None
             beam = set(grown)
         return None
 
     def _split(self, word: str) -> tuple[float, str] | None:
         """Two words that were run together: how often they would meet by chance speaks for them."""
-        if not word.isalpha() or len(word) > 40:
+        if not word.isalpha() or len(word) > 2 * self.longest:
             return None
-        needed = CLEARLY * FURTHER * max(self.n(word), 0.2)
+        needed = CLEARLY * FURTHER * max(self.n(word), self.absent)
         if needed > self.top:
             return None
-        n, k = max(((self.n(word[:k]) * self.n(word[k:]) / self.total, k) for k in range(1, len(word))), default=(0.0, 0))
+        n, k = max(((self.n(word[:k]) * self.n(word[k:]) / self.total, k) for k in range(max(1, len(word) - self.longest), min(len(word), self.longest + 1))), default=(0.0, 0))
         return (math.log(n / needed), f"{word[:k]} {word[k:]}") if n >= max(KNOWN, needed) else None
 
     def _rare(self, word: str) -> bool:
         """Whether some word may be clearly more frequent, so that this one may be a piece of it."""
-        return word.isalpha() and CLEARLY * max(self.n(word), 0.2) <= self.top
+        return word.isalpha() and CLEARLY * max(self.n(word), self.absent) <= self.top
 
     def _joined(self, words: list[str], gaps: list[str]) -> float | None:
         """Gain of reading ``words`` (lower case) as one word over the breaks between them; null if it isn't clear."""
         made = "".join(words)
-        if len(made) > 40:
+        if len(made) > self.longest + 3:
             return None
         n, least, open_ = self.n(made), min(map(self.n, words)), [g for g in gaps if g != "-\n"]
         if not open_:
@@ -302,7 +345,7 @@ class Decoder:
                 return math.log(whole + 1)
             after = [self.n(w) for w in words[1:]]
             return sum(math.log((KNOWN + 1) / (x + 1)) for x in after) if max(after) < KNOWN else None
-        needed = CLEARLY * FURTHER ** (len(gaps) - 1 + gaps.count(" ")) * max(least, 0.2)
+        needed = CLEARLY * FURTHER ** (len(gaps) - 1 + gaps.count(" ")) * max(least, self.absent)
         if n >= max(KNOWN, needed):
             return math.log(n / needed) + 1e-6
         if n or " " in gaps or not all(map(self._rare, words)):
@@ -364,9 +407,9 @@ class Decoder:
         def around(i: int, shortest: int) -> None:
             """Tries the words from ``shortest`` on that hold word i and its next: pieces that are rare, and one neighbour on either side."""
             first = last = i
-            while gap(first - 1) and self._rare(tokens[first][2].lower()) and tokens[i][1] - tokens[first][0] <= 80:
+            while gap(first - 1) and self._rare(tokens[first][2].lower()) and tokens[i][1] - tokens[first][0] <= 2 * self.longest:
                 first -= 1
-            while gap(last) and (last == i or self._rare(tokens[last][2].lower())) and tokens[last][1] - tokens[i][0] <= 80:
+            while gap(last) and (last == i or self._rare(tokens[last][2].lower())) and tokens[last][1] - tokens[i][0] <= 2 * self.longest:
                 last += 1
             for x in range(first, i + 1):
                 spaces, least = 0, self.n(tokens[x][2].lower())
@@ -374,7 +417,7 @@ class Decoder:
                     spaces += gap(y - 1) == " "
                     least = min(least, self.n(tokens[y][2].lower()))
                     # no word is frequent enough to be a clear reading of so many pieces
-                    if y > i and y + 1 - x >= shortest and CLEARLY * FURTHER ** (y - x - 1 + spaces) * max(least, 0.2) <= self.top:
+                    if y > i and y + 1 - x >= shortest and CLEARLY * FURTHER ** (y - x - 1 + spaces) * max(least, self.absent) <= self.top:
                         tried.add((x, y + 1))
 
         if "\n" in text:
@@ -403,7 +446,7 @@ class Decoder:
             low = w.lower()
             r, parts = self.reading(low) if _MIXED.fullmatch(w) else None, self._split(low)
             # four pieces in a line
-            scarce = w.isalpha() and CLEARLY * FURTHER**5 * max(self.n(low), 0.2) <= self.top
+            scarce = w.isalpha() and CLEARLY * FURTHER**5 * max(self.n(low), self.absent) <= self.top
             if not scarce and r is None and parts is None:
                 if len(self._settled) > 300_000:
                     self._settled.clear()
@@ -412,7 +455,7 @@ class Decoder:
             if (r or parts) and not stands(a, b):
                 plain = w.isalpha() or (w.islower() or w[0].isupper() and w[1:].islower()) and not re.match(r"[.,/-]\d", text[b:])
                 if r and plain:
-                    add(i, i + 1, math.log(max(self.n(r), 1.0) / (CLEARLY * max(self.n(low) if low.isalpha() else 0.0, 0.2))) + 1e-3, _cased(r, w), confused=1)
+                    add(i, i + 1, math.log(max(self.n(r), 1.0) / (CLEARLY * max(self.n(low) if low.isalpha() else 0.0, self.absent))) + 1e-3, _cased(r, w), confused=1)
                 if parts:
                     add(i, i + 1, parts[0] + 1e-6, _cased(parts[1], w), splits=1)
             if scarce:
@@ -479,13 +522,17 @@ class Decoder:
         return self._is_title(plain)
 
     def _is_title(self, line: str) -> bool:
-        return len(line) >= 4 and not _TERMINAL.search(line) and self.titles.of(_key(_word_value(title_key(line)), _TITLE_SALT)) > 0
+        return len(line) >= 4 and not _TERMINAL.search(line) and _key(_word_value(title_key(line)), _TITLE_SALT) in self.titles
 
-    def repair(self, text: str) -> Repaired:
-        out = Repaired(text)
+    def _lines(self, text: str) -> tuple[list[str], list[bool], list[int]]:
+        """The lines, which of them are running text, and which of those may be page numbers or running heads."""
         lines = text.split("\n")
         body = [bool(x.strip()) and (not _OTHER.match(x) or bool(_PAGE.fullmatch(x.strip()))) for x in lines]
-        numbers = [i for i, x in enumerate(lines) if body[i] and self._furniture(x)]
+        return lines, body, [i for i, x in enumerate(lines) if body[i] and self._furniture(x)]
+
+    def repair(self, text: str) -> Repaired:
+        out = Repaired(text)
+        lines, body, numbers = self._lines(text)
         for i in set(range(len(lines))).difference(numbers):
             body[i] = body[i] and not _LABEL.match(lines[i])
         running = [i for i in range(len(lines)) if body[i] and i not in set(numbers)]
@@ -619,30 +666,64 @@ def _is_letter(c: str) -> bool:
     return bool(c) and ("぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or c == "—")
 
 
-def _shared(spark: SparkSession, counts: Keyed, titles: Keyed) -> Broadcast:
-    """The counts: 16 bytes for each distinct word, pair and heading."""
-    return spark.sparkContext.broadcast((counts, titles))
+class _Asked(list):
+    """Collects the keys that are asked for, and holds none."""
+
+    def __contains__(self, key: int) -> bool:
+        self.append(key)
+        return False
+
 
+def _with_heads(texts: DataFrame, column: str, heads: DataFrame) -> DataFrame:
+    """``texts`` with ``_heads``: the keys of headings that its lines may repeat; texts meet them by two hashes of their content."""
 
-def repair(texts: DataFrame, column: str, counts: Keyed, titles: Keyed) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _Asked()
+        reader = Decoder(Lexicon(Keyed(np.zeros(0, np.uint64), np.zeros(0)), Keyed(np.zeros(0, np.uint64), np.zeros(0)), 0.2, 0, 1.0), asked)
+        for b in slices(batches, column):
+            row, keys = [], []
+            for i, x in enumerate(b.column(column).to_pylist()):
+                if x:
+                    reader._lines(_plain(x))
+                    row += [i] * len(asked)
+                    keys += asked
+                    asked.clear()
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("_h1").take(at), b.column("_h2").take(at), pa.array(np.array(keys, dtype=np.uint64).view(np.int64))], names=["_h1", "_h2", "key"])
+
+    hashed = texts.withColumns({"_h1": F.xxhash64(column), "_h2": F.hash(column)})
+    asked = hashed.select("_h1", "_h2", column).mapInArrow(ask, "_h1 bigint, _h2 int, key bigint").distinct()
+    met = asked.join(heads, "key", "left_semi").groupBy("_h1", "_h2").agg(F.collect_set("key").alias("_heads"))
+    return hashed.join(met, ["_h1", "_h2"], "left").select(*texts.columns, "_heads")
+
+
+def repair(texts: DataFrame, column: str, lexicon: Lexicon, heads: DataFrame) -> DataFrame:
     """``texts`` with ``repaired``, ``broken``, ``confused``, ``furniture`` and ``spaced`` (numbers of what was mended)."""
     made = ("repaired", "broken", "confused", "furniture", "spaced")
-    if clash := set(made) & set(texts.columns):
+    if clash := {*made, "_heads", "_h1", "_h2"} & set(texts.columns):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     names = texts.columns
-    shared = _shared(texts.sparkSession, counts, titles)
+    few = heads.count() <= HEADS
+    keys = heads.toArrow().column("key").to_numpy().view(np.uint64) if few else np.zeros(0, dtype=np.uint64)
+    known = Keyed(keys, np.ones(keys.size, dtype=np.float32))
+    shared = texts.sparkSession.sparkContext.broadcast((lexicon, known))
     schema = T.StructType([*texts.schema.fields, T.StructField("repaired", T.StringType()), *(T.StructField(k, T.IntegerType()) for k in made[1:])])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(*shared.value)
         for b in slices(batches, column):
-            done = [Repaired(x) if not x else decoder.repair(_plain(x)) for x in b.column(column).to_pylist()]
+            own = [None] * b.num_rows if few else b.column("_heads").to_pylist()
+            done = []
+            for x, here in zip(b.column(column).to_pylist(), own):
+                if not few:
+                    decoder.titles = {k & _MASK for k in here or ()}
+                done.append(decoder.repair(_plain(x)) if x else Repaired(x))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([d.text for d in done], pa.string()), *(pa.array([getattr(d, k) for d in done], pa.int32()) for k in made[1:])],
+                [*(b.column(k) for k in names), pa.array([d.text for d in done], pa.string()), *(pa.array([getattr(d, k) for d in done], pa.int32()) for k in made[1:])],
                 names=[*names, *made],
             )
 
-    return texts.mapInArrow(apply, schema)
+    return (texts if few else _with_heads(texts, column, heads)).mapInArrow(apply, schema)
 
 
 def _plain(text: str) -> str:
@@ -655,10 +736,12 @@ _INVISIBLE = re.compile(r"[\u200b-\u200f\u2060\ufeff]|\u00ad(?! ?\n)")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    chunks = table(spark, root, "chunks")
-    texts = chunks.where("length(content) > 0").select("run_id", "chunk_id", "content")
-    done = repair(texts, "content", *corpus_counts(chunks, "content"))
-    return done.where("broken + confused + furniture + spaced > 0").select("run_id", "chunk_id").distinct()
+    """Chunks whose content needs mending; a content that several chunks share is read once."""
+    chunks = table(spark, root, "chunks").where("length(content) > 0").select("run_id", "chunk_id", "content")
+    done = repair(chunks.select("content").distinct(), "content", *corpus_counts(chunks, "content"))
+    form = (F.xxhash64("content").alias("h1"), F.hash("content").alias("h2"))
+    noisy = done.where("broken + confused + furniture + spaced > 0").select(*form)
+    return chunks.select("run_id", "chunk_id", *form).join(noisy, ["h1", "h2"], "left_semi").select("run_id", "chunk_id").distinct()
 
 
 def p3_repaired(spark: SparkSession, root: str) -> DataFrame:

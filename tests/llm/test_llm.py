@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import oracle
 from pagemill.functions.tokens import estimate
 from pagemill.llm import language, leaks, lookalike, pack, privacy, registry, scanned, spam, split, truncation
+from pagemill.llm.arrow import code_points
 from pagemill.llm.langs import guess, label
 
 DATA = "/root/testdata/sf0.001"
@@ -119,14 +120,16 @@ def test_labels(spark):
 
 
 def decoder() -> scanned.Decoder:
-    counts, titles = np.zeros(scanned.CELLS, dtype=np.float32), np.zeros(scanned.CELLS, dtype=bool)
+    counts, shapes = {}, {}
     for word in "the reader returns every file of department to office and notes reason in log whenever storage is opened onward second".split():
-        counts[scanned._cell(scanned._word_value(word), scanned._WORD_SALT)] += 5000
+        counts[scanned._key(scanned._word_value(word), scanned._WORD_SALT)] = 5000
+        shapes[scanned._shape_key(word)] = 5000
     for text in ("申請人應將表格送交", "單位應核對", "複核人員"):
         for a, b in zip(text, text[1:]):
-            counts[scanned._cell(ord(a) << 21 | ord(b), scanned._PAIR_SALT)] += 5000
-    titles[scanned._cell(scanned._word_value(scanned.title_key("Guide to overtime")), scanned._TITLE_SALT)] = True
-    return scanned.Decoder(counts, titles)
+            counts[scanned._key(ord(a) << 21 | ord(b), scanned._PAIR_SALT)] = 5000
+    title = scanned._key(scanned._word_value(scanned.title_key("Guide to overtime")), scanned._TITLE_SALT)
+    keyed = lambda x: scanned.Keyed(np.array(list(x), dtype=np.uint64), np.array(list(x.values()), dtype=np.float64))
+    return scanned.Decoder(scanned.Lexicon(keyed(counts), keyed(shapes), 0.2, 10, 5000.0 * len(counts)), {title})
 
 
 @pytest.mark.parametrize(
@@ -189,11 +192,40 @@ def test_counts_of_absent_words_are_zero(spark):
     letters = "abcdefghij"
     made = ["k" + "".join(letters[int(d)] for d in f"{i:05d}") for i in range(30_000)]
     df = spark.createDataFrame([(" ".join(made[k : k + 1000]),) for k in range(0, 30_000, 1000)] + [("## A head\n申請",)], "content string")
-    d = scanned.Decoder(*scanned.corpus_counts(df, "content"))
+    lexicon, heads = scanned.corpus_counts(df, "content")
+    d = scanned.Decoder(lexicon, {r["key"] & (1 << 64) - 1 for r in heads.collect()})
     assert all(d.n(w) == 1 for w in made[::100]) and d.pair("申", "請") == 1 and d._is_title("A head")
     assert not any(d.n("z" + w[1:]) for w in made[:3000]) and not any(d._is_title("T " + w) for w in made[:3000])
 
 
+@pytest.mark.parametrize(("a", "b"), scanned.CONFUSED)
+def test_readings_keep_their_shape(a, b):
+    assert scanned._shape_key(f"wo{a}rds") == scanned._shape_key(f"wo{b}rds")
+
+
+def test_shapes_of_a_text(spark):
+    words = ["mmodern", "window", "il1", "café", "x" * 700, "a"]
+    flat, _ = code_points([" ".join(w for w in words if w.isalpha())])
+    low = scanned._LOWER[flat]
+    letter = low > 0
+    start = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
+    length = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1 - start
+    assert scanned._shape_keys(low, start, length).tolist() == [scanned._shape_key(w) for w in words if w.isalpha()]
+
+
+def test_running_heads_by_join_and_by_broadcast(spark, monkeypatch):
+    """Headings beyond the bound are joined; both ways give one result, and a million foreign headings delete no line."""
+    body = "the reader returns every file to the office and the department notes it\nGuide to overtime\n12\nand the reason is kept in the log of the office."
+    df = spark.createDataFrame([(1, body), (2, "# Guide to overtime\n\n" + body.replace("Guide to overtime", "Guide to nothing")), (3, None), (4, body)], "k int, content string")
+    lexicon, heads = scanned.corpus_counts(df, "content")
+    foreign = spark.range(1_000_000).select((F.col("id") * 7919 * 7919).alias("key"))
+    want = scanned.repair(df, "content", lexicon, heads).orderBy("k").collect()
+    assert [r["furniture"] for r in want] == [2, 1, 0, 2] and "nothing" in want[1]["repaired"]
+    assert scanned.repair(df, "content", lexicon, heads.union(foreign)).orderBy("k").collect() == want
+    monkeypatch.setattr(scanned, "HEADS", 10)
+    assert scanned.repair(df, "content", lexicon, heads.union(foreign)).orderBy("k").collect() == want
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
