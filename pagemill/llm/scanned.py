@@ -64,6 +64,7 @@ _TERMINAL = re.compile(r"[.!?:。！？：][\"'”»」』）)]*\s*$")
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _MIXED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ015]*[a-zß-öø-ɏ][A-Za-zÀ-ÖØ-öø-ɏ015]*")
 _TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ015]+")
+_BREAK = re.compile(rf"({_TOKEN.pattern})(-?\n)(?=({_TOKEN.pattern}))")
 _UNDECIDED = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f0-9])-\n(?=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
 _HYPHEN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f0-9])[-\u00ac\u00ad\u2010\u2011] ?$")
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
@@ -251,11 +252,13 @@ class Decoder:
         self.top = self.counts.top()
         # words without a reading of their own; neighbours in a line that aren't one word, by two and by three
         self._settled: set[str] = set()
-        self._apart: tuple[set, set] = set(), set()
+        self._apart: set[tuple[str, ...]] = set()
+        self._levels: dict[str, int] = {}
         self._done: dict[tuple[str, bool], Repaired] = {}
         self._kept = 0
         self._words: dict[str, float] = {}
         self._pairs: dict[str, float] = {}
+        self._pieces: dict[str, bool] = {}
         self._readings: dict[str, str | None] = {}
 
     def n(self, word: str) -> float:
@@ -333,6 +336,23 @@ class Decoder:
         """Whether some word may be clearly more frequent, so that this one may be a piece of it."""
         return word.isalpha() and CLEARLY * max(self.n(word), self.absent) <= self.top
 
+    def _piece(self, word: str) -> bool:
+        """``_rare`` of a word in any case, remembered."""
+        found = self._pieces.get(word)
+        if found is None:
+            if len(self._pieces) > 300_000:
+                self._pieces.clear()
+            found = self._pieces[word] = self._rare(word.lower())
+        return found
+
+    def _level(self, word: str) -> int:
+        """1 for a word that is no piece of one with its neighbours in a line, 2 for one that may be of two, 3 of three."""
+        if len(self._levels) > 300_000:
+            self._levels.clear()
+        n = CLEARLY * FURTHER * max(self.n(word.lower()), self.absent) if word.isalpha() else math.inf
+        found = self._levels[word] = 1 + (n <= self.top) + (n * FURTHER**2 <= self.top)
+        return found
+
     def _joined(self, words: list[str], gaps: list[str]) -> float | None:
         """Gain of reading ``words`` (lower case) as one word over the breaks between them; null if it isn't clear."""
         made = "".join(words)
@@ -357,10 +377,19 @@ class Decoder:
         """``text`` in its best segmentation; line ends without a decision are "\\n", after a hyphen or not. The last word of a text that doesn't end is left alone."""
         hyphens = bool(_UNDECIDED.search(text))
         met = _TOKEN.findall(text)
-        near = list(zip(met, met[1:])), list(zip(met, met[1:], met[2:]))
-        if "\n" not in text and self._settled.issuperset(met) and all(a.issuperset(x) for a, x in zip(self._apart, near)):
-            return text
-        tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
+        # neighbours can be one word only where one of them is seldom enough
+        levels = [self._levels.get(w) or self._level(w) for w in met]
+        seldom = [i for i, x in enumerate(levels) if x > 1]
+        near = [(k, i) for i in sorted({k for i in seldom for k in (i - 1, i)}) if 0 <= i < len(met) - 1 and (k := (met[i], met[i + 1])) not in self._apart]
+        near += [(k, i) for i in sorted({k for i in seldom if levels[i] > 2 for k in (i - 2, i - 1, i)}) if 0 <= i < len(met) - 2 and (k := (met[i], met[i + 1], met[i + 2])) not in self._apart]
+        # where a line ends between words of which one may be a piece of a word, or after a hyphen
+        breaks = [(m.end(1), m[2]) for m in _BREAK.finditer(text) if m[2] != "\n" or self._piece(m[1]) or self._piece(m[3])] if "\n" in text else []
+        loose = [i for i, w in enumerate(met) if w not in self._settled]
+        if hyphens:
+            out.broken += len(_UNDECIDED.findall(text))
+        if not breaks and not loose and not near:
+            return _rest(text)
+        tokens = [(*m.span(), m[0]) for m in _TOKEN.finditer(text)]
         count = len(tokens)
 
         def gap(i: int) -> str:
@@ -420,28 +449,25 @@ class Decoder:
                     if y > i and y + 1 - x >= shortest and CLEARLY * FURTHER ** (y - x - 1 + spaces) * max(least, self.absent) <= self.top:
                         tried.add((x, y + 1))
 
-        if "\n" in text:
+        if breaks:
             at = {e: i for i, (_, e, _) in enumerate(tokens)}
-            for m in re.finditer("-?\n", text):
-                i = at.get(m.start(), -1)
-                if gap(i) == m[0]:
+            for end, mark in breaks:
+                i = at[end]
+                if gap(i) == mark:
                     around(i, 2)
                 j = i + 1
-                while i >= 0 and gap(j - 1) == "-\n":
+                while gap(j - 1) == "-\n":
                     j += 1
                     tried.add((i, j))
-        for k, (apart, those) in enumerate(zip(self._apart, near), 2):
-            if apart.issuperset(those):
-                continue
-            if len(apart) > 300_000:
-                apart.clear()
-            for i, those_words in [(i, x) for i, x in enumerate(those) if x not in apart]:
-                low = [w.lower() for w in those_words]
-                if not all(map(str.isalpha, low)) or k > 2 and not self._rare(low[1]) or self._joined(low, [" "] * (k - 1)) is None:
-                    apart.add(those_words)
-                else:
-                    tried.add((i, i + k))
-        for i in [k for k, w in enumerate(met) if w not in self._settled]:
+        if near and len(self._apart) > 600_000:
+            self._apart.clear()
+        for those, i in near:
+            low = [w.lower() for w in those]
+            if not all(map(str.isalpha, low)) or len(low) > 2 and not self._rare(low[1]) or self._joined(low, [" "] * (len(low) - 1)) is None:
+                self._apart.add(those)
+            else:
+                tried.add((i, i + len(low)))
+        for i in loose:
             a, b, w = tokens[i]
             low = w.lower()
             r, parts = self.reading(low) if _MIXED.fullmatch(w) else None, self._split(low)
@@ -463,8 +489,6 @@ class Decoder:
                 around(i - 1, 4)
         for i, j in tried:
             join(i, j)
-        if hyphens:
-            out.broken += len(_UNDECIDED.findall(text))
         if not edges:
             return _rest(text)
         # best[j]: highest gain of the words before j; a word that no edge takes is kept
@@ -578,7 +602,7 @@ class Decoder:
         n = len(lines)
         if n == 1:
             return [lines]
-        width = [sum(2 if _WIDE.match(c) else 1 for c in x.rstrip()) for x in lines]
+        width = [len(x.rstrip()) + len(_WIDE.findall(x.rstrip())) for x in lines]
         full = max(width)
         cost = [0.0] * n
         for i in range(1, n):
