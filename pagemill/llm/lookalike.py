@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -206,8 +208,12 @@ def canonicalise(df: DataFrame, column: str, output: str, counts: np.ndarray) ->
     return df.mapInArrow(apply, schema)
 
 
-#: Samples that one comparison block of a run holds on average at most, and pieces that a run's chunks are dealt into.
-BLOCK, SALTS = 256, 8
+#: Samples that one comparison block of a run holds on average at most, and samples from which on an automaton looks for all at once.
+BLOCK, MANY = 4096, 24
+#: Bytes of samples that are sent to all tasks at most; more meet their chunks in a shuffle.
+SENT = 64 << 20
+#: A run with more than one in so many of all chunks is dealt into pieces of that size (so at most as many runs are).
+PIECES = 1000
 
 
 def samples_of(gate: DataFrame) -> DataFrame:
@@ -220,12 +226,50 @@ def samples_of(gate: DataFrame) -> DataFrame:
     )
 
 
-def look_alike_pairs(chunks: DataFrame, gate: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(item_a, item_b): chunks of a document with equal canonical and different raw contents, and missing samples that a chunk of their run holds in canonical but not in raw form.
-
-    Samples are gathered by run into blocks and dealt to eight salts of the run's chunks, so that a run with a third
-    of all rows is spread; contents cross the shuffle once. Equal contents meet by the hash of their canonical form,
-    and only groups that hold two different raw texts are joined.
+def _dealt(texts: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``salt``: runs that hold more than one in ``PIECES`` of all rows are dealt into pieces, and their samples go to each."""
+    sizes = texts.groupBy("run_id").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    share = max(1, -(-total // PIECES))
+    hot = [(r["run_id"], -(-r["n"] // share)) for r in sizes.where(f"n > {share} and run_id is not null").collect()]  # fewer than PIECES rows
+    pieces = F.broadcast(texts.sparkSession.createDataFrame(hot, "run_id string, pieces long"))
+    one = F.coalesce("pieces", F.lit(1))
+    dealt = texts.join(pieces, "run_id", "left").withColumn("salt", F.pmod(F.xxhash64("item"), one)).drop("pieces")
+    return dealt, samples.join(pieces, "run_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), one - 1))).drop("pieces")
+
+
+class _Block:
+    """Samples that are looked for in contents: raw, and in canonical form."""
+
+    def __init__(self, samples: list[dict], model: LetterModel):
+        self.samples = [(s["item"], s["sample"], canonical(s["sample"], model)) for s in samples]
+        self.automaton = None
+        if len(samples) >= MANY:
+            self.automaton = ahocorasick.Automaton()
+            by_form: dict[str, list[int]] = {}
+            for k, (_, _, form) in enumerate(self.samples):
+                if form:
+                    by_form.setdefault(form, []).append(k)
+            for form, ks in by_form.items():
+                self.automaton.add_word(form, ks)
+            self.automaton.make_automaton()
+
+    def lost(self, content: str, form: str) -> list[str]:
+        """Items of the samples that ``content`` holds by look and not character for character."""
+        if self.automaton is None:
+            return [item for item, raw, own in self.samples if raw not in content and own and own in form]
+        if not len(self.automaton):
+            return []
+        here = {k for _, ks in self.automaton.iter(form) for k in ks}
+        return [self.samples[k][0] for k in sorted(here) if self.samples[k][1] not in content]
+
+
+def looked_at(chunks: DataFrame, gate: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Of every chunk with text (doc_id, item, form, raw): digests of its canonical form and of its characters; and of every
+    missing sample that a chunk of its run holds in canonical but not in raw form (item, sample_item).
+
+    Samples are gathered by run into blocks. Up to ``SENT`` bytes of them are sent to the chunks, which then don't move;
+    beyond that both meet by run in a shuffle, where large runs are dealt into pieces by their counted rows.
     """
     samples = samples_of(gate)
     blocks = (
@@ -233,45 +277,58 @@ def look_alike_pairs(chunks: DataFrame, gate: DataFrame, counts: np.ndarray) ->
         .withColumn("block", F.expr("pmod(xxhash64(item), of)"))
         .groupBy("run_id", "block")
         .agg(F.collect_list(F.struct("item", "sample")).alias("samples"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    texts = (
-        chunks.where("length(content) > 0")
-        .select("run_id", "doc_id", F.concat_ws("/", "run_id", "chunk_id").alias("item"), "content")
-        .withColumn("salt", F.expr(f"cast(pmod(xxhash64(item), {SALTS}) as int)"))
-    )
-    joined = texts.join(blocks.hint("shuffle_hash"), ["run_id", "salt"], "left").select("doc_id", "item", "content", "samples")
+    blocks = cut(blocks, "lookalike-samples")
+    size = blocks.agg(F.sum(F.aggregate("samples", F.lit(0).cast("bigint"), lambda n, s: n + F.octet_length(s["item"]) + F.octet_length(s["sample"]) + 32))).first()[0] or 0
+    texts = chunks.where("length(content) > 0").select("run_id", "doc_id", F.concat_ws("/", "run_id", "chunk_id").alias("item"), "content")
+    if size <= SENT:
+        joined = texts.join(F.broadcast(blocks), "run_id", "left")
+    else:
+        texts, blocks = _dealt(texts, blocks)
+        joined = texts.join(blocks, ["run_id", "salt"], "left")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LetterModel(counts)
-        forms: dict[str, str] = {}
+        known: OrderedDict[tuple, _Block] = OrderedDict()
         for b in slices(batches, "content"):
             out: list[list] = [[], [], [], [], []]
-            for doc, item, content, samples in zip(*(b.column(k).to_pylist() for k in range(4))):
-                form = canonical(content, model)
-                for row, x in zip(out, (doc, item, None, xxhash.xxh3_128_digest(form.encode()), xxhash.xxh3_128_digest(content.encode()))):
+            rows = zip(*(b.column(k).to_pylist() for k in range(5)), range(b.num_rows))
+            last, form = None, ""
+            for run, block, doc, item, content, i in rows:
+                if content != last:
+                    last, form = content, canonical(content, model)
+                for row, x in zip(out, (doc, item, None, xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")), xxhash.xxh3_128_digest(content.encode("utf-8", "surrogatepass")))):
                     row.append(x)
-                for s in samples or ():
-                    raw = s["sample"]
-                    if raw in content:
-                        continue
-                    if raw not in forms:
-                        if len(forms) > 50_000:
-                            forms.clear()
-                        forms[raw] = canonical(raw, model)
-                    if forms[raw] and forms[raw] in form:
-                        for row, x in zip(out, (None, item, s["item"], None, None)):
-                            row.append(x)
+                if block is None:
+                    continue
+                if (run, block) not in known:
+                    if len(known) > 256:
+                        known.popitem(last=False)
+                    known[run, block] = _Block(b.column("samples")[i].as_py(), model)
+                for other in known[run, block].lost(content, form):
+                    for row, x in zip(out, (None, item, other, None, None)):
+                        row.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()))],
                 names=["doc_id", "item", "sample_item", "form", "raw"],
             )
 
-    met = cut(joined.mapInArrow(match, "doc_id string, item string, sample_item string, form binary, raw binary"), "lookalike")
-    inside = met.where("sample_item is not null").select(F.least("item", "sample_item").alias("item_a"), F.greatest("item", "sample_item").alias("item_b"))
+    joined = joined.select("run_id", "block", "doc_id", "item", "content", "samples")
+    return cut(joined.mapInArrow(match, "doc_id string, item string, sample_item string, form binary, raw binary"), "lookalike")
+
+
+def look_alike_classes(met: DataFrame) -> DataFrame:
+    """(doc_id, item, form, raw) of the chunks whose canonical form a chunk of the same document has in other characters; equal forms meet by their digests."""
     whole = met.where("sample_item is null and doc_id is not null")
     mixed = whole.groupBy("doc_id", "form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("doc_id", "form")
-    members = cut(whole.join(mixed, ["doc_id", "form"], "left_semi").select("doc_id", "form", "raw", "item").distinct(), "lookalike-groups")
+    return whole.join(mixed, ["doc_id", "form"], "left_semi").select("doc_id", "form", "raw", "item").distinct()
+
+
+def look_alike_pairs(chunks: DataFrame, gate: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(item_a, item_b): chunks of a document with equal canonical and different raw contents, and missing samples that a chunk of their run holds in canonical but not in raw form."""
+    met = looked_at(chunks, gate, counts)
+    inside = met.where("sample_item is not null").select(F.least("item", "sample_item").alias("item_a"), F.greatest("item", "sample_item").alias("item_b"))
+    members = cut(look_alike_classes(met), "lookalike-groups")
     a, b = members.alias("a"), members.alias("b")
     pairs = a.join(b, F.expr("a.doc_id = b.doc_id and a.form = b.form and a.raw <> b.raw and a.item < b.item")).select(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"))
     return pairs.unionByName(inside).distinct()
@@ -291,3 +348,12 @@ def p1_canonical(spark: SparkSession, root: str) -> DataFrame:
         .distinct()
     )
     return canonicalise(items, "text", "canonical", letter_model(chunks, "content"))
+
+
+def p1_classes(spark: SparkSession, root: str) -> DataFrame:
+    """The same links without all pairs: every chunk of a class of equal look with its class (the least item of the class) and variant (the least item with the same characters)."""
+    chunks = table(spark, root, "chunks")
+    members = cut(look_alike_classes(looked_at(chunks, table(spark, root, "quality_gate"), letter_model(chunks, "content"))), "lookalike-groups")
+    classes = members.groupBy("doc_id", "form").agg(F.min("item").alias("class_item"), F.countDistinct("raw").alias("n_variants"), F.count("*").alias("n_members"))
+    variants = members.groupBy("doc_id", "form", "raw").agg(F.min("item").alias("variant_item"))
+    return members.join(variants, ["doc_id", "form", "raw"]).join(classes, ["doc_id", "form"]).select("doc_id", "item", "class_item", "variant_item", "n_variants", "n_members")
