@@ -1,10 +1,11 @@
 """Problem 5: personal information inside free text.
 
-Anchor expansion: one Aho-Corasick pass over the folded text finds at-signs, schemes, identifier cues, address words and
-words that stand beside names; at each anchor a deterministic parser expands to the left or right and validates what
-it finds (the parts of an e-mail address, the digit groups of a telephone number, the shape of an identity number, the
-order of street, number, postcode and town, the form of a name). Telephone numbers are also anchored by their own
-opening (a plus sign, a bracketed or leading zero, the American 3-3-4 grouping). Offsets lead back to the stored text, in
+Anchor expansion: one Aho-Corasick pass over the folded text finds at-signs, schemes, identifier cues, parts of addresses,
+openings of telephone and account numbers, given names and words that stand beside names. At each anchor a
+deterministic parser expands to the left or right and validates what it finds: the parts of an e-mail address, the
+digit groups of a telephone number from its opening (a plus sign, a bracket, a leading zero, a group before a separator), the
+shape of an identity number, the check digits of a bank account or card, the order of street, number, postcode and
+town within the anchor's paragraph, the form of a name. Offsets lead back to the stored text, in
 which only the found spans are replaced by ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` and ``[PERSON]``.
 
 Defined results: null stays null, empty stays empty; overlapping finds count for the kind that is checked first
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,10 +47,14 @@ OTHER_NUMBERS = (
     "序號", "批號", "訂單", "案號", "卷號", "卷宗", "編號", "製造番号", "注文", "ロット", "案件", "書類",
 )
 PHONE_CUES = ("tel", "phone", "ring", "call", "fax", "mobile", "joignable", "appel", "erreichbar", "anruf", "rufnummer", "電話", "可撥", "來電", "致電", "手機", "携帯")
-ADDRESS_CUES = (
-    "anschrift", "adresse", "address", "flat ", "lane", " row", "road", "street", "avenue", "close", "drive", "court", "terrace", "square", "p.o. box", "po box", "p. o. box", "straße", "strasse", "weg ", "gasse", "platz", "allee", "postfach", "am ", "an der ", "im ",
-    "rue ", "allée", "chemin", "boulevard", "impasse", "place ", "quai", " bp ", "boîte postale", "cedex", "市", "縣", "信箱", "県", "都", "府", "道", "私書箱", "〒",
-)
+# Common given names of the languages written in Latin letters (names that are also other words are left out).
+GIVEN = (
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony steven paul andrew peter george edward brian kevin kenneth joshua timothy jeffrey ryan jacob nicholas jonathan stephen samuel benjamin patrick alexander henry oliver simon martin philip hugh "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret betty sandra ashley emily emma olivia sophie alice anna helen laura rachel julia maria jane ruth diana fiona lucy eleanor "
+    "hans klaus jürgen wolfgang andreas stefan christian markus matthias sebastian tobias florian uwe dieter heinz karl kurt werner jens sabine petra monika ursula heike anja katrin claudia birgit renate ingrid susanne ulrike gisela brigitte "
+    "jean pierre michel philippe jacques françois laurent nicolas olivier julien antoine louis marie nathalie isabelle sylvie catherine céline véronique sandrine valérie camille chloé élodie aurélie "
+    "carlos josé juan luis miguel antonio manuel carmen lucía elena giovanni marco paolo giulia"
+).split()
 # What stands right before or right after a name.
 NAME_BEFORE = (
     "ms. ", "mr. ", "mrs. ", "dr. ", "frau ", "herr ", "herrn ", "mme ", "m. ", "signed by ", "handed in by ", "submitted by ", "in by ", "badge for ", "name: ", "name:", "nom : ", "contact: ", "remis par ", "signée par ", "signé par ",
@@ -64,6 +70,7 @@ FAMILY = (
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _PART = rf"(?:[{_UP}][{_LOW}]+(?:['’\-][{_UP}]?[{_LOW}]+)*|[{_UP}]{{2,}}(?:['’\-][{_UP}]+)*)"
 _LATIN = rf"(?:{_PART},\s{_PART}(?:\s[{_UP}]\.)?|{_PART}(?:\s[{_UP}]\.){{0,2}}\s{_PART})"
+_GIVEN_AT = re.compile(rf"{_PART}(?:\s[{_UP}]\.){{0,2}}(?:\s(?:von|van|de|da|di|du|del|la|le))?\s{_PART}(?![{_LOW}])")
 _NAME_AT = re.compile(rf"\s*({_LATIN})(?![{_LOW}])")
 _NAME_TO = re.compile(rf"(?<![{_UP}{_LOW}\-])({_LATIN})\s*[<«\"(]*(?:mailto:)?$")
 _HAN_NAME = re.compile(rf"([{FAMILY}][㐀-鿿]{{1,2}}|(?:歐陽|司徒|上官|諸葛|張簡)[㐀-鿿]{{1,2}})$")
@@ -114,22 +121,77 @@ _PARTS = (
 )
 _POSTCODE = re.compile(r",\s\d{5}\s")
 
-_E, _I, _P, _A, _B, _C = range(6)
+_E, _I, _P, _A, _B, _C, _S, _G = range(8)
+_DIGITS, _LETTERS = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+#: Openings of telephone numbers: a plus sign, a bracket or a leading zero before a digit, and a digit group before a separator.
+_OPENINGS = (*(f"{x}{d}" for x in "+(0" for d in _DIGITS), *(f"{a}{x}{b}" for x in "-. " for a in _DIGITS for b in _DIGITS))
+#: Openings of identity and account numbers by their shape: letters before a digit.
+_SHAPE_OPENINGS = (*(f"{x}{d}" for x in _LETTERS for d in _DIGITS), *(f"{x} {d}" for x in _LETTERS for d in _DIGITS))
+#: Parts of addresses that anchor each form; the fourth is anchored at its postcode.
+_ADDRESS_ANCHORS = tuple(tuple(f",{x}{d}" for x in " \n" for d in _DIGITS) if k == 3 else tuple(x.lower() for x in parts[0]) for k, parts in enumerate(_PARTS))
 
 
 @lru_cache(1)
 def _automaton() -> ahocorasick.Automaton:
-    found: dict[str, set[int]] = {}
-    for kind, cues in ((_E, ("@", "(at)", "[at]", "mailto:")), (_I, (*ID_CUES, "\\")), (_A, ADDRESS_CUES), (_B, NAME_BEFORE), (_C, NAME_AFTER)):
+    found: dict[str, list] = {}
+    groups = ((_E, ("@", "(at)", "[at]", "mailto:")), (_I, (*ID_CUES, "\\")), (_P, _OPENINGS), (_B, NAME_BEFORE), (_C, NAME_AFTER), (_S, _SHAPE_OPENINGS), (_G, tuple(f"{x} " for x in GIVEN)))
+    for kind, cues in groups:
+        for cue in cues:
+            found.setdefault(cue, [[], []])[0].append(kind)
+    for k, cues in enumerate(_ADDRESS_ANCHORS):
         for cue in cues:
-            found.setdefault(cue, set()).add(kind)
+            found.setdefault(cue, [[], []])[1].append(k)
     out = ahocorasick.Automaton()
-    for cue, kinds in found.items():
-        out.add_word(cue, (len(cue), tuple(k for k in kinds if k != _A), _A in kinds))
+    for cue, (kinds, forms) in found.items():
+        out.add_word(cue, (len(cue), tuple(kinds), tuple(forms)))
     out.make_automaton()
     return out
 
 
+class _Taken:
+    """Spans without overlap, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        if i and self.ends[i - 1] > a:
+            return False
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+        return True
+
+    def begins(self, low: int, high: int) -> bool:
+        """Whether a span begins in [low, high]."""
+        i = bisect_left(self.starts, low)
+        return i < len(self.starts) and self.starts[i] <= high
+
+
+def _account_ok(text: str) -> bool:
+    """The check digits of an international bank account number."""
+    x = text.replace(" ", "")
+    return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def _card_ok(text: str) -> bool:
+    """The check digit of a card number."""
+    d = [int(c) for c in text if c.isdigit()]
+    return len(set(d)) > 1 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d[::-1])) % 10 == 0
+
+
+_BANK = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_CARD = re.compile(r"[3-6]\d{3}([ -])\d{4}\1\d{4}\1\d{4}(?![A-Za-z0-9]|[ -]\d)")
+
+
+def _paragraphs(text: str) -> list[int]:
+    """Where paragraphs (between blank lines) start."""
+    return [0, *(m.end() for m in _BLANK.finditer(text))]
+
+
+_BLANK = re.compile(r"\n[ \t]*\n")
+
 _WIDTH = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys((0x3000, 0xA0, 0x2002, 0x2003, 0x2007, 0x2009, 0x202F), 32) | {0x2010: 45, 0x2011: 45, 0x2013: 45} | {ord(a): ord(b) for a, b in TO_LATIN.items()}
 _SLOW = re.compile(rf"[{IGNORABLE}\ufb00-\ufb06\uff61-\uffdc\u0300-\u036f\u2f00-\u2fdf\uf900-\ufaff]")
 _DROP = re.compile(rf"[{IGNORABLE}]")
@@ -175,19 +237,20 @@ def find(text: str) -> list[tuple[int, int, str]]:
     lower = plain.lower()
     if len(lower) != len(plain):
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
-    anchors: list[list[tuple[int, int]]] = [[] for _ in range(6)]
-    placed = False
-    for end, (size, kinds, place) in _automaton().iter(lower):
-        placed |= place
+    anchors: list[list[tuple[int, int]]] = [[] for _ in range(8)]
+    places: list[set[int]] = [set() for _ in _ADDRESSES]
+    paragraphs = _paragraphs(plain)
+    for end, (size, kinds, forms) in _automaton().iter(lower):
         for kind in kinds:
             anchors[kind].append((end + 1 - size, end + 1))
+        for k in forms:
+            places[k].add(bisect_right(paragraphs, end + 1 - size) - 1)
     spans: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = _Taken()
 
     def add(a: int, b: int, kind: str) -> bool:
-        if any(a < y and x < b for x, y in taken):
+        if not taken.add(a, b):
             return False
-        taken.append((a, b))
         spans.append((a, b, kind))
         return True
 
@@ -218,16 +281,37 @@ def find(text: str) -> list[tuple[int, int, str]]:
         m = _ID_VALUE.match(plain, b)
         if m and ("\\" in m[1] or sum(map(str.isdigit, m[1])) >= 4):
             add(m.start(1), m.end(1), "id_number")
-    for m in _SHAPES.finditer(plain):
-        add(m.start(), m.end(), "id_number")
-    if placed:
-        for k, (pattern, parts) in enumerate(zip(_ADDRESSES, _PARTS, strict=True)):
-            if not all(any(x in plain for x in group) for group in parts) or k == 3 and not _POSTCODE.search(plain):
+    for a, b in anchors[_S]:
+        for begin in (a, a - 1):
+            if begin < 0 or begin and (plain[begin - 1].isalnum() and plain[begin - 1].isascii()):
+                continue
+            if m := _SHAPES.match(plain, begin):
+                add(m.start(), m.end(), "id_number")
+            elif m := _BANK.match(plain, begin):
+                groups = [m.end(), *(x for x in range(m.end() - 1, begin + 14, -1) if plain[x] == " ")]
+                if end := next((x for x in groups if _account_ok(plain[begin:x])), 0):
+                    add(begin, end, "id_number")
+    for k, (pattern, parts) in enumerate(zip(_ADDRESSES, _PARTS, strict=True)):
+        for at in sorted(places[k]):
+            low, high = paragraphs[at], paragraphs[at + 1] if at + 1 < len(paragraphs) else len(plain)
+            if not all(any(plain.find(x, low, high) >= 0 for x in group) for group in parts) or k == 3 and not _POSTCODE.search(plain, low, high):
                 continue
-            for m in pattern.finditer(plain):
+            for m in pattern.finditer(plain, low, high):
                 if add(m.start(), m.end(), "address"):
                     starts.append(m.start())
-    for m in _PHONE.finditer(plain):
+    done = 0
+    for a, _ in anchors[_P]:
+        # a digit group before a separator opens where the group begins
+        while a and plain[a].isdigit() and plain[a - 1].isdigit():
+            a -= 1
+        if a < done:
+            continue
+        m = _PHONE.match(plain, a) or a and plain[a - 1] in "+(" and _PHONE.match(plain, a - 1)
+        if not m:
+            if (c := _CARD.match(plain, a)) and not plain[a - 1 : a].isalnum() and _card_ok(c[0]) and add(c.start(), c.end(), "id_number"):
+                done = c.end()
+            continue
+        done = m.end()
         digits = sum(map(str.isdigit, re.split(r"(?i)ext|x|轉|分機|内線|durchwahl|poste", m[0])[0]))
         if not 8 <= digits <= 15:
             continue
@@ -269,6 +353,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
         elif m := _HAN_NAME.search(left.rstrip()):
             if not _ROLE.search(m[1]):
                 add(shift + m.start(1), shift + m.end(1), "person")
+    for a, _ in anchors[_G]:
+        if plain[a].isupper() and not plain[a - 1 : a].isalpha():
+            m = _GIVEN_AT.match(plain, a)
+            if m and _name_ok(m[0]):
+                add(m.start(), m.end(), "person")
     for s in starts:
         m = _NAME_TO.search(plain[max(0, s - 60) : s])
         if m and _name_ok(m[1]) and plain[s - 1] in "<:(":
@@ -280,10 +369,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return [(where[a], where[b - 1] + 1, k) for a, b, k in spans]
 
 
-def _beside(plain: str, end: int, taken: list[tuple[int, int]]) -> bool:
+def _beside(plain: str, end: int, taken: _Taken) -> bool:
     """Whether something of a person, or a verb of signing, follows within a few characters."""
     after = plain[end : end + 40].lower()
-    return any(end <= a <= end + 30 for a, _ in taken) or "gegengezeichnet" in after or "unterschrieben" in after
+    return taken.begins(end, end + 30) or "gegengezeichnet" in after or "unterschrieben" in after
 
 
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
