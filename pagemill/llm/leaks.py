@@ -1,13 +1,18 @@
 """Problem 8: passages of evaluation items in the texts of a corpus.
 
-Seeds are n-grams (5 words; 12 letters or digits for items in scripts without word spaces). A first pass over the whole
-corpus counts how often each n-gram of the items occurs; of every stretch of an item that is long enough to be a leak the
-rarest n-gram becomes a seed, so that no leak is without one, however common the item's phrases are. A second pass joins
-texts to items by the seeds, aligns item and passage by Smith-Waterman (edited copies score below verbatim ones) and
-measures the longest run of equal units around the seeds, which decides by the stated lengths.
+Seeds are n-grams. A first pass over the whole corpus counts how often each n-gram of the items occurs; of every stretch of
+an item the rarest one becomes a seed, so that no stretch is without one, however common the item's phrases are. A
+second pass joins texts to items by the seeds, gathers seeds on near diagonals and aligns item and passage there by
+Smith-Waterman. Two searches use this:
+
+* verbatim (``VERBATIM``): seeds of 5 words (12 letters) out of every 18 words (36 letters). What scores less than that
+  many matches is dropped, the rest is decided by the exact length of the longest equal run.
+* edited copies (``EDITED``): shorter seeds out of shorter stretches, two of them near each other; what reaches
+  ``COPY`` of the score of a whole verbatim copy is a copy, whether or not a long equal run is left.
 
 Letter case, width variants, look-alike letters, invisible characters, accents' composition and everything between words
-don't count. The items are a stated query set and are sent to all tasks; nothing of the corpus is.
+don't count. The items are a stated query set: they are sent to all tasks in blocks of at most ``ITEMS``; nothing of
+the corpus is.
 
 Defined results: null and empty texts and items give no rows; items shorter than the stated length can't leak; an item
 leaks once for each document, however often the document holds it; repeated rows give equal rows.
@@ -16,6 +21,7 @@ leaks once for each document, however often the document holds it; repeated rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +32,30 @@ from pagemill.llm.arrow import slices
 from pagemill.llm.lookalike import TO_LATIN, fold
 from pagemill.sources.tables import table
 
-#: Units of a seed and of a leak: words, and letters or digits.
-SEED, LEAK = (5, 12), (18, 36)
+#: Units (words, and letters or digits) of a leak.
+LEAK = (18, 36)
+
+
+@dataclass(frozen=True)
+class Search:
+    """Units of a seed, units of the stretch that gives one, and how many seeds a passage must hold near each other."""
+
+    seed: tuple[int, int]
+    stretch: tuple[int, int]
+    together: int
+
+
+VERBATIM, EDITED = Search((5, 12), LEAK, 1), Search((3, 5), (7, 11), 2)
+#: Share of the score of a whole verbatim copy that an edited copy reaches.
+COPY = 0.5
+#: Items that one pass over the corpus looks for at most.
+ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+_NONE = (1 << 64) - 1
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _FOLD = {ord(a): ord(b) for a, b in TO_LATIN.items()}
 _ALNUM = np.fromiter((chr(c).isalnum() for c in range(0x10000)), dtype=bool, count=0x10000)
+_HIGH: dict[int, bool] = {}
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(256)], dtype=np.uint64)
 
 
@@ -44,7 +68,9 @@ def sequences(texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np
     flat = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[: flat.size]
-    keep = np.where(flat < 0x10000, _ALNUM[np.minimum(flat, 0xFFFF)], True)
+    keep = _ALNUM[np.minimum(flat, 0xFFFF)]
+    if (high := np.flatnonzero(flat >= 0x10000)).size:  # rare letters, and signs and pictures that are none
+        keep[high] = [_HIGH.setdefault(c, chr(c).isalnum()) for c in flat[high].tolist()]
     units, of = flat[keep], owner[keep]
     start = keep & ~np.r_[False, keep[:-1]]
     at = np.flatnonzero(start[keep])
@@ -75,7 +101,8 @@ def grams(units: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """The items' units and their n-grams, sorted by number."""
 
-    def __init__(self, rows: list[tuple[int, str, str]]):
+    def __init__(self, rows: list[tuple[int, str, str]], search: Search = VERBATIM):
+        self.search = search
         self.ids = [r[0] for r in rows]
         self.kind = [int((r[1] or "").lower().startswith("zh")) for r in rows]
         self.units = []
@@ -87,7 +114,7 @@ class Items:
             g, item, at = [], [], []
             for k, u in enumerate(self.units):
                 if self.kind[k] == kind and u.size >= LEAK[kind]:
-                    made = grams(u, SEED[kind])
+                    made = grams(u, search.seed[kind])
                     g.append(made)
                     item.append(np.full(made.size, k))
                     at.append(np.arange(made.size))
@@ -102,14 +129,14 @@ class Items:
         self.seeds: list[np.ndarray] = [np.unique(t[0]) for t in self.tables]
 
     def choose(self, frequency: dict[int, int]) -> None:
-        """Of every stretch of a leak's length, keep the rarest n-gram."""
+        """Of every stretch, keep the rarest n-gram."""
         kept: list[set[int]] = [set(), set()]
         for k, u in enumerate(self.units):
             kind = self.kind[k]
             if u.size < LEAK[kind]:
                 continue
-            g = grams(u, SEED[kind]).tolist()
-            width = LEAK[kind] - SEED[kind] + 1
+            g = grams(u, self.search.seed[kind]).tolist()
+            width = self.search.stretch[kind] - self.search.seed[kind] + 1
             for i in range(len(g) - width + 1):
                 kept[kind].add(min(g[i : i + width], key=lambda x: (frequency.get(x, 0), x)))
         self.seeds = [np.array(sorted(s), dtype=np.uint64) for s in kept]
@@ -135,11 +162,12 @@ def _hits(texts: list[str], items: Items, filters: list[np.ndarray]) -> Iterator
             wide = np.zeros(len(texts), dtype=bool)
             wide[of[units >= 0x2E80]] = True
             units, of = units[wide[of]], of[wide[of]]
-        g = grams(units, SEED[kind])
+        size = items.search.seed[kind]
+        g = grams(units, size)
         if not g.size:
             continue
         at = np.flatnonzero(filters[kind][(g >> np.uint64(44)).astype(np.int64)])
-        at = at[of[at] == of[at + SEED[kind] - 1]]
+        at = at[of[at] == of[at + size - 1]]
         place = np.minimum(np.searchsorted(seeds, g[at]), seeds.size - 1)
         at = at[seeds[place] == g[at]]
         yield kind, units, of, at, g[at]
@@ -147,9 +175,10 @@ def _hits(texts: list[str], items: Items, filters: list[np.ndarray]) -> Iterator
 
 def _count(documents: DataFrame, items: Items) -> dict[int, int]:
     """How often each n-gram of the items occurs in the corpus (at most as many rows as the items have n-grams)."""
-    filters = items.filters()
+    shared = documents.sparkSession.sparkContext.broadcast((items, items.filters()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, filters = shared.value
         total = [np.zeros(s.size, dtype=np.int64) for s in items.seeds]
         for b in slices(batches, "text"):
             texts = [plain(x) for x in b.column("text").to_pylist() if x]
@@ -163,70 +192,115 @@ def _count(documents: DataFrame, items: Items) -> dict[int, int]:
     return {r["gram"] % (1 << 64): r["n"] for r in counted}
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(score, end in b) of the best local alignment of two unit sequences."""
-    best, end = 0, 0
-    row = np.zeros(b.size + 1, dtype=np.int32)
-    steps = np.arange(b.size + 1, dtype=np.int32) * -GAP
-    for x in a:
-        new = np.zeros_like(row)
-        new[1:] = np.maximum(np.maximum(row[:-1] + np.where(b == x, MATCH, MISMATCH), row[1:] + GAP), 0)
-        # gaps along the row: running maximum of the value raised by what the gap has cost so far
-        row = np.maximum.accumulate(new + steps) - steps
-        k = int(row.argmax())
-        if row[k] > best:
-            best, end = int(row[k]), k
-    return best, end
+#: Cells of the alignment rows that are computed at once.
+_CELLS = 1 << 16
+
+
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """Smith-Waterman scores of pairs of unit sequences; pairs of like size are aligned together, row by row."""
+    out = [0] * len(pairs)
+    order = sorted((k for k, (a, b) in enumerate(pairs) if a.size and b.size), key=lambda k: (pairs[k][1].size, pairs[k][0].size))
+    while order:
+        # sizes grow towards the end of the order
+        width = pairs[order[-1]][1].size
+        some = order[-max(1, _CELLS // width) :]
+        del order[-len(some) :]
+        height = max(pairs[k][0].size for k in some)
+        # numbers that no unit has fill the shorter ones up
+        rows = np.full((height, len(some), 1), np.uint64(_NONE - 1), dtype=np.uint64)
+        columns = np.full((len(some), width), np.uint64(_NONE), dtype=np.uint64)
+        for i, k in enumerate(some):
+            a, b = pairs[k]
+            rows[: a.size, i, 0] = a
+            columns[i, : b.size] = b
+        row = np.zeros((len(some), width + 1), dtype=np.int32)
+        steps = np.arange(width + 1, dtype=np.int32) * -GAP
+        best = np.zeros(len(some), dtype=np.int32)
+        for x in rows:
+            new = np.zeros_like(row)
+            np.maximum(row[:, :-1] + np.where(columns == x, np.int32(MATCH), np.int32(MISMATCH)), row[:, 1:] + np.int32(GAP), out=new[:, 1:])
+            np.maximum(new, 0, out=new)
+            # gaps along the row: running maximum of the value raised by what the gap has cost so far
+            row = np.maximum.accumulate(new + steps, axis=1) - steps
+            np.maximum(best, row.max(1), out=best)
+        for k, score in zip(some, best.tolist()):
+            out[k] = score
+    return out
+
+
+def _clusters(units: np.ndarray, of: np.ndarray, at: np.ndarray, g: np.ndarray, items: Items, kind: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, item, diagonals) of the seeds that lie on near diagonals."""
+    table_g, table_item, table_at = items.tables[kind]
+    low, high = np.searchsorted(table_g, g, "left"), np.searchsorted(table_g, g, "right")
+    n = high - low
+    if not n.sum():
+        return
+    k = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+    p, item, q = np.repeat(at, n), table_item[k], table_at[k]
+    text, diagonal = of[p].astype(np.int64), p - q
+    order = np.lexsort((diagonal, item, text))
+    text, item, q, diagonal = text[order], item[order], q[order], diagonal[order]
+    reach = np.array([u.size // 4 + 2 for u in items.units])
+    new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > reach[item[1:]])])
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), text.size]):
+        if items.search.together == 1 or np.unique(q[a:b]).size >= items.search.together:
+            yield int(text[a]), int(item[a]), np.unique(diagonal[a:b])
+
+
+def _longest_run(u: np.ndarray, units: np.ndarray, diagonals: np.ndarray, lo: int, hi: int) -> int:
+    """The longest run of equal units on any of the diagonals, within a text's own units."""
+    best = 0
+    for d in diagonals.tolist():
+        a, b = max(0, lo - d), min(u.size, hi - d)
+        differ = np.flatnonzero(u[a:b] != units[a + d : b + d])
+        best = max(best, int(np.diff(np.r_[-1, differ, b - a]).max()) - 1)
+    return best
 
 
 def leaked(documents: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, item_id, score, share, longest_run): texts joined to items by seeds, with the best alignment; ``share`` of the score of a whole verbatim copy."""
+    """(doc_id, item_id, score, share, longest_run, leak): texts joined to items by seeds, with the best alignment.
+
+    ``share`` is that of the score of a whole verbatim copy; in the verbatim search alignments that can't hold a run of
+    the stated length are left out, and ``leak`` tells whether there is one; in the other, whether ``share`` is that of a copy.
+    """
     items.choose(_count(documents, items))
-    filters = items.filters()
+    shared = documents.sparkSession.sparkContext.broadcast((items, items.filters()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, filters = shared.value
+        verbatim = items.search == VERBATIM
         for b in slices(batches, "text"):
             ids = b.column("doc_id")
             keep = [i for i, x in enumerate(b.column("text").to_pylist()) if x]
             texts = [plain(x) for x in b.column("text").to_pylist() if x]
-            found: dict[tuple[int, int], list[int]] = {}
+            found: dict[tuple[int, int], tuple[int, int]] = {}
             for kind, units, of, at, g in _hits(texts, items, filters) if texts else ():
-                table_g, table_item, table_at = items.tables[kind]
-                low, high = np.searchsorted(table_g, g, "left"), np.searchsorted(table_g, g, "right")
-                begin = np.searchsorted(of, np.arange(len(texts) + 1))
-                done: dict[tuple[int, int, int], int] = {}
-                for p, x, y in zip(at.tolist(), low.tolist(), high.tolist()):
-                    text = int(of[p])
-                    lo, hi = int(begin[text]), int(begin[text + 1])
-                    for k in range(x, y):
-                        item, q = int(table_item[k]), int(table_at[k])
-                        # runs on one diagonal are followed once
-                        if done.get((text, item, p - q), -1) >= p:
-                            continue
-                        u = items.units[item]
-                        left = 0
-                        while p - left > lo and q - left > 0 and units[p - left - 1] == u[q - left - 1]:
-                            left += 1
-                        right = SEED[kind]
-                        while p + right < hi and q + right < u.size and units[p + right] == u[q + right]:
-                            right += 1
-                        done[text, item, p - q] = p + right - 1
-                        run = left + right
-                        entry = found.setdefault((text, item), [0, 0, 0])
-                        entry[0] = max(entry[0], run)
-                        margin = u.size // 4 + 8
-                        score, _ = align(u, units[max(lo, p - q - margin) : min(hi, p - q + u.size + margin)]) if run > entry[2] else (0, 0)
-                        entry[1], entry[2] = max(entry[1], score), max(entry[2], run)
+                begin = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+                wanted, pairs = [], []
+                for text, item, diagonals in _clusters(units, of, at, g, items, kind):
+                    u, lo, hi = items.units[item], begin[text], begin[text + 1]
+                    margin = u.size // 4 + 8
+                    passage = units[max(lo, int(diagonals[0]) - margin) : min(hi, int(diagonals[-1]) + u.size + margin)]
+                    least = MATCH * LEAK[kind] if verbatim else COPY * MATCH * u.size
+                    # no alignment scores more than the units of the item that the passage holds at all
+                    if MATCH * np.isin(u, passage).sum() >= least:
+                        wanted.append((text, item, diagonals, least))
+                        pairs.append((u, passage))
+                for (text, item, diagonals, least), (u, _), score in zip(wanted, pairs, align(pairs)):
+                    if score >= least:
+                        run = _longest_run(u, units, diagonals, begin[text], begin[text + 1])
+                        known = found.get((text, item), (0, 0))
+                        found[text, item] = max(known[0], score), max(known[1], run)
             rows = sorted(found.items())
-            doc = pa.array([keep[t] for (t, _), _ in rows], pa.int32())
+            size = [items.units[i].size for (_, i), _ in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(doc),
+                    ids.take(pa.array([keep[t] for (t, _), _ in rows], pa.int32())),
                     pa.array([items.ids[i] for (_, i), _ in rows], pa.int64()),
-                    pa.array([e[1] for _, e in rows], pa.int32()),
-                    pa.array([e[1] / (MATCH * items.units[i].size) for (_, i), e in rows], pa.float64()),
-                    pa.array([e[0] for _, e in rows], pa.int32()),
-                    pa.array([e[0] >= LEAK[items.kind[i]] for (_, i), e in rows], pa.bool_()),
+                    pa.array([score for _, (score, _) in rows], pa.int32()),
+                    pa.array([score / (MATCH * n) for n, (_, (score, _)) in zip(size, rows)], pa.float64()),
+                    pa.array([run for _, (_, run) in rows], pa.int32()),
+                    pa.array([not verbatim or run >= LEAK[items.kind[i]] for (_, i), (_, run) in rows], pa.bool_()),
                 ],
                 names=["doc_id", "item_id", "score", "share", "longest_run", "leak"],
             )
@@ -235,20 +309,27 @@ def leaked(documents: DataFrame, items: Items) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, item_id bigint, score int, share double, longest_run int, leak boolean")
 
 
-def items_of(eval_items: DataFrame) -> Items:
-    """The query set: it is fixed and small (320 rows), and collected whole."""
-    rows = eval_items.where("length(expected_evidence) > 0").select("item_id", "lang", "expected_evidence").distinct().collect()
-    return Items(sorted(tuple(r) for r in rows))
+def leaks_of(documents: DataFrame, eval_items: DataFrame, search: Search) -> DataFrame:
+    """``leaked`` for all items, in blocks of about ``ITEMS``, one pass for each."""
+    wanted = eval_items.where("length(expected_evidence) > 0").select("item_id", "lang", "expected_evidence").distinct()
+    blocks = max(1, -(-wanted.count() // ITEMS))
+    out = None
+    for k in range(blocks):
+        rows = wanted.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}")).collect()
+        made = leaked(documents, Items(sorted(tuple(r) for r in rows), search))
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    found = leaked(table(spark, root, "documents"), items_of(table(spark, root, "eval_items")))
+    found = leaks_of(table(spark, root, "documents"), table(spark, root, "eval_items"), VERBATIM)
     return found.where("leak").select("doc_id", "item_id").distinct()
 
 
-def p8_aligned(spark: SparkSession, root: str) -> DataFrame:
-    """Every document and item that share a seed, with the alignment's score, its share and the longest equal run."""
-    return leaked(table(spark, root, "documents"), items_of(table(spark, root, "eval_items"))).drop("leak").dropDuplicates(["doc_id", "item_id"])
+def p8_copies(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with the items of which it holds a copy, edited or not: score, share and longest equal run of the best alignment."""
+    found = leaks_of(table(spark, root, "documents"), table(spark, root, "eval_items"), EDITED)
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("longest_run").alias("longest_run"))
 
 
 def p8_items(spark: SparkSession, root: str) -> DataFrame:

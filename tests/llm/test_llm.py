@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -76,10 +77,28 @@ def test_look_alike_pairs(spark):
     got = {tuple(r) for r in lookalike.look_alike_pairs(c, g, np.zeros(3 * 64 * 64)).collect()}
     assert got == {("r1/c1", "r2/c1"), ("r1/c1", "r1/sample/1/0")}
     assert lookalike.look_alike_pairs(c.limit(0), g.limit(0), np.zeros(3 * 64 * 64)).count() == 0
+    classes = lookalike.look_alike_classes(lookalike.looked_at(c, g, np.zeros(3 * 64 * 64))).collect()
+    assert sorted(r["item"] for r in classes) == ["r1/c1", "r2/c1"] and len({r["raw"] for r in classes}) == 2
     with pytest.raises(ValueError, match="exists"):
         lookalike.canonicalise(c, "content", "extra", np.zeros(3 * 64 * 64))
 
 
+def test_large_run_is_dealt_into_pieces(spark, monkeypatch):
+    """One run with most rows: sent samples, shuffled samples in pieces and in blocks with an automaton give the same pairs."""
+    dirty = lambda i: f"the of\u200bfice keeps form {i} for the year"
+    c = chunks(spark, [("hot", f"c{i}", "d", dirty(i)) for i in range(60)] + [("r2", "c1", "e", dirty(3)), (None, "c1", "e", "the office")])
+    g = spark.createDataFrame([("hot", i, "d", "", ([f"the office keeps form {k}" for k in range(i, i + 20)],), (None,), "x") for i in range(0, 60, 20)] + [(None, 1, "d", "", (["office"],), (None,), "x")], GATE)
+    find = lambda: sorted(map(tuple, lookalike.look_alike_pairs(c, g, np.zeros(3 * 64 * 64)).collect()))
+    want = find()
+    assert len(want) >= 60
+    monkeypatch.setattr(lookalike, "SENT", 0)
+    monkeypatch.setattr(lookalike, "PIECES", 4)
+    assert find() == want
+    monkeypatch.setattr(lookalike, "BLOCK", 40)
+    monkeypatch.setattr(lookalike, "MANY", 5)
+    assert find() == want
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 SENTENCES = {
@@ -295,6 +314,29 @@ def test_masks(text, masked):
     assert privacy.mask(text, privacy.find(text)) == masked
 
 
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ("Please ask John Smith about it.", "Please ask [PERSON] about it."),
+        ("The invoice was paid by Maria Gonzales yesterday.", "The invoice was paid by [PERSON] yesterday."),
+        ("My colleague Peter Brown said so.", "My colleague [PERSON] said so."),
+        ("IBAN DE89 3704 0044 0532 0130 00 of the office", "IBAN [ID_NUMBER] of the office"),
+        ("IBAN GB82WEST12345698765432.", "IBAN [ID_NUMBER]."),
+        ("IBAN DE00 3704 is no account", "IBAN DE00 3704 is no account"),
+        ("Card 4111 1111 1111 1111 expires", "Card [ID_NUMBER] expires"),
+        ("He lives with Peter and so on.", "He lives with Peter and so on."),
+    ],
+)
+def test_masks_without_cues(text, masked):
+    assert privacy.mask(text, privacy.find(text)) == masked
+
+
+def test_many_finds_take_linear_time():
+    text = " ".join(f"call 030 {i:07d} now" for i in range(20_000))
+    began = time.time()
+    assert len(privacy.find(text)) == 20_000 and time.time() - began < 10
+
+
 @given(st.text(alphabet="ab1@.\\() -+09聯絡人簡：Ｆ​́ＮMs", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_only_spans_change(text):
@@ -370,7 +412,7 @@ def test_leaks_against_brute_force(spark):
         docs.append((i, text + ", " + "; ".join(e[k : k + rng.randint(15, 20)]).upper() + " " + text if i % 2 else text))
     docs += [(500, "前" + "，".join(han[10:46]) + "後"), (501, "前" + han[10:45] + "後"), (502, None), (503, ""), (500, "前" + "，".join(han[10:46]) + "後")]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id int, text string, item_id string")
-    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked(df, leaks.items_of(spark.createDataFrame(items, "item_id long, lang string, expected_evidence string"))).where("leak").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks_of(df, spark.createDataFrame(items, "item_id long, lang string, expected_evidence string"), leaks.VERBATIM).where("leak").collect()}
     want = set()
     for d, text in docs:
         for i, lang, e in items:
@@ -387,9 +429,57 @@ def test_leaks_against_brute_force(spark):
     assert got == want and (500, 50) in got and (501, 50) not in got
 
 
-def test_align():
-    a = np.array([1, 2, 3, 4, 5], dtype=np.uint64)
-    assert leaks.align(a, a)[0] == 10 and leaks.align(a, np.array([9, 1, 2, 7, 3, 4, 5], dtype=np.uint64))[0] == 9 and leaks.align(a, np.array([8], dtype=np.uint64))[0] == 0
+def test_emoji_between_words_is_no_word(spark):
+    words = [f"w{i}" for i in range(20)]
+    df = spark.createDataFrame([(1, " 😀 ".join(words)), (2, " ".join(words[:9]) + " 𠀀 " + " ".join(words[9:]))], "doc_id int, text string")
+    got = leaks.leaks_of(df, spark.createDataFrame([(7, "en", " ".join(words))], "item_id long, lang string, expected_evidence string"), leaks.VERBATIM)
+    assert [r["doc_id"] for r in got.where("leak").collect()] == [1]
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.2, 0.3])
+def test_edited_copies_against_brute_force(spark, rate):
+    """Copies with words replaced, dropped and added: every pair whose alignment is that of a copy, by aligning each item with each whole text."""
+    rng = random.Random(int(rate * 10))
+    word = lambda: f"w{int(rng.paretovariate(0.4)) % 3000}"
+    items = [(i, "en", " ".join(word() for _ in range(45))) for i in range(60)]
+    docs = []
+    for i in range(120):
+        copy = []
+        for w in items[i % 60][2].split():
+            way = rng.random() / rate
+            copy += [word()] if way < 0.7 else [] if way < 0.85 else [w, word()] if way < 1 else [w]
+        docs.append((i, " ".join([word() for _ in range(80)] + copy + [word() for _ in range(60)])))
+    df = spark.createDataFrame([*docs, (900, None), (901, "")], "doc_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks_of(df, spark.createDataFrame(items, "item_id long, lang string, expected_evidence string"), leaks.EDITED).collect()}
+    unit = lambda text: leaks.sequences([leaks.plain(text)])[0][0]
+    want = {(d, i) for d, text in docs for i, _, e in items if leaks.align([(unit(e), unit(text))])[0] >= leaks.COPY * leaks.MATCH * 45}
+    assert len(want) > 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, "en", " ".join(f"i{i}w{k}" for k in range(30))) for i in range(9)], "item_id long, lang string, expected_evidence string")
+    df = items.select(F.col("item_id").alias("doc_id"), F.col("expected_evidence").alias("text"))
+    monkeypatch.setattr(leaks, "ITEMS", 4)
+    got = leaks.leaks_of(df, items, leaks.VERBATIM)
+    assert sorted((r["doc_id"], r["item_id"], r["longest_run"]) for r in got.collect()) == [(i, i, 30) for i in range(9)]
+
+
+def smith_waterman(a, b) -> int:
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (leaks.MATCH if x == y else leaks.MISMATCH), row[j + 1] + leaks.GAP, new[j] + leaks.GAP))
+        row = new
+        best = max(best, *row)
+    return best
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=30)), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_align(pairs):
+    made = [(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)) for a, b in pairs]
+    assert leaks.align(made) == [smith_waterman(a, b) if a and b else 0 for a, b in pairs]
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------
