@@ -8,7 +8,7 @@ times the coefficients, which is one product of the sparse presence matrix of a
 (n-gram x language) matrix; repeated units of a batch are scored once.
 
 Defined results: null and empty contents give no rows; a unit without letters takes the language of the unit before it;
-ties go to the language that comes first in ``LANGS``; repeated rows give equal rows; without any labelled sentence all
+ties go to the language that comes first in ``LANGS``; repeated rows give equal rows (``p2_passages`` takes the latest delivery of a key); a sentence under three words or four CJK letters is no whole sentence; without any labelled sentence all
 scores are 0, so that no language leads and nothing is found.
 """
 
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.arrow import slices
-from pagemill.llm.langs import LANGS, guess, label
+from pagemill.llm.langs import LANGS, label
+from pagemill.llm.latest import latest_texts
 from pagemill.llm.lookalike import IGNORABLE, TO_LATIN, fold
 from pagemill.llm.truncation import MARK
 from pagemill.sources.tables import table
@@ -214,14 +215,14 @@ def classify(chunks: DataFrame, coefficients: np.ndarray) -> DataFrame:
         known: dict[str, tuple[int, float, float]] = {}
         g = np.asfortranarray(shared.value)
         for b in slices(batches, "content", 1_000_000):
-            rows: list[tuple[int, int, str, bool, int]] = []
+            rows: list[tuple[int, int, str, int, int]] = []
             fresh: dict[str, None] = {}
             for i, text in enumerate(b.column("content").to_pylist()):
                 for k, (u, whole) in enumerate(units(text)):
                     x = letters(u)
                     if x and x not in known:
                         fresh[x] = None
-                    rows.append((i, k, x, whole and (x.count(" ") >= 3 or not x.isascii() and len(_CJK.findall(x)) >= 6), len(u)))
+                    rows.append((i, k, x, _size(u, x) if whole else 0, len(u)))
             if len(known) > 400_000:
                 kept = {x for _, _, x, _, _ in rows}
                 known = {x: v for x, v in known.items() if x in kept}
@@ -242,7 +243,7 @@ def classify(chunks: DataFrame, coefficients: np.ndarray) -> DataFrame:
                     last = (i, *known[x])
                 elif last[0] != i:
                     last = (i, 0, 0.2, 0.0)
-                for column, v in zip(out, (run[i], chunk[i], k, LANGS[last[1]], last[2], last[3], whole, n)):
+                for column, v in zip(out, (run[i], chunk[i], k, LANGS[last[1]], last[2], last[3], whole == 2 or whole == 1 and last[3] >= 2 * LEAD, n)):
                     column.append(v)
             types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["run_id", "chunk_id", "unit_no", "lang", "confidence", "lead", "whole", "n_chars"])
@@ -251,6 +252,15 @@ def classify(chunks: DataFrame, coefficients: np.ndarray) -> DataFrame:
     return texts.mapInArrow(apply, "run_id string, chunk_id string, unit_no int, lang string, confidence double, lead double, whole boolean, n_chars int")
 
 
+def _size(unit: str, x: str) -> int:
+    """2 for a sentence of four words or six CJK letters, 1 for a shorter one that opens and closes like a sentence (three words or four CJK letters), 0 for less."""
+    wide = 0 if x.isascii() else len(_CJK.findall(x))
+    words = x.split(" ")
+    if len(words) > 3 or wide >= 6:
+        return 2
+    return int(wide >= 4 or len(words) == 3 and unit[:1].isupper() and len(words[-1]) > 2)
+
+
 def _parts(texts: list[str], chars: int) -> Iterator[list[str]]:
     part, n = [], 0
     for t in texts:
@@ -272,13 +282,10 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 def p2_passages(spark: SparkSession, root: str) -> DataFrame:
     """Every passage (run of units of one language) with its language and confidence, and its chunk's main language."""
     chunks, gate = table(spark, root, "chunks"), table(spark, root, "quality_gate")
-    found = classify(chunks.dropDuplicates(["run_id", "chunk_id"]), train(chunks, gate))
+    found = classify(latest_texts(chunks), train(chunks, gate))
     by = "partition by run_id, chunk_id"
     numbered = found.withColumn("change", F.expr(f"cast(coalesce(lag(lang) over ({by} order by unit_no) <> lang, true) as int)")).withColumn("passage_no", F.expr(f"sum(change) over ({by} order by unit_no)"))
     passages = numbered.groupBy("run_id", "chunk_id", "passage_no", "lang").agg(
         F.sum("n_chars").alias("n_chars"), (F.sum(F.col("confidence") * F.col("n_chars")) / F.sum("n_chars")).alias("confidence")
     )
     return passages.withColumn("chunk_lang", F.expr(f"max_by(lang, n_chars) over ({by})"))
-
-
-__all__ = ["classify", "fit", "guess", "p2_found", "p2_passages", "score", "train", "units"]
