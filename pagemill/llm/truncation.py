@@ -8,7 +8,9 @@ value's log-odds compare the likelihood of its final context at a true end with
 left out of the counts. The threshold follows from the share of cut values, which is estimated by expectation
 maximisation for each language and column (and for values with a mark in running text apart) from all values.
 
-Only contexts at which a value ends are counted, each under its full 64-bit key; the table is as large as their number.
+Only contexts at which a value ends are counted, each under its full 64-bit key, and of those the ones at which at least
+a share of ``SHARE`` of all values ends; a value whose longer context is rarer is judged by its shorter ones. The table that is sent to the
+workers so holds at most ``LONGEST`` / ``SHARE`` contexts, whatever the corpus.
 
 Defined results: null and empty values and values without a letter are no cases; a mark put after the stop (dots, brackets,
 replacement characters) is taken off before scoring; an ending that is one long code is complete; a part of a split
@@ -32,6 +34,8 @@ from pagemill.llm.lookalike import TO_LATIN
 from pagemill.sources.tables import cut, table
 
 LONGEST, SMOOTH = 8, 4.0
+#: The least share of all ends that a context is kept with; each end is in LONGEST of them.
+SHARE = 2e-6
 #: Recounts of the ends, and nats above the threshold up to which a value's end is left out of them.
 ROUNDS, DOUBT = 2, 4.5
 #: What may stand after the stop.
@@ -133,16 +137,14 @@ def _mixed(h: np.ndarray, salt: np.ndarray, length: int) -> np.ndarray:
 
 
 class Contexts:
-    """The contexts at which any value ends: sorted keys, found through the range of keys that begin with the same bits."""
+    """Contexts at which values end: sorted keys, behind a bitmap of the keys' first bits that most other keys miss."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(keys)
         bits = max(10, int(8 * max(1, keys.size)).bit_length())
         self.shift = np.uint64(64 - bits)
-        size = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits)
-        self.first = np.r_[0, np.cumsum(size)].astype(np.int64)
-        self.used = size > 0
-        self.most = int(size.max(initial=0))
+        self.used = np.zeros(1 << bits, dtype=bool)
+        self.used[(self.keys >> self.shift).astype(np.int64)] = True
 
     def __reduce__(self):
         # what is sent is the keys; the rest is made again from them
@@ -155,17 +157,12 @@ class Contexts:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where it is no such context."""
         out = np.full(keys.size, -1, dtype=np.int64)
-        bucket = (keys >> self.shift).astype(np.int64)
-        left = np.flatnonzero(self.used[bucket])
-        at, end, wanted = self.first[bucket[left]], self.first[bucket[left] + 1], keys[left]
-        for _ in range(self.most):
+        left = np.flatnonzero(self.used[(keys >> self.shift).astype(np.int64)])
+        if left.size:
+            wanted = keys[left]
+            at = np.minimum(self.keys.searchsorted(wanted), self.keys.size - 1)
             same = self.keys[at] == wanted
             out[left[same]] = at[same]
-            at = at + 1
-            more = ~same & (at < end)
-            if not more.any():
-                break
-            left, at, end, wanted = left[more], at[more], end[more], wanted[more]
         return out
 
 
@@ -207,7 +204,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _count_ends(ends: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the contexts at which values end, and the ends at each; equal ends of one document count once."""
+    """Keys of the contexts at which a share of all values ends, and the ends at each; equal ends of one document count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,9 +213,32 @@ def _count_ends(ends: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 keys, n = np.unique(keys[keys > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
-    counted = ends.where("usable").select("doc_id", "col", "keys").distinct().select("keys").mapInArrow(count, "key bigint, n bigint")
-    summed = counted.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    return summed.column("key").to_numpy().view(np.uint64), summed.column("n").to_numpy()
+    counted = _distinct(ends).mapInArrow(count, "key bigint, n bigint")
+    summed = cut(counted.groupBy("key").agg(F.sum("n").alias("n")), "truncation-contexts")
+    total = (summed.agg(F.sum("n")).first()[0] or 0) / LONGEST
+    kept = summed.where(F.col("n") >= SHARE * total).toArrow()
+    return kept.column("key").to_numpy().view(np.uint64), kept.column("n").to_numpy()
+
+
+def _distinct(ends: DataFrame) -> DataFrame:
+    return ends.where("usable").select("doc_id", "col", "keys").distinct().select("keys")
+
+
+def _recount(ends: DataFrame, contexts: Contexts) -> np.ndarray:
+    """The ends at each context, of other ends."""
+    shared = ends.sparkSession.sparkContext.broadcast(contexts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                place = shared.value.find(_matrix(b.column("keys")).ravel())
+                place, n = np.unique(place[place >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(n, pa.int64())], names=["place", "n"])
+
+    summed = _distinct(ends).mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(contexts.size, dtype=np.int64)
+    out[summed.column("place").to_numpy()] = summed.column("n").to_numpy()
+    return out
 
 
 def _placed(contexts: Contexts, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -336,7 +356,7 @@ def scored(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, int, bool], fl
         scores = cut(_score(ends.withColumn("counted", own).drop("keep"), contexts, counts, closed, inside), "truncation-scores")
         limit = _limit(thresholds(scores))
         ends = scores.withColumn("keep", F.coalesce(F.col("log_odds") >= limit + DOUBT, F.lit(True)).cast("int")).drop("counted", "log_odds")
-        counts = _placed(contexts, *_count_ends(ends.where("keep = 1")))
+        counts = _recount(ends.where("keep = 1"), contexts)
         own = F.col("keep")
     scores = cut(_score(ends.withColumn("counted", own).drop("keep"), contexts, counts, closed, inside).drop("keys"), "truncation-scores")
     return scores, thresholds(scores)
