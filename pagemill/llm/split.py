@@ -8,7 +8,8 @@ before it: the longest run of whole words (of characters, in scripts without spa
 
 Defined results: null and empty texts and texts within the limit give no pieces; an overlap of half the limit or
 more is lowered to half the limit; a limit below 8 or null takes the default; a text without any boundary is cut at
-characters; repeated rows of a key give one set of pieces, of the latest ``written_at``; a null key stays null.
+characters; repeated rows of a key give one set of pieces, of the latest ``written_at`` (none, where that is within the limit); a
+null key stays null, and rows with one are told apart by their content.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.tokens import estimate, is_wide, token_estimate
+from pagemill.llm.arrow import slices
 from pagemill.sources.tables import table
 
 DEFAULT_LIMIT, DEFAULT_OVERLAP = 512, 50
@@ -153,12 +155,20 @@ PIECE = "run_id string, parent_chunk_id string, chunk_id string, part_index int,
 def split_oversized(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     """Pieces of all chunks above their run's limit (columns of ``PIECE``)."""
     large = with_limits(chunks.select("run_id", "chunk_id", "content", "written_at"), runs)
-    latest = large.groupBy("run_id", "chunk_id").agg(
-        F.max_by(F.struct("content", "limit_tokens", "overlap_tokens"), F.struct("written_at", "content")).alias("x")
-    ).select("run_id", "chunk_id", "x.*")
+    unknown = F.when(F.col("run_id").isNull() | F.col("chunk_id").isNull(), F.xxhash64("content"))
+    latest = large.groupBy("run_id", "chunk_id", unknown.alias("unknown")).agg(
+        F.max_by(F.struct("content", "limit_tokens", "overlap_tokens"), F.struct("written_at", "content")).alias("x"), F.max("written_at").alias("at")
+    )
+    # a later delivery within the limit takes the place of an oversized one; only times of keys with several are compared
+    newest = chunks.groupBy("run_id", "chunk_id").agg(F.max("written_at").alias("newest"), F.min("written_at").alias("oldest")).where("newest > oldest").drop("oldest")
+    latest = (
+        latest.join(newest, ["run_id", "chunk_id"], "left")
+        .where("unknown is not null or newest is null or at >= newest")
+        .select("run_id", "chunk_id", "x.content", "x.limit_tokens", "x.overlap_tokens")
+    )
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "content"):
             out: list[list] = [[] for _ in range(8)]
             for run, chunk, text, limit, overlap in zip(*(b.column(k).to_pylist() for k in range(5))):
                 parts = pieces(text, limit, overlap)
