@@ -8,7 +8,7 @@ stock, and the residual is packed greedily, largest first. Items then take their
 numbered by a range sort on (size, id), so that a frequent size is spread over tasks, and number ranges of the plan
 tell the container.
 
-Defined results: an item above the capacity gets a container of its own (``oversized``); empty and null texts have
+Defined results: an item above the capacity gets a container of its own (``oversized``), after those of the others, in the order of sizes; empty and null texts have
 size 0 and go to the first container; no capacity, a null one or one below 1 is refused with ValueError; two items may
 share an id and each gets its place; equal sizes are placed in the order of ids.
 """
@@ -139,8 +139,9 @@ def places(steps: list[tuple[tuple[tuple[int, int], ...], int]], capacity: int)
 
 
 def numbered(items: DataFrame, capacity: int) -> DataFrame:
-    """(id, size, nth): items up to the capacity, numbered within their size."""
-    spread = items.where(F.col("size").between(1, capacity)).repartitionByRange("size", "id").sortWithinPartitions("size", "id")
+    """(id, full, size, nth): items that aren't empty, numbered within their size; sizes above the capacity count as one more than it (``full`` is the size itself)."""
+    clipped = items.where("size > 0").select("id", F.least("size", F.lit(capacity + 1)).alias("bin"), F.col("size").alias("full"))
+    spread = clipped.repartitionByRange("bin", "full", "id").sortWithinPartitions("bin", "full", "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,10 +157,10 @@ def numbered(items: DataFrame, capacity: int) -> DataFrame:
             if size.size and size[0] == last:
                 nth[start == 0] += n
             last, n = int(size[-1]), int(nth[-1]) + 1
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(size.size, part), pa.int32()), pa.array(nth, pa.int64())], names=["id", "size", "part", "nth"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), pa.array(np.full(size.size, part), pa.int32()), pa.array(nth, pa.int64())], names=["id", "full", "size", "part", "nth"])
 
     kind = items.schema["id"].dataType.simpleString()
-    local = cut(spread.mapInArrow(count, f"id {kind}, size bigint, part int, nth bigint"), "pack-numbers")
+    local = cut(spread.mapInArrow(count, f"id {kind}, full bigint, size bigint, part int, nth bigint"), "pack-numbers")
     # a size spans several parts only where it is frequent: rows are at most sizes plus parts
     counts = sorted((r["size"], r["part"], r["n"]) for r in local.groupBy("size", "part").agg(F.count("*").alias("n")).collect())
     offset, last, total = {}, None, 0
@@ -174,20 +175,20 @@ def numbered(items: DataFrame, capacity: int) -> DataFrame:
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, part, nth = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+            size, part, nth = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3, 4))
             if packed.size:
                 key = size << 24 | part
                 at = np.minimum(np.searchsorted(packed, key), packed.size - 1)
                 nth = nth + np.where(packed[at] == key, add[at], 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nth, pa.int64())], names=["id", "size", "nth"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(nth, pa.int64())], names=["id", "full", "size", "nth"])
 
-    return local.mapInArrow(shift, f"id {kind}, size bigint, nth bigint")
+    return local.mapInArrow(shift, f"id {kind}, full bigint, size bigint, nth bigint")
 
 
 def pack(items: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     """(pack_id, container, id, size, oversized) for items (id, size) and capacities (pack_id, capacity).
 
-    ``container`` counts from 0 within a pack; an oversized item's container is null, it is alone in it.
+    ``container`` counts from 0 within a pack; an oversized item is alone in its container.
     """
     if not capacities:
         raise ValueError("no capacity is given")
@@ -199,35 +200,39 @@ def pack(items: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     items = cut(items.select("id", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")), "pack-sizes")
     kind = items.schema["id"].dataType.simpleString()
     places_of = numbered(items, most)
-    histogram = np.zeros(most + 1, dtype=np.int64)
-    for r in places_of.groupBy("size").agg(F.count("*").alias("n")).collect():  # at most ``most`` rows
+    histogram = np.zeros(most + 2, dtype=np.int64)
+    for r in places_of.groupBy("size").agg(F.count("*").alias("n")).collect():  # at most ``most`` rows and one
         histogram[r["size"]] = r["n"]
-    tables = [(p, c, places(plan(histogram[: c + 1], c), c)) for p, c in capacities]
+    below = np.r_[0, np.cumsum(histogram)]
+    tables = []
+    for p, c in capacities:
+        steps = plan(histogram[: c + 1], c)
+        # oversized items follow the shared containers, of which the first is there in any case (for empty items)
+        tables.append((p, c, places(steps, c), below - below[c + 1] + max(1, sum(n for _, n in steps))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, nth = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
-            for pack_id, capacity, (sizes, first, container, m) in tables:
+            size, nth = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            for pack_id, capacity, (sizes, first, container, m), alone in tables:
                 fits = size <= capacity
-                where = None
+                where = np.zeros(size.size, np.int64)
                 if sizes.size:
                     step = int(nth.max(initial=0)) + int(first.max()) + 2
                     at = np.maximum(np.searchsorted(sizes * step + first, size * step + nth, side="right") - 1, 0)
                     where = container[at] + (nth - first[at]) // m[at]
-                else:
-                    where = np.zeros(size.size, np.int64)
+                where = np.where(fits, where, alone[size] + nth)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size.size, pack_id), pa.int32()), pa.array(where, pa.int64(), mask=~fits), b.column(0), b.column(1), pa.array(~fits)],
+                    [pa.array(np.full(size.size, pack_id), pa.int32()), pa.array(where, pa.int64()), b.column(0), b.column(1), pa.array(~fits)],
                     names=["pack_id", "container", "id", "size", "oversized"],
                 )
 
     schema = f"pack_id int, container bigint, id {kind}, size bigint, oversized boolean"
     placed = places_of.mapInArrow(place, schema)
-    # neither ever shares a container by size: texts without tokens and items above every capacity
+    # texts without tokens
     rest = (
-        items.where((F.col("size") < 1) | (F.col("size") > most))
+        items.where("size < 1")
         .select(F.explode(F.array(*(F.lit(int(p)) for p, _ in capacities))).alias("pack_id"), "id", "size")
-        .select("pack_id", F.when(F.col("size") < 1, F.lit(0)).cast("bigint").alias("container"), "id", "size", (F.col("size") > most).alias("oversized"))
+        .select("pack_id", F.lit(0).cast("bigint").alias("container"), "id", "size", F.lit(False).alias("oversized"))
     )
     return placed.unionByName(rest)
 
@@ -248,10 +253,8 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, root: str) -> DataFrame:
-    """Members and fill of the containers (those of one oversized document are left to p7_found)."""
-    return (
-        _packed(spark, root).where("not oversized").groupBy("pack_id", "container").agg(F.count("*").alias("members"), F.sum("size").alias("fill"))
-    )
+    """Members and fill of all containers; ``oversized`` marks those of one document above the capacity."""
+    return _packed(spark, root).groupBy("pack_id", "container").agg(F.count("*").alias("members"), F.sum("size").alias("fill"), F.max("oversized").alias("oversized"))
 
 
 P7_FOUND_SQL = """
