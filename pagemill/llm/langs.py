@@ -40,13 +40,21 @@ def label(column: Column | str) -> Column:
     return codes[F.regexp_replace(F.lower(F.trim(column)), "_", "-")]
 
 
-def guess(text: str) -> str:
-    """The language of a text by its script; among those of the Latin script by function words."""
+def by_script(text: str) -> str | None:
+    """The language of a text in CJK letters; null for others."""
     if not text.isascii():
         kana = len(_KANA.findall(text))
         han = len(_HAN.findall(text)) if kana or _HAN.search(text) else 0
         if kana + han > 0.15 * len(text):
             return "ja" if kana * 12 > han else "zh-TW"
-    words = Counter(text.lower().split())
-    score = [(sum(words[w] for w in WORDS[lang]), -k, lang) for k, lang in enumerate(("en", "de", "fr"))]
-    return max(score)[2]
+    return None
+
+
+def by_words(words: Counter) -> str:
+    """Among the languages of the Latin script, the one whose function words are the most frequent."""
+    return max((sum(words[w] for w in WORDS[lang]), -k, lang) for k, lang in enumerate(("en", "de", "fr")))[2]
+
+
+def guess(text: str) -> str:
+    """The language of a text by its script; among those of the Latin script by function words."""
+    return by_script(text) or by_words(Counter(text.lower().split()))

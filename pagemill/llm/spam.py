@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.arrow import slices
-from pagemill.llm.langs import LANGS, WORDS, guess, label
+from pagemill.llm.langs import LANGS, WORDS, by_script, by_words, label
 from pagemill.llm.lookalike import fold
 from pagemill.sources.tables import cut, table
 
@@ -39,6 +39,7 @@ CUTOFF, SHARE, ROUNDS = 24.32, 0.42, 3
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|href=|<a\b|</a>|\]\(|\b[a-z0-9\-]+\.(?:example|test|invalid|com|org|net|info|biz|shop|online|site)\b(?:/\S*)?", re.I)
 _PIECE = re.compile(r"[^.!?。！？\n#·|]++[.!?。！？]?+|[.!?。！？]++|[\n#·|]++")
 _LINKED = ("://", "www.", "](", "</a>", "href=", ".example", ".test", ".invalid", ".com", ".org", ".net", ".info", ".biz", ".shop", ".online", ".site", "WWW.", ".COM")
+_WIDE_GAP = re.compile(r"[^\S\n ]|  ")
 _WORD = re.compile(r"[a-zß-öø-ɏ]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _MARK = re.compile(r"[#·|;•►»]|>>| / |\b[A-Z]{2,4}\d{1,4}\b")
@@ -79,8 +80,6 @@ def features(text: str) -> tuple[list[float], int, str]:
         return "\x00"
 
     bare = _LINK.sub(drop, text) if any(x in text for x in _LINKED) else text
-    lang = guess(bare)
-    own = WORDS[lang]
     prose = held = spaces = 0
     stopped = False
     for piece in _PIECE.findall(bare):
@@ -108,16 +107,19 @@ def features(text: str) -> tuple[list[float], int, str]:
     words = _WORD.findall(lower)
     wide = [] if lower.isascii() else _CJK.findall(lower)
     n = len(words) + max(0, len(wide) - 1)
+    latin = Counter(words)
+    lang = by_script(bare) or by_words(latin)
     if not n:
         return [0.0, 0.0, links / size, 0.0, 0.0, 0.0, 0.0], 0, lang
-    counted = Counter(wide if len(words) * 2 <= len(wide) else words)
-    rate = sum(counted[w] for w in own) / max(1, counted.total())
+    counted = Counter(wide) if len(words) * 2 <= len(wide) else latin
+    rate = sum(counted[w] for w in WORDS[lang]) / max(1, counted.total())
     ids = np.fromiter(map(hash, words), dtype=np.int64, count=len(words))
     if len(wide) > 1:
         points = np.frombuffer("".join(wide).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         ids = np.concatenate([ids, points[:-1] << 21 | points[1:]])
     entropy, repeated = _windows(ids)
-    phrases = [x for x in (" ".join(p.split()) for p in _CUT.split(lower)) if len(x) > 1]
+    parts_of = _CUT.split(lower)
+    phrases = [x for x in (map(str.strip, parts_of) if not _WIDE_GAP.search(lower) else (" ".join(p.split()) for p in parts_of)) if len(x) > 1]
     again, parts = 0.0, 0
     for i in range(0, len(phrases), WINDOW):
         part = phrases[i : i + WINDOW]
