@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 import random
 import time
@@ -18,6 +19,7 @@ from pagemill.functions.tokens import estimate
 from pagemill.llm import language, leaks, lookalike, pack, privacy, registry, scanned, spam, split, truncation
 from pagemill.llm.arrow import code_points
 from pagemill.llm.langs import guess, label
+from pagemill.llm.latest import latest_texts
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -130,6 +132,10 @@ def test_units():
     assert language.units("") == [] and guess("") == "en"
 
 
+def test_short_sentences():
+    assert [language._size(u, language.letters(u)) for u in ("Bitte warten Sie.", "Bitte warten Sie am Tor.", "請稍候片刻。", "請稍候片刻再來。", "Ms.", "of the office.", "Name is A.")] == [1, 2, 1, 2, 0, 0, 0]
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("EN",), ("zh_TW",), ("und",), ("",), (None,), ("ja-JP",), ("traditional_chinese",)], "x string")
     assert [r[0] for r in df.select(label("x")).collect()] == ["en", "zh-TW", None, None, None, "ja", "zh-TW"]
@@ -373,6 +379,16 @@ def test_split_rows(spark):
     assert [x["part_index"] for x in r] == list(range(1, r[0]["part_count"] + 1)) and "".join(x["content"][x["overlap_chars"] :] for x in r) == "One sentence here. " * 200
 
 
+def test_latest_delivery_is_split(spark):
+    long, day = "One sentence here. " * 200, lambda k: datetime.datetime(2025, 1, k)
+    rows = [("r", "a", long, day(1)), ("r", "a", "short", day(2)), ("r", "b", "short", day(1)), ("r", "b", long + "B", day(2)), ("r", None, long + "C", day(1)), ("r", None, long + "D", day(1)), ("r", None, "short", day(3)), ("r", "c", long, None)]
+    c = spark.createDataFrame(rows, "run_id string, chunk_id string, content string, written_at timestamp")
+    made = split.split_oversized(c, spark.createDataFrame([], "run_id string, config_json string")).where("part_index = 1").collect()
+    assert sorted(r["parent_chunk_id"] or "" for r in made) == ["", "", "b", "c"]
+    texts = {(r["chunk_id"], r["content"]) for r in latest_texts(c).collect()}
+    assert texts == {("a", "short"), ("b", long + "B"), (None, long + "C"), (None, long + "D"), (None, "short"), ("c", long)}
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -384,11 +400,13 @@ def test_pack(spark):
     for pack_id, capacity in ((1, 1000), (2, 2048)):
         own = [r for r in rows if r["pack_id"] == pack_id]
         assert sorted(r["id"] for r in own) == sorted([*range(5000), 99999])
-        assert all(r["oversized"] == (r["size"] > capacity) and (r["container"] is None) == r["oversized"] for r in own)
+        assert all(r["oversized"] == (r["size"] > capacity) and r["container"] is not None for r in own)
         fill: dict[int, int] = {}
         for r in own:
             if not r["oversized"]:
                 fill[r["container"]] = fill.get(r["container"], 0) + r["size"]
+        alone = [r["container"] for r in own if r["oversized"]]
+        assert len(set(alone)) == len(alone) and sorted({*fill, *alone}) == list(range(len(fill) + len(alone)))
         assert max(fill.values()) <= capacity and sum(fill.values()) >= 0.97 * capacity * len(fill)
     assert pack.pack(items.limit(0), [(1, 10)]).count() == 0
     with pytest.raises(ValueError, match="capacity"):
