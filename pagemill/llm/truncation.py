@@ -137,14 +137,16 @@ def _mixed(h: np.ndarray, salt: np.ndarray, length: int) -> np.ndarray:
 
 
 class Contexts:
-    """Contexts at which values end: sorted keys, behind a bitmap of the keys' first bits that most other keys miss."""
+    """Contexts at which values end: sorted keys, found through the range of keys that begin with the same bits (at most 48 bytes for each, with the keys)."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(keys)
-        bits = max(10, int(8 * max(1, keys.size)).bit_length())
+        bits = max(10, int(4 * max(1, keys.size)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.used = np.zeros(1 << bits, dtype=bool)
-        self.used[(self.keys >> self.shift).astype(np.int64)] = True
+        size = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.first = np.r_[0, np.cumsum(size)].astype(np.int32)
+        self.used = size > 0
+        self.most = int(size.max(initial=0))
 
     def __reduce__(self):
         # what is sent is the keys; the rest is made again from them
@@ -156,13 +158,19 @@ class Contexts:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key, -1 where it is no such context."""
-        out = np.full(keys.size, -1, dtype=np.int64)
-        left = np.flatnonzero(self.used[(keys >> self.shift).astype(np.int64)])
-        if left.size:
-            wanted = keys[left]
-            at = np.minimum(self.keys.searchsorted(wanted), self.keys.size - 1)
+        out = np.full(keys.size, -1, dtype=np.int32)
+        bucket = (keys >> self.shift).astype(np.int64)
+        left = np.flatnonzero(self.used[bucket])
+        bucket = bucket[left]
+        at, end, wanted = self.first[bucket], self.first[bucket + 1], keys[left]
+        for _ in range(self.most):
             same = self.keys[at] == wanted
             out[left[same]] = at[same]
+            at = at + np.int32(1)
+            more = ~same & (at < end)
+            if not more.any():
+                break
+            left, at, end, wanted = left[more], at[more], end[more], wanted[more]
         return out
 
 
