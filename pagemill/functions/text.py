@@ -5,11 +5,19 @@ Character classes are written out, so that the same patterns mean the same in ev
 
 from __future__ import annotations
 
+import html
+import re
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "[ \\t\\n\\r\\f\\x0B\\x{A0}\\x{3000}]"
 HAN = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]"
+DOMAIN_ACCOUNT = "([A-Za-z]{2,}\\\\[A-Za-z])[0-9]{4,6}([^0-9]|$)"
+EMAIL_ID = "(^|[^A-Za-z0-9.])([A-Za-z]{1,3})[0-9]{4,6}@"
 NUMBER = "[0-9]+(?:[.,/:-][0-9]+)*"
 
 
@@ -24,13 +32,18 @@ def plain_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(decode_entities(x), f"{SPACE}+", " "))
 
 
+@F.arrow_udf(T.StringType())
+def _unescaped(texts: pa.Array) -> pa.Array:
+    held = pc.match_substring(texts, "&").fill_null(False)
+    if not pc.any(held).as_py():
+        return texts
+    # only the texts with an ampersand are touched
+    return pc.replace_with_mask(texts, held, pa.array([html.unescape(x) for x in texts.filter(held).to_pylist()], pa.string()))
+
+
 def decode_entities(c: Column | str) -> Column:
-    """Named entities; the ampersand last, so that nothing is decoded twice."""
-    x = col(c)
-    # Entity names and their characters.
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&copy;", "©"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    """Named, decimal and hexadecimal entities, each once (what they give isn't decoded again); a no-break space becomes a space."""
+    return F.translate(_unescaped(col(c)), "\u00a0", " ")
 
 
 def normalized_text(c: Column | str) -> Column:
@@ -107,12 +120,12 @@ def source_title(path: Column | str) -> Column:
 
 def mask_domain_account(c: Column | str) -> Column:
     """``DOMAIN\\x12345``: the four to six digits become asterisks."""
-    return F.regexp_replace(col(c), "([A-Za-z]{2,}\\\\[A-Za-z])[0-9]{4,6}([^0-9]|$)", "$1*****$2")
+    return F.regexp_replace(col(c), DOMAIN_ACCOUNT, "$1*****$2")
 
 
 def mask_email_id(c: Column | str) -> Column:
     """``d23456@host``: the digits of an account that is letters and four to six digits become asterisks."""
-    return F.regexp_replace(col(c), "(^|[^A-Za-z0-9.])([A-Za-z]{1,3})[0-9]{4,6}@", "$1$2*****@")
+    return F.regexp_replace(col(c), EMAIL_ID, "$1$2*****@")
 
 
 # HTML -------------------------------------------------------------------------------------------------------------
@@ -160,12 +173,24 @@ def html_to_markdown(c: Column | str) -> Column:
 # small forms ------------------------------------------------------------------------------------------------------
 
 
+_URL_GAP = re.compile(r"(https?://[A-Za-z0-9._/-]*[/._-])[ \n]+([a-z0-9][A-Za-z0-9._/-]*)")
+
+
+@F.arrow_udf(T.StringType())
+def _rejoined(texts: pa.Array) -> pa.Array:
+    def whole(x: str) -> str:
+        while True:
+            made, n = _URL_GAP.subn(r"\1\2", x)
+            if not n:
+                return x
+            x = made
+
+    return pa.array([x if x is None or "http" not in x else whole(x) for x in texts.to_pylist()], pa.string())
+
+
 def rejoin_urls(c: Column | str) -> Column:
-    """A link broken by a space before its tail is glued, three times at most."""
-    x = col(c)
-    for _ in range(3):
-        x = F.regexp_replace(x, "(https?://[A-Za-z0-9._/-]*[/._-])[ \\n]+([a-z0-9][A-Za-z0-9._/-]*)", "$1$2")
-    return x
+    """Links broken by a space or line end before their tail are glued, until none is left."""
+    return _rejoined(col(c))
 
 
 def clean_symbols(c: Column | str) -> Column:

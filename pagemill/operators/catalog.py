@@ -35,7 +35,7 @@ def invalidate(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
-def lookup(requests: DataFrame, cache: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``requests`` with the cached value and ``hit``."""
-    found = cache.select(*keys, value).dropDuplicates(keys).withColumn("hit", F.lit(True))
+def lookup(requests: DataFrame, cache: DataFrame, keys: list[str], value: str, order: str | None = None) -> DataFrame:
+    """``requests`` with the cached value and ``hit``; of several values of a key the one with the greatest ``order`` (the value itself without one)."""
+    found = cache.groupBy(*keys).agg(F.max_by(value, order or value).alias(value)).withColumn("hit", F.lit(True))
     return requests.join(found, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,37 +34,55 @@ def containment(inner: str, outer: str) -> Column:
 
 
 def overlapping(blocks: DataFrame, page: list[str], order: str, least: float = 0.9) -> DataFrame:
-    """(page, first, second, iou): blocks of one page that cover each other; the join is on the page and a coarse grid cell of the centre's neighbourhood, so a page is not joined with itself whole."""
-    size = 100
-    boxed = blocks.withColumn("box", F.struct(*BOX)).withColumn("cx", F.floor((F.col("x0") + F.col("x1")) / 2 / size)).withColumn("cy", F.floor((F.col("y0") + F.col("y1")) / 2 / size))
+    """(page, first, second, iou): blocks of one page that cover each other by more than ``least``.
+
+    Two boxes whose overlap exceeds ``least`` of their union differ in either side by less than a factor of ``least``, and
+    their corners by less than 1 / ``least`` - 1 of a side. So blocks meet through the logarithm of their width and
+    height and the place of their corner in units of the side, each with its neighbours: complete for any ``least`` from 0.5 on.
+    """
+    if not 0.5 <= least < 1:
+        raise ValueError(f"least is {least}")
+    # one step of the logarithm holds sides that differ by the factor; corners are at most one cell apart
+    step = -math.log(least)
+    side = lambda low, high: F.greatest(F.col(high) - F.col(low), F.lit(1)).cast("double")
+    cell = {"_w": F.floor(F.log(side("x0", "x1")) / step), "_h": F.floor(F.log(side("y0", "y1")) / step)}
+    boxed = blocks.where("x1 > x0 and y1 > y0").withColumn("box", F.struct(*BOX)).withColumns(cell)
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = boxed.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select(*page, F.col(order).alias("second"), F.col("box").alias("b"), (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    own = boxed.select(*page, F.col(order).alias("first"), F.col("box").alias("a"), "cx", "cy")
-    return own.join(spread, [*page, "cx", "cy"]).where("first < second").withColumn("iou", iou("a", "b")).where(F.col("iou") > least).select(*page, "first", "second", "iou")
+    unit = lambda k: F.exp((F.col(k) + 1) * step)
+    place = {"_x": F.floor(F.col("x0") / unit("_w")), "_y": F.floor(F.col("y0") / unit("_h"))}
+    own = boxed.withColumns(place).select(*page, F.col(order).alias("first"), F.col("box").alias("a"), "_w", "_h", "_x", "_y")
+    shifts = F.explode(F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+    other = boxed.withColumn("_s", shifts).withColumns({"_w": F.col("_w") + F.col("_s.i"), "_h": F.col("_h") + F.col("_s.j")}).withColumns(place)
+    other = other.withColumn("_s", shifts).withColumns({"_x": F.col("_x") + F.col("_s.i"), "_y": F.col("_y") + F.col("_s.j")})
+    other = other.select(*page, F.col(order).alias("second"), F.col("box").alias("b"), "_w", "_h", "_x", "_y")
+    met = own.join(other, [*page, "_w", "_h", "_x", "_y"]).where("first < second").withColumn("iou", iou("a", "b"))
+    return met.where(F.col("iou") > least).select(*page, "first", "second", "iou")
+
+
+def _covering(box: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``others`` cover ``box`` by more than ``least``."""
+    w = np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0])
+    h = np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1])
+    both = np.maximum(0, w) * np.maximum(0, h)
+    area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+    union = area(box) + area(others) - both
+    return (union > 0) & (both > least * union)
 
 
 def dedup_regions(blocks: DataFrame, page: list[str], order: str, least: float = 0.9) -> DataFrame:
     """Greedy in reading order: of two regions of a page that cover each other the one of higher priority stays, else the earlier."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(order)
+        boxes, rank = rows[list(BOX)].to_numpy(dtype=np.float64), np.array([PRIORITY.get(t, 1) for t in rows["type"]])
         kept: list[int] = []
-        rows = pdf.sort_values(order).reset_index(drop=True)
-        for i, r in rows.iterrows():
-            rank = PRIORITY.get(r["type"], 1)
-            beaten = None
-            for j in kept:
-                o = rows.loc[j]
-                w, h = min(r.x1, o.x1) - max(r.x0, o.x0), min(r.y1, o.y1) - max(r.y0, o.y0)
-                both = max(0, w) * max(0, h)
-                union = (r.x1 - r.x0) * (r.y1 - r.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - both
-                if union > 0 and both / union > least:
-                    beaten = j
-                    break
-            if beaten is None:
+        for i in range(len(rows)):
+            met = np.flatnonzero(_covering(boxes[i], boxes[kept], least)) if kept else []
+            if not len(met):
                 kept.append(i)
-            elif rank > PRIORITY.get(rows.loc[beaten]["type"], 1):
-                kept[kept.index(beaten)] = i
-        return rows.loc[sorted(kept)]
+            elif rank[i] > rank[kept[met[0]]]:
+                kept[met[0]] = i
+        return rows.iloc[sorted(kept)]
 
     return blocks.groupBy(*page).applyInPandas(fold, blocks.schema)
 

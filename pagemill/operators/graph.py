@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.sources.tables import cut
@@ -29,18 +29,30 @@ def levels(nodes: DataFrame, key: list[str]) -> DataFrame:
     return nodes.groupBy(*key).applyInPandas(fold, f"{fields}, level int")
 
 
-def parents(nodes: DataFrame, key: list[str], k: int = 5) -> DataFrame:
-    """(key, child, parent, score, place): the best candidates among the nodes up to three levels above, by column overlap, distance and alignment."""
+def x_overlap(a: str, b: str) -> Column:
+    """Shared width of two boxes over the narrower width, at most 1; 0 where they don't meet or one has no width."""
+    shared = F.least(f"{a}.x1", f"{b}.x1") - F.greatest(f"{a}.x0", f"{b}.x0")
+    narrow = F.least(F.col(f"{a}.x1") - F.col(f"{a}.x0"), F.col(f"{b}.x1") - F.col(f"{b}.x0"))
+    return F.when((shared <= 0) | (narrow <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), shared.cast("double") / narrow))
+
+
+def parents(nodes: DataFrame, key: list[str], k: int = 5, reach: int = 3) -> DataFrame:
+    """(key, child, parent, score, place): the best ``k`` candidates among the nodes up to ``reach`` levels above.
+
+    The score weighs the shared columns (0.4), the closeness of the centres over the page's height (0.3) and their
+    alignment over 0.3 of its width (0.3), and is divided by the difference of levels; height and width of a page are those that its nodes reach.
+    Equal scores keep the order of ids.
+    """
+    pages = nodes.groupBy(*key).agg(F.max("x1").alias("_width"), F.max("y1").alias("_height"))
+    # a child asks for the levels above it, so nodes meet only those they may hang under
+    a = nodes.join(pages, key).withColumn("_up", F.explode(F.array(*(F.col("level") - n for n in range(1, reach + 1))))).alias("a")
     b = nodes.alias("b")
-    # a child asks for the three levels above it, so nodes meet only those they may hang under
-    a = nodes.withColumn("_up", F.explode(F.array(*(F.col("level") - n for n in (1, 2, 3))))).alias("a")
     joined = a.join(b, [*(F.col(f"a.{x}") == F.col(f"b.{x}") for x in key), F.col("a._up") == F.col("b.level")])
-    shared = F.greatest(F.lit(0), F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0"))
-    overlap = shared / F.greatest(F.lit(1), F.least(F.col("a.x1") - F.col("a.x0"), F.col("b.x1") - F.col("b.x0")))
-    dy = F.least(F.lit(1.0), F.abs(F.col("a.y0") - F.col("b.y1")) / 1000)
-    centre = F.lit(1.0) - F.least(F.lit(1.0), F.abs(F.col("a.x0") + F.col("a.x1") - F.col("b.x0") - F.col("b.x1")) / 2000)
-    score = F.round((overlap * 0.4 + (F.lit(1.0) - dy) * 0.3 + centre * 0.3) / (F.col("a.level") - F.col("b.level")), 6)
-    scored = joined.select(*(F.col(f"a.{x}").alias(x) for x in key), F.col("a.id").alias("child"), F.col("b.id").alias("parent"), score.alias("score"))
+    centre = lambda n, low, high: (F.col(f"{n}.{low}") + F.col(f"{n}.{high}")) / 2.0
+    down = F.abs(centre("a", "y0", "y1") - centre("b", "y0", "y1")) / F.col("_height")
+    aside = F.lit(1.0) - F.least(F.lit(1.0), F.abs(centre("a", "x0", "x1") - centre("b", "x0", "x1")) / (F.col("_width") * 0.3))
+    score = (x_overlap("a", "b") * 0.4 + (F.lit(1.0) - down) * 0.3 + aside * 0.3) / (F.col("a.level") - F.col("b.level"))
+    scored = joined.select(*(F.col(f"a.{x}").alias(x) for x in key), F.col("a.id").alias("child"), F.col("b.id").alias("parent"), F.round(score, 6).alias("score"))
     w = Window.partitionBy(*key, "child").orderBy(F.col("score").desc(), "parent")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
@@ -52,15 +64,15 @@ def siblings(edges: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
     return placed.withColumn("right", F.lead("child").over(w)).where("right is not null").select(*key, F.col("child").alias("left"), "right")
 
 
-def paths(edges: DataFrame, names: DataFrame, key: list[str], depth: int = 16) -> DataFrame:
+def paths(edges: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
     """(key, id, depth, path, cyclic): names from the root to every node by walking (child, parent) edges; a walk that meets a node again is cyclic and ends.
 
-    Each round joins all open walks with their next edge and cuts the lineage; it ends when no walk is open or after ``depth`` rounds.
+    Each round joins all open walks with their next edge and cuts the lineage; it ends when no walk is open, which a cycle can't delay.
     """
     step = edges.select(*key, F.col("child").alias("top"), F.col("parent").alias("next"))
     named = names.select(*key, F.col("id").alias("next"), F.col("name").alias("next_name"))
     walk = names.select(*key, "id", F.col("id").alias("top"), F.array("id").alias("seen"), F.col("name").alias("path"), F.lit(False).alias("cyclic"), F.lit(True).alias("open"))
-    for _ in range(depth):
+    while True:
         moved = walk.where("open").join(step, [*key, "top"], "left").join(named, [*key, "next"], "left")
         again = F.array_contains("seen", F.col("next"))
         moved = moved.select(
@@ -70,19 +82,17 @@ def paths(edges: DataFrame, names: DataFrame, key: list[str], depth: int = 16) -
         )
         walk = cut(walk.where("not open").unionByName(moved), "org-paths")
         if walk.where("open").isEmpty():
-            break
-    return walk.select(*key, "id", (F.size("seen") - 1).alias("depth"), "path", "cyclic")
+            return walk.select(*key, "id", (F.size("seen") - 1).alias("depth"), "path", "cyclic")
 
 
-def closed_subset(items: DataFrame, needs: DataFrame, rounds: int = 32) -> DataFrame:
+def closed_subset(items: DataFrame, needs: DataFrame) -> DataFrame:
     """The greatest set of ``items`` (id) whose needs (id, needed) are all in it: items with a missing need drop out until none does."""
     left = items.select("id").distinct()
     before = left.count()
-    for _ in range(rounds):
+    while True:
         broken = needs.join(left.select(F.col("id").alias("needed")), "needed", "left_anti").select("id").distinct()
         left = cut(left.join(broken, "id", "left_anti"), "closed-subset")
         now = left.count()
         if now == before:
-            break
+            return left
         before = now
-    return left

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.arrow import slices
 from pagemill.functions.text import col
 
 
+# Terms that a term of a query also asks for.
+EXPANSIONS = {
+    "組織圖": "組織架構 架構圖 系統圖 流程圖 flowchart hierarchical hierarchy chart diagram structure",
+    "架構": "結構 層級 階層 hierarchical hierarchy structure",
+    "流程圖": "flowchart chart diagram",
+    "系統圖": "架構圖 流程圖 flowchart diagram structure",
+}
+SPACES = "[ \\t\\n\\r\\f\\x0B\\x{A0}\\x{3000}]+"
+
+
 def query_terms(query: Column | str) -> Column:
-    """Distinct terms of a query, lower case: runs of ASCII letters and digits, and parts between spaces, of two characters or more."""
+    """Distinct terms of a query, lower case, sorted: runs of ASCII letters, digits and underscores, parts between spaces of two characters or more, and what these expand to; null gives null."""
     q = F.lower(col(query))
-    both = F.concat(F.regexp_extract_all(q, F.lit("([a-z0-9]+)"), F.lit(1)), F.split(q, "[ \\x{3000}]+"))
-    return F.array_sort(F.array_distinct(F.filter(both, lambda t: F.length(t) >= 2)))
+    parts = F.filter(F.split(q, SPACES), lambda t: F.length(t) >= 2)
+    terms = F.concat(F.regexp_extract_all(q, F.lit("([a-z0-9_]+)"), F.lit(1)), parts)
+    known = F.create_map(*(x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))))
+    more = F.flatten(F.transform(terms, lambda t: F.coalesce(F.element_at(known, t), F.array().cast("array<string>"))))
+    return F.array_sort(F.array_distinct(F.concat(terms, more)))
 
 
 def match_count(terms: Column, text: Column) -> Column:
@@ -21,11 +38,58 @@ def match_count(terms: Column, text: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda n, t: n + F.contains(low, F.lower(t)).cast("int"))
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, on: str, terms: str, text: str, query_id: str, candidate_id: str, k: int) -> DataFrame:
-    """The k candidates that hold most terms, for each query; ties go to the greater id. The top-k report is the feature."""
-    scored = queries.join(candidates, on).select(query_id, candidate_id, match_count(F.col(terms), F.col(text)).cast("bigint").alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(candidate_id).desc())
-    return scored.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
+#: Distinct terms of a query set that are sent to all tasks at most.
+TERMS = 1_000_000
+
+
+def scored(queries: DataFrame, candidates: DataFrame, query: str, text: str, query_id: str, candidate_id: str, on: list[str] | None = None) -> DataFrame:
+    """(query_id, candidate_id, kind, score): how many terms of a query each candidate holds, of those that hold any; with ``on`` only candidates of the query's key.
+
+    The queries are a stated set: their distinct terms go to all tasks, where one pass of an automaton over a candidate finds
+    all that it holds, whatever their number. Terms lead back to queries by a join, so no query is joined with a text.
+    """
+    on = on or []
+    asked = queries.select(query_id, *on, F.explode(query_terms(query)).alias("_term"))
+    terms = sorted(r["_term"] for r in asked.select("_term").distinct().limit(TERMS + 1).collect())
+    if len(terms) > TERMS:
+        raise ValueError(f"more than {TERMS} distinct terms: split the query set")
+    shared = queries.sparkSession.sparkContext.broadcast(terms)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = automaton(shared.value)
+        for b in slices(batches, text):
+            at, found = [], []
+            for i, x in enumerate(b.column(text).to_pylist()):
+                here = sorted(held(x.lower())) if x else []
+                at += [i] * len(here)
+                found += here
+            keep = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(keep) for k in (*on, candidate_id, "kind")), pa.array(found, pa.string())], names=[*on, candidate_id, "kind", "_term"])
+
+    kinds = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in (*on, candidate_id, "kind"))
+    hits = candidates.select(*on, candidate_id, "kind", text).mapInArrow(find, f"{kinds}, _term string")
+    return hits.join(asked, [*on, "_term"]).groupBy(query_id, candidate_id, "kind").agg(F.count("*").alias("score"))
+
+
+def automaton(terms: list[str]) -> Callable[[str], set[str]]:
+    """A function from a text to those of ``terms`` that it holds."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda x: {t for t in terms if t in x}
+    made = ahocorasick.Automaton()
+    for t in terms:
+        if t:
+            made.add_word(t, t)
+    made.make_automaton()
+    return (lambda x: {t for _, t in made.iter(x)}) if len(made) else lambda x: set()
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, query: str, text: str, query_id: str, candidate_id: str, k: int, on: list[str] | None = None) -> DataFrame:
+    """The k candidates (with a ``kind``) that hold most terms of each query; ties go to the greater kind, then the greater id. The top-k report is the feature; a candidate without any term has no place."""
+    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col("kind").desc(), F.col(candidate_id).desc())
+    ranked = scored(queries, candidates, query, text, query_id, candidate_id, on)
+    return ranked.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
 
 
 def fact_recall(queries: DataFrame, texts: DataFrame, on: str, terms: str, text: str, query_id: str) -> DataFrame:

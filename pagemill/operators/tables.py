@@ -118,11 +118,14 @@ def header_rows(cells: DataFrame, keys: list[str], row: str) -> DataFrame:
     return rows.where("filled >= 2 and numeric = 0").groupBy(*keys).agg(F.min(row).alias("header_row"))
 
 
-def forward_fill(cells: DataFrame, keys: list[str], row: str) -> DataFrame:
-    """An empty first cell takes the last text above it."""
-    w = Window.partitionBy(*keys).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    first = cells.where("column = 0").withColumn("filled", F.last(F.when(F.col("text") != "", F.col("text")), ignorenulls=True).over(w))
-    return first.select(*keys, row, "filled")
+def forward_fill(cells: DataFrame, keys: list[str], row: str, columns: int = 2) -> DataFrame:
+    """``cells`` with ``filled``: in a row whose first cell is empty, the empty ones of the first ``columns`` cells take the last text above them; all others are the text itself."""
+    w = Window.partitionBy(*keys, "column").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    first = Window.partitionBy(*keys, row)
+    own = F.nullif("text", F.lit(""))
+    goes_on = F.max(F.when(F.col("column") == 0, F.col("text") == "")).over(first)
+    carried = F.last(own, ignorenulls=True).over(w)
+    return cells.withColumn("filled", F.when((F.col("column") < columns) & F.coalesce(goes_on, F.lit(True)), F.coalesce(own, carried, F.lit(""))).otherwise(F.col("text")))
 
 
 def number_repeats(df: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
@@ -139,9 +142,12 @@ def to_markdown(cells: DataFrame, keys: list[str], row: str) -> DataFrame:
 
 
 def to_records(cells: DataFrame, keys: list[str], row: str) -> DataFrame:
-    """One self-contained line for each data row: ``name: value`` for the filled cells, names from the header row."""
+    """One self-contained line for each data row: ``name: value`` for the filled cells, names from the header row (repeated ones numbered), merged key cells carried down."""
     head = header_rows(cells, keys, row)
-    names = cells.join(head, keys).where(F.col(row) == F.col("header_row")).select(*keys, "column", F.col("text").alias("name"))
-    data = cells.join(head, keys).where((F.col(row) > F.col("header_row")) & (F.col("text") != ""))
-    named = data.join(names, [*keys, "column"], "left").withColumn("fact", F.concat(F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("column "), F.col("column") + 1)), F.lit(": "), F.col("text")))
+    names = cells.join(head, keys).where((F.col(row) == F.col("header_row")) & (F.col("text") != ""))
+    names = number_repeats(names, keys, "column", "text").select(*keys, "column", F.col("numbered").alias("name"))
+    data = forward_fill(cells.join(head, keys).where(F.col(row) > F.col("header_row")), keys, row)
+    # a row that is empty as it stands gives no record
+    data = data.withColumn("_any", F.max((F.col("text") != "").cast("int")).over(Window.partitionBy(*keys, row))).where("_any = 1 and filled <> ''")
+    named = data.join(names, [*keys, "column"], "left").withColumn("fact", F.concat(F.coalesce("name", F.concat(F.lit("column "), F.col("column") + 1)), F.lit(": "), F.col("filled")))
     return named.groupBy(*keys, row).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "fact"))), lambda c: c["fact"]), "; ").alias("record"))

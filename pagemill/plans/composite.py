@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
-from pagemill.operators import blocks as bl
+from pagemill.functions.arrow import slices
 from pagemill.operators import geometry, graph
-from pagemill.operators.chunking import chunk_documents
+from pagemill.operators.chunking import chunk_documents, chunks_of
 from pagemill.sources.tables import shared_folder, table
 from pagemill.streaming.ingest import event_windows, ingest
 
@@ -29,17 +32,45 @@ def query(sql: str | None = None):
 @query()
 def document_chunks(spark: SparkSession, root: str) -> DataFrame:
     """Chunks of all documents under 512 tokens with 50 of overlap."""
-    return chunk_documents(bl.blocks(table(spark, root, "documents"), ["doc_id"], "text"), "doc_id")
+    return chunk_documents(table(spark, root, "documents"), "doc_id", "text")
 
 
-@query("select doc_id, true as bounded, true as covered from documents where length(trim(replace(text, chr(10), ' '), ' ')) > 0")
+@query("""select doc_id, true as bounded, true as whole, true as numbered from documents where length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B\\x{A0}\\x{3000}]+', '', 'g')) > 0""")
 def document_chunk_invariants(spark, root):
-    """Every chunk is within the limit, and every line of the document is in some chunk (white space aside)."""
-    documents = table(spark, root, "documents").where("length(trim(replace(text, '\n', ' '))) > 0").select("doc_id", "text")
-    made = document_chunks(spark, root).groupBy("doc_id").agg(F.max("tokens").alias("most"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda c: c["content"]), "\n").alias("all"))
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.length(F.trim(x)).between(1, 400))
-    joined = documents.join(made, "doc_id")
-    return joined.select("doc_id", (F.col("most") <= 512).alias("bounded"), F.forall(lines, lambda x: F.contains(F.col("all"), F.trim(x))).alias("covered"))
+    """Every chunk is within the limit; every block stands whole in a chunk, or its parts laid together without their overlaps give it back; parts are numbered from 1 to their count."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            rows = [_held(x, chunks_of(x)) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows]) for k in range(3))], names=["doc_id", "bounded", "whole", "numbered"])
+
+    documents = table(spark, root, "documents").select("doc_id", "text").where(F.length(tx.compact("text")) > 0)
+    return documents.mapInArrow(check, "doc_id bigint, bounded boolean, whole boolean, numbered boolean")
+
+
+def _held(text: str, chunks: list[tuple]) -> tuple[bool, bool, bool]:
+    """What ``document_chunk_invariants`` states of one text: chunks are laid together again, oversized ones from their parts."""
+    whole: list[tuple[int, int, str]] = []
+    numbered, k = True, 0
+    while k < len(chunks):
+        _, parent, index, count, _, _, content, first, last, _ = chunks[k]
+        parts = [content] if parent is None else [c[6] for c in chunks[k : k + count]]
+        numbered &= parent is None or [(c[1], c[2], c[3]) for c in chunks[k : k + count]] == [(parent, i, count) for i in range(1, count + 1)]
+        made = parts[0]
+        for before, part in zip(parts, parts[1:]):
+            # a part begins with the stated share of the end of the one before
+            over = min(32, len(before) // 4)
+            over = over if over and before.endswith(part[:over]) else 0
+            made += part[over:]
+        whole.append((first, last, made))
+        k += len(parts)
+    blocks = [(i, x) for i, x in enumerate(text.split("\n")) if x.strip()]
+    at, held = 0, True
+    for i, x in blocks:
+        while at < len(whole) and whole[at][1] < i:
+            at += 1
+        held &= any(x in made for first, last, made in whole[at : at + 2] if first <= i <= last)
+    return all(c[9] <= 512 for c in chunks), held, numbered
 
 
 @query("""with b as (select run_id, chunk_id, unnest(block_ids) as block_id, unnest(range(len(block_ids))) as k from (select distinct run_id, chunk_id, block_ids from chunks)) select run_id, chunk_id, count(*) as n_blocks, count(distinct block_id) as n_distinct, min(block_id) as first_block, max(block_id) as last_block from b group by 1, 2""")
@@ -74,13 +105,14 @@ def region_dedup(spark, root):
     return geometry.dedup_regions(_boxes(spark, root).withColumn("type", kinds), ["run_id"], "at").groupBy("run_id").agg(F.count("*").alias("n_kept"))
 
 
-@query(f"""with {_BOXES_SQL}, l as (select run_id, pos as id, x0, y0, x0 + 200 as x1, y0 + 60 as y1, (y0 // 90)::int as level from boxes),
-s as (select a.run_id, a.id as child, b.id as parent, round((greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / 200.0::double * 0.4 + (1.0 - least(1.0, abs(a.y0 - b.y1) / 1000.0::double)) * 0.3 + (1.0 - least(1.0, abs(a.x0 + a.x1 - b.x0 - b.x1) / 2000.0::double)) * 0.3) / (a.level - b.level), 6) as score
-from l a join l b on a.run_id = b.run_id and b.level < a.level and a.level - b.level <= 3),
-r as (select *, row_number() over (partition by run_id, child order by score desc, parent) as place from s) select run_id, child, parent, place::int as place from r where place <= 1""")
+@query(f"""with {_BOXES_SQL}, l as (select run_id, pos as id, x0, y0, x0 + 200 as x1, y0 + 60 as y1, (y0 // 90)::int as level from boxes), pg as (select run_id, max(x1) as width, max(y1) as height from l group by run_id),
+s as (select a.run_id, a.id as child, b.id as parent, round((case when least(a.x1, b.x1) <= greatest(a.x0, b.x0) then 0::double else (least(a.x1, b.x1) - greatest(a.x0, b.x0)) / 200::double end * 0.4::double + (1::double - abs((a.y0 + a.y1) / 2::double - (b.y0 + b.y1) / 2::double) / height) * 0.3::double
+ + (1::double - least(1::double, abs((a.x0 + a.x1) / 2::double - (b.x0 + b.x1) / 2::double) / (width * 0.3::double))) * 0.3::double) / (a.level - b.level), 6) as score
+from l a join pg on pg.run_id = a.run_id join l b on a.run_id = b.run_id and b.level < a.level and a.level - b.level <= 3),
+r as (select *, row_number() over (partition by run_id, child order by score desc, parent) as place from s) select run_id, child, parent, place::int as place from r where place <= 5""")
 def org_parent_topk(spark, root):
     nodes = _boxes(spark, root).select("run_id", F.col("at").alias("id"), "x0", "y0", "x1", "y1", F.floor(F.col("y0") / 90).cast("int").alias("level"))
-    return graph.parents(nodes, ["run_id"], 1).select("run_id", "child", "parent", "place")
+    return graph.parents(nodes, ["run_id"]).select("run_id", "child", "parent", "place")
 
 
 @query()
@@ -115,7 +147,7 @@ from runs r left join m on m.run_id = r.run_id left join q on q.run_id = r.run_i
 def document_report(spark, root):
     """One row for each document: its runs, chunks, masked chunks and issues."""
     c = table(spark, root, "chunks").where("content is not null").select("run_id", "chunk_id", "content").distinct()
-    hidden = tx.mask_domain_account(tx.mask_email_id("content")) != F.col("content")
+    hidden = F.col("content").rlike(tx.EMAIL_ID) | F.col("content").rlike(tx.DOMAIN_ACCOUNT)
     m = c.groupBy("run_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"), F.sum(hidden.cast("bigint")).alias("n_masked"))
     q = table(spark, root, "quality_gate").groupBy("run_id").agg(F.countDistinct(F.when(F.col("issue_no") > 0, F.col("issue_no"))).alias("n_issues"))
     joined = table(spark, root, "runs").select("run_id", "doc_id").join(m, "run_id", "left").join(q, "run_id", "left")

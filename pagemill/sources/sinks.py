@@ -1,33 +1,75 @@
-"""Sinks: versioned publication with a checked manifest, and keyed tables with insert-or-replace."""
+"""Sinks: versioned publication with a checked manifest, and keyed tables with insert-or-replace.
+
+A published folder holds ``versions/<version>`` (data), ``manifests/<version>`` (file, sha256, size) and pointers
+``current/<number>-<version>``: empty files of which the one with the highest number counts. A pointer is made by a
+rename, after the version was read back; nothing is ever replaced, so at any time a reader finds the last published
+version, and a crash in between leaves it in place.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.catalog import upsert
 
+_POINTER = re.compile(r"(\d{12})-(.+)")
+
+
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and the path as its own."""
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
+
+
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    files, path = _files(spark, f"{root}/current")
+    if not files.exists(path):
+        return []
+    found = (_POINTER.fullmatch(s.getPath().getName()) for s in files.listStatus(path))
+    return sorted((int(m[1]), m[2]) for m in found if m)
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The published version; null before the first. A failure to look is raised, never taken as absence."""
+    found = _pointers(spark, root)
+    return found[-1][1] if found else None
+
 
 def publish(df: DataFrame, root: str, version: str) -> DataFrame:
-    """Write a version, check it by reading it back, then point to it: the pointer is one small file, written last."""
+    """Write a version, check it by reading it back, then point to it by a rename; a version that exists is refused with ValueError."""
     spark = df.sparkSession
     target = f"{root}/versions/{version}"
-    df.write.mode("overwrite").parquet(target)
+    if _files(spark, target)[0].exists(_files(spark, target)[1]):
+        raise ValueError(f"version {version} exists already")
+    df.write.parquet(target)
     files = manifest(spark, target)
     rows = spark.read.parquet(target).count()
-    files.withColumn("version", F.lit(version)).withColumn("n_rows", F.lit(rows)).write.mode("overwrite").parquet(f"{root}/manifests/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    files.withColumn("version", F.lit(version)).withColumn("n_rows", F.lit(rows)).write.parquet(f"{root}/manifests/{version}")
+    if not verified(spark, root, version):
+        raise ValueError(f"version {version} differs from its manifest")
+    system, made = _files(spark, f"{root}/current/.{uuid.uuid4().hex}")
+    system.create(made, False).close()
+    number = max((n for n, _ in _pointers(spark, root)), default=-1) + 1
+    if not system.rename(made, _files(spark, f"{root}/current/{number:012d}-{version}")[1]):
+        raise ValueError(f"version {version} was not published: another one was at the same time")
     return files
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, size) of a written folder."""
+    """(file, sha256, size) of a written folder; parts are as large as the writer makes them (``spark.sql.files.maxRecordsPerFile`` bounds them)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root}/current").first()[0]
+    version = current_version(spark, root)
+    if version is None:
+        raise ValueError(f"nothing is published in {root}")
     return spark.read.parquet(f"{root}/versions/{version}")
 
 
@@ -39,11 +81,17 @@ def verified(spark: SparkSession, root: str, version: str) -> bool:
 
 
 def upsert_table(changes: DataFrame, path: str, keys: list[str], order: str, version: str) -> DataFrame:
-    """Insert or replace by key into a versioned table; the new version is published whole."""
+    """Insert or replace by key into a versioned table; the new version is published whole. A table that can't be read is an error, and stays as it is."""
     spark = changes.sparkSession
-    try:
-        merged = upsert(current(spark, path), changes, keys, order)
-    except Exception:  # noqa: BLE001 - no version yet
-        merged = upsert(changes.limit(0), changes, keys, order)
-    publish(merged, path, version)
+    base = current(spark, path) if current_version(spark, path) is not None else changes.limit(0)
+    publish(upsert(base, changes, keys, order), path, version)
     return current(spark, path)
+
+
+def checked_artifact(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """A version's data, refused with ValueError if it isn't the current one or was changed after publication."""
+    if current_version(spark, root) != version:
+        raise ValueError(f"version {version} is stale")
+    if not verified(spark, root, version):
+        raise ValueError(f"version {version} was changed")
+    return spark.read.parquet(f"{root}/versions/{version}")

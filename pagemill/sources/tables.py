@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (all threads on one
+    machine, as in tests) takes a folder of its own; on a cluster that is refused with ValueError, since executors would write to different disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context_dir = spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
+        if not context_dir and not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that all executors share")
         folder = context_dir or "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 
 def ingest(spark: SparkSession, source: str, schema, key: str, target: str, checkpoint: str, per_batch: int = 16) -> None:
-    """Take what is new in ``source`` (parquet parts), drop rows whose key was seen, append the rest; returns when all is taken.
+    """Take what is new in ``source`` (parquet parts), drop rows whose key is in the target already, append the rest; returns when all is taken.
 
-    The checkpoint holds what was taken and the keys seen, so a restart goes on where it stopped; batch files are written
-    under the batch's number, so a batch that is run again after a failure replaces itself.
+    The checkpoint holds what was taken, so a restart goes on where it stopped. Keys seen are not kept as state: each batch is
+    joined against those of the target's other batches, which are all that is read of it. Batch files are written
+    under the batch's number, so a batch that is run again after a failure replaces itself. Rows with a null key are kept, all of them.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(source).dropDuplicates([key])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        known = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if number:
+            seen = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch int").parquet(target).where(F.col("batch") < number).select(key)
+            known = known.join(seen, key, "left_anti")
+        fresh = known.unionByName(batch.where(F.col(key).isNull())).select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

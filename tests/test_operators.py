@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import random
+import shutil
 import zipfile
 
 import pytest
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.functions import tokens as tk
 from pagemill.operators import blocks as bl
-from pagemill.operators import catalog, chunking, coverage, geometry, graph
+from pagemill.operators import catalog, chunking, coverage, geometry, graph, retrieval
 from pagemill.operators import tables as tb
 from pagemill.sources import files, sinks
 
@@ -63,9 +65,9 @@ def test_grid_spans():
 def test_records_and_markdown(spark):
     html = "<table><tr><td>Form</td><td>Days</td></tr><tr><td>A|1</td><td>3</td></tr><tr><td></td><td>4</td></tr></table>"
     cells = tb.html_cells(spark.createDataFrame([(1, html), (2, None), (3, "")], "id int, html string"), ["id"], "html")
-    assert [r["record"] for r in tb.to_records(cells, ["id"], "row").orderBy("row").collect()] == ["Form: A|1; Days: 3", "Days: 4"]
+    assert [r["record"] for r in tb.to_records(cells, ["id"], "row").orderBy("row").collect()] == ["Form: A|1; Days: 3", "Form: A|1; Days: 4"]
     assert tb.to_markdown(cells, ["id"], "row").first()["markdown"] == "| Form | Days |\n| A\\|1 | 3 |\n|  | 4 |"
-    assert [r["filled"] for r in tb.forward_fill(cells, ["id"], "row").orderBy("row").collect()] == ["Form", "A|1", "A|1"]
+    assert [r["filled"] for r in tb.forward_fill(cells, ["id"], "row").where("column = 0").orderBy("row").collect()] == ["Form", "A|1", "A|1"]
     named = tb.number_repeats(spark.createDataFrame([(1, 0, "x"), (1, 1, "x"), (1, 2, "y")], "t int, k int, name string"), ["t"], "k", "name")
     assert [r["numbered"] for r in named.orderBy("k").collect()] == ["x", "x(2)", "y"]
 
@@ -78,15 +80,50 @@ def test_heading_paths(spark):
 
 def test_chunks_cover_and_stay_within(spark):
     text = "# A\n" + "\n".join(f"line {i} of the first part, which is long enough to count." for i in range(60)) + "\n## B\n\n# C\nshort\n" + "表" * 900
-    lines = bl.blocks(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc int, text string"), ["doc"], "text")
-    rows = chunking.chunk_documents(lines, "doc", 200, 40).orderBy("chunk_id").collect()
+    rows = chunking.chunk_documents(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, " \n ")], "doc int, text string"), "doc", "text", 200, 40).orderBy("chunk_id").collect()
     assert rows and all(r["tokens"] <= 200 and chunking.tokens(r["content"]) == r["tokens"] for r in rows)
     assert all(any(x.strip() in r["content"] for r in rows) for x in text.split("\n")[:65] if x.strip())
     assert "".join(r["content"] for r in rows).count("表") >= 900 and {r["doc"] for r in rows} == {1}
+    assert "Exchange" not in chunking.chunk_documents(spark.createDataFrame([(1, text)], "doc int, text string"), "doc", "text")._jdf.queryExecution().toString()
+
+
+def test_bare_heading_takes_its_follower_whatever_the_size():
+    body = "word " * 500
+    rows = chunking.chunks_of(f"# A\n## B\n{body}\nlast line", 100, 10)
+    assert rows[0][6].startswith("# A\n\n## B") and all(r[4] == ["A", "B"] for r in rows)
+    # a heading at the end goes back to what stands before it
+    assert chunking.chunks_of("# A\ntext\n# B")[0][6] == "# A\n\ntext\n\n# B"
+    # both small, but only as they were: merged sections don't grow past the limit
+    small = "\n".join(f"# H{i}\n" + "word " * 60 for i in range(6))
+    assert [r[6].count("# H") for r in chunking.chunks_of(small, 180, 10)] == [2, 2, 2]
+
+
+def test_parts_end_at_breaks_and_name_their_parent():
+    rows = chunking.chunks_of("regulation " * 300, 50, 10)
+    assert all(r[6].endswith("regulation ") or r[6].endswith("regulation") for r in rows)
+    assert [r[0] for r in rows] == [f"c000000_part{i}" for i in range(1, len(rows) + 1)] and {(r[1], r[3]) for r in rows} == {("c000000", len(rows))}
+    parts = list(chunking.bound("申請。" * 100, 20))
+    assert all(p.endswith("。") for p in parts) and chunking.tokens(parts[0]) <= 20
+
+
+def test_continued_chunks_repeat_the_path():
+    rows = chunking.chunks_of("# A\n" + "\n".join("word " * 20 for _ in range(20)), 100, 30)
+    assert len(rows) > 2 and all(r[6].startswith("A（續）\n\n") for r in rows[1:] if r[2] in (None, 1))
+
+
+def test_placed_blocks(spark):
+    text = "# H\none\none\n|a|b|\n|c|\n\nafter\n## I\none"
+    rows = bl.placed_blocks(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "x\nx")], "id int, text string"), ["id"], "text").orderBy("id", "reading_order").collect()
+    one_ = [r for r in rows if r["id"] == 1]
+    assert [r["section_id"] for r in one_] == [1] * 7 + [2] * 2 and [r["seen"] for r in one_ if r["line"] == "one"] == [0, 1, 2]
+    assert all(text[r["range_start"] : r["range_end"]] == r["line"] for r in one_)
+    assert [r["table_no"] for r in one_] == [0, 0, 0, 1, 1, 1, 1, 1, 1] and [r["text_no"] for r in one_ if r["table_no"] and r["text"]] == [1, 2, 3]
+    assert [r["above"] for r in one_ if r["begins"]] == ["one"]
+    assert [(r["id"], r["line"], r["seen"], r["above"]) for r in rows if r["id"] > 1] == [(3, "", 0, None), (4, "x", 0, None), (4, "x", 1, "x")]
 
 
 def test_coverage(spark):
-    df = spark.createDataFrame([("", "x", True), ("Pay 12 by Friday", "pay 12 by friday noon", True), ("Pay 13", "pay 12", False), ("short", "other", False), (None, "x", None)], "s string, d string, want boolean")
+    df = spark.createDataFrame([("", "x", True), ("Pay 12 by Friday", "pay 12 by friday noon", True), ("Pay 13", "pay 12", False), ("short", "other", False), (None, "x", None), ("<b>Pay</b> -1,200", "we pay -1200 now", True), ("Pay -12 by Friday", "pay 12 by friday", False), ("the same words again the same words ag ain zz", "the same words again", False)], "s string, d string, want boolean")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", coverage.covers("s", "d")).collect())
 
 
@@ -106,6 +143,14 @@ def test_geometry(spark):
     assert {(r["first"], r["second"]) for r in geometry.overlapping(df, ["page"], "at").collect()} == {(0, 1), (2, 3)}
     lines = spark.createDataFrame([("p", 0, 0, 100, 10, "one"), ("p", 0, 12, 90, 22, "two"), ("p", 0, 90, 90, 100, "three")], "page string, x0 int, y0 int, x1 int, y1 int, text string")
     assert [r["text"] for r in geometry.merge_lines(lines, ["page"]).orderBy("y0").collect()] == ["one two", "three"]
+    rng = random.Random(1)
+    boxes = [(x, y, x + rng.randint(1, 60), y + rng.randint(1, 40)) for x, y in ((rng.randint(0, 30), rng.randint(0, 30)) for _ in range(150))]
+    for least in (0.5, 0.7, 0.9):
+        share = lambda a, b: (lambda both: both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both))(max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1])))
+        want = {(i, j) for i in range(150) for j in range(i + 1, 150) if share(boxes[i], boxes[j]) > least}
+        some = spark.createDataFrame([("p", i, *b) for i, b in enumerate(boxes)], "page string, at int, x0 int, y0 int, x1 int, y1 int")
+        got = [(r["first"], r["second"]) for r in geometry.overlapping(some, ["page"], "at", least).collect()]
+        assert sorted(got) == sorted(want) and (want or least > 0.8)
     columns = spark.createDataFrame([("p", 50, 400), ("p", 600, 950), ("p", 60, 420)], "page string, x0 int, x1 int")
     assert abs(geometry.gutters(columns, ["page"]).first()["gutter"] - 510) <= 10
 
@@ -120,31 +165,71 @@ def test_graph(spark):
     assert {r["id"] for r in graph.closed_subset(items, needs).collect()} == {3, 4}
 
 
+def test_parent_score(spark):
+    """Scores worked out by hand on a page of 800 by 400."""
+    nodes = spark.createDataFrame([("p", 1, 300, 0, 500, 50, 0), ("p", 2, 0, 100, 100, 150, 1), ("p", 3, 320, 100, 480, 150, 1), ("p", 4, 600, 350, 800, 400, 2)], "chart string, id int, x0 int, y0 int, x1 int, y1 int, level int")
+    got = {(r["child"], r["parent"]): (r["score"], r["place"]) for r in graph.parents(nodes, ["chart"]).collect()}
+    assert got[3, 1] == (round(0.4 + 0.3 * (1 - 100 / 400) + 0.3, 6), 1)
+    assert got[2, 1] == (round(0.3 * 0.75 + 0.3 * (1 - min(1, 350 / 240)), 6), 1)
+    assert got[4, 1][0] == round((0.3 * (1 - 350 / 400) + 0.0) / 2, 6) and got[4, 2][1] == 1 and got[4, 3] == (0.1125, 2) and len(got) == 5
+
+
+def test_retrieval(spark):
+    q = spark.createDataFrame([(1, "Where is form_12 a?", "x"), (2, "流程圖 說明", "x"), (3, None, "x")], "id int, query string, k string")
+    assert [r["t"] for r in q.select(retrieval.query_terms("query").alias("t")).collect()] == [sorted(["where", "is", "form_12", "a", "a?"]), sorted(["流程圖", "說明", "flowchart", "chart", "diagram"]), None]
+    c = spark.createDataFrame([(10, "chunk", "the FORM_12 is here", "x"), (11, "table", "form_12 is", "x"), (12, "chunk", "a flowchart", "x"), (13, "chunk", None, "x"), (14, "chunk", "zzz", "x")], "cid int, kind string, text string, extra string")
+    got = {(r["id"], r["place"]): (r["cid"], r["score"]) for r in retrieval.top_k(q, c, "query", "text", "id", "cid", 2).collect()}
+    assert got == {(1, 1): (10, 2), (1, 2): (11, 2), (2, 1): (12, 2)} or got[1, 1] == (11, 2)
+    assert retrieval.automaton(["ab", "b"])("xab") == {"ab", "b"} and retrieval.automaton([])("x") == set()
+
+
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
 def _xlsx() -> bytes:
-    out, ns = io.BytesIO(), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S1"/></sheets></workbook>')
-        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Form</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>3.0</v></c></row><row><c r="A2"/></row><row><c r="B3" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Second file" r:id="a"/><sheet name="First file" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="b" Target="worksheets/sheet1.xml"/><Relationship Id="a" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {_MAIN}><si><t>Form</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {_MAIN}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>3.0</v></c></row><row r="2"><c r="A2"/></row><row r="3"><c r="B3" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {_MAIN}><sheetData><row r="1"><c r="A1" t="str"><v>m &amp; n</v></c><c r="B1" t="str"><v>covered</v></c></row></sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>')
     return out.getvalue()
 
 
 def _docx() -> bytes:
     out, ns = io.BytesIO(), 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    p = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>T</w:t></w:r></w:p><w:p><w:r><w:t>kept</w:t></w:r><w:del><w:r><w:t>gone</w:t></w:r></w:del><w:ins><w:r><w:t> new</w:t></w:r></w:ins></w:p>'
-    t = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>"
+    run = lambda t: f"<w:r><w:t>{t}</w:t></w:r>"
+    item = lambda t, n, k: f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{k}"/><w:numId w:val="{n}"/></w:numPr></w:pPr>{run(t)}</w:p>'
+    p = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr>{run("T")}</w:p><w:p>{run("kept")}<w:del>{run("gone")}</w:del><w:ins>{run(" new")}</w:ins><w:r><w:footnoteReference w:id="2"/></w:r></w:p>'
+    lists = item("one", 1, 0) + item("sub", 1, 1) + item("two", 1, 0) + item("sub", 1, 1) + item("other", 2, 0)
+    cell = lambda t, extra="": f"<w:tc><w:tcPr>{extra}</w:tcPr><w:p>{run(t)}</w:p></w:tc>"
+    nested = f"<w:tc><w:p/><w:tbl><w:tr>{cell('n1')}{cell('n2')}</w:tr><w:tr>{cell('n3')}</w:tr></w:tbl></w:tc>"
+    wide, top, rest = '<w:gridSpan w:val="2"/>', '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    t = f"<w:tbl><w:tr>{cell('a', top)}{cell('b', wide)}</w:tr><w:tr>{cell('', rest)}{cell('c &lt;')}{nested}</w:tr></w:tbl>"
+    level = lambda k, kind, text: f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="{text}"/></w:lvl>'
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{p}{t}</w:body></w:document>")
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{p}{lists}{t}</w:body></w:document>")
+        z.writestr("word/numbering.xml", f'<w:numbering {ns}><w:abstractNum w:abstractNumId="7">{level(0, "decimal", "%1.")}{level(1, "lowerRoman", "%1.%2)")}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="7"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="5"/></w:lvlOverride></w:num></w:numbering>')
+        z.writestr("word/footnotes.xml", f'<w:footnotes {ns}><w:footnote w:type="separator" w:id="0"><w:p/></w:footnote><w:footnote w:id="2"><w:p>{run("a note")}</w:p></w:footnote></w:footnotes>')
     return out.getvalue()
 
 
 def test_file_sources(spark, tmp_path):
-    for name, data in (("a.xlsx", _xlsx()), ("b.docx", _docx()), ("c.html", b"<title>T</title><main><p>" + b"word " * 40 + b"</p></main>"), ("d.exe", b"x"), ("e.docx", b"broken")):
+    for name, data in (("a.xlsx", _xlsx()), ("b.docx", _docx()), ("c.html", b"<title>T</title><main><p>" + b"word " * 40 + b"</p></main>"), ("d.exe", b"x"), ("e.docx", b"broken"), ("f.md", "# Kopf\n\nText".encode()), ("g.pdf", b"%PDF")):
         (tmp_path / name).write_bytes(data)
     found = files.read_files(spark, str(tmp_path))
-    assert {r["ext"] for r in found.select("ext").collect()} == {"xlsx", "docx", "html"}
-    assert [r["cells"] for r in files.read_sheets(found).orderBy("row").collect()] == [["Form", "", "3"], ["", "x", ""]]
-    assert [(r["type"], r["text_level"], r["text"]) for r in files.read_word(found).orderBy("reading_order").collect()] == [("text", 1, "T"), ("text", 0, "kept new"), ("table", 0, "| a |  |")]
+    assert {r["ext"] for r in found.select("ext").collect()} == {"xlsx", "docx", "html", "md", "pdf"}
+    assert [(r["sheet"], r["cells"]) for r in files.read_sheets(found).orderBy("page_idx", "row").collect()] == [("Second file", ["m & n"]), ("First file", ["Form", "", "3"]), ("First file", ["", "x", ""])]
+    items = [(r["type"], r["text_level"], r["text"]) for r in files.read_sheet_items(found).orderBy("reading_order").collect()]
+    assert items == [("text", 1, "Second file"), ("table", 0, "<table><tr><th>m &amp; n</th></tr></table>"), ("text", 1, "First file"), ("table", 0, "<table><tr><th>Form</th><th></th><th>3</th></tr><tr><td></td><td>x</td><td></td></tr></table>")]
+    word = files.read_word(found).orderBy("reading_order").collect()
+    assert [r["error"] is not None for r in word if r["type"] is None] == [True]
+    good = [(r["type"], r["text_level"], r["text"]) for r in word if r["type"]]
+    assert good[:7] == [("text", 1, "T"), ("text", 0, "kept new[^2]"), ("text", 0, "1. one"), ("text", 0, "1.i) sub"), ("text", 0, "2. two"), ("text", 0, "2.i) sub"), ("text", 0, "5. other")]
+    assert good[7] == ("table", 0, '<table><tr><td rowspan="2">a</td><td colspan="2">b</td></tr><tr><td>c &lt;</td><td>n1 n2\nn3</td></tr></table>') and good[8] == ("note", 0, "a note")
+    assert {r["reader"]: r["n"] for r in files.routed(found).groupBy("reader").agg(F.count("*").alias("n")).collect()} == {"sheet": 1, "word": 2, "html": 1, "text": 1, "external": 1}
+    assert {(r["reader"], r["text"]) for r in files.read_items(found).where("reader = 'text'").collect()} == {("text", "Kopf"), ("text", "Text")}
     assert files.read_html(found).first()["title"] == "T"
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
     rows = files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()
@@ -154,6 +239,12 @@ def test_file_sources(spark, tmp_path):
     assert [(r["block_type"], r["heading_level"], r["block_text"]) for r in got] == [("text", 1, "H"), ("image", None, None), ("text", None, "a\nb")]
 
 
+def test_entities_and_links(spark):
+    assert one(spark, "a &#174; &#xAE; &reg; &trade; &amp;amp; x&nbsp;y & z", tx.decode_entities) == "a ® ® ® ™ &amp; x y & z"
+    assert one(spark, "see https://a.example/ b/ c/ d/ e and f", tx.rejoin_urls) == "see https://a.example/b/c/d/e and f"
+    assert one(spark, "a<!-- x -->&lt;b", tx.plain_text) == "a <b"
+
+
 def test_publish(spark, tmp_path):
     root = str(tmp_path / "t")
     a = spark.createDataFrame([(1, "a", 1)], "k int, v string, t int")
@@ -161,11 +252,23 @@ def test_publish(spark, tmp_path):
     b = spark.createDataFrame([(1, "b", 2), (2, "c", 1)], "k int, v string, t int")
     assert {r["v"] for r in sinks.upsert_table(b, root, ["k"], "t", "v2").collect()} == {"b", "c"}
     assert sinks.verified(spark, root, "v1") and sinks.verified(spark, root, "v2")
+    assert sinks.current_version(spark, root) == "v2" and sinks.current_version(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError, match="exists"):
+        sinks.publish(a, root, "v2")
+    with pytest.raises(ValueError, match="stale"):
+        sinks.checked_artifact(spark, root, "v1")
+    # a version that can't be read raises, and the table stays as it is
+    shutil.move(f"{root}/versions/v2", f"{root}/hidden")
+    with pytest.raises(Exception, match="v2"):
+        sinks.upsert_table(a, root, ["k"], "t", "v3")
+    shutil.move(f"{root}/hidden", f"{root}/versions/v2")
+    assert {r["v"] for r in sinks.current(spark, root).collect()} == {"b", "c"}
+    assert sinks.checked_artifact(spark, root, "v2").count() == 2
 
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc int, text string")
     lines = bl.blocks(empty, ["doc"], "text")
-    assert chunking.chunk_documents(lines, "doc").count() == 0
+    assert chunking.chunk_documents(empty, "doc", "text").count() == 0 and bl.placed_blocks(empty, ["doc"], "text").count() == 0
     assert bl.repeated_lines(lines, "doc", 2).count() == 0
     assert empty.select(F.sum(tk.token_estimate("text"))).first()[0] is None
