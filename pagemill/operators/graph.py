@@ -64,8 +64,8 @@ def siblings(edges: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
     return placed.withColumn("right", F.lead("child").over(w)).where("right is not null").select(*key, F.col("child").alias("left"), "right")
 
 
-def paths(edges: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
-    """(key, id, depth, path, cyclic): names from the root to every node by walking (child, parent) edges; a walk that meets a node again is cyclic and ends.
+def paths(edges: DataFrame, names: DataFrame, key: list[str], nodes: bool = False) -> DataFrame:
+    """(key, id, depth, path, cyclic, and with ``nodes`` the nodes of the walk as ``seen``): names from the root to every node by walking (child, parent) edges; a walk that meets a node again is cyclic and ends.
 
     Each round joins all open walks with their next edge and cuts the lineage; it ends when no walk is open, which a cycle can't delay.
     """
@@ -82,7 +82,7 @@ def paths(edges: DataFrame, names: DataFrame, key: list[str]) -> DataFrame:
         )
         walk = cut(walk.where("not open").unionByName(moved), "org-paths")
         if walk.where("open").isEmpty():
-            return walk.select(*key, "id", (F.size("seen") - 1).alias("depth"), "path", "cyclic")
+            return walk.select(*key, "id", (F.size("seen") - 1).alias("depth"), "path", "cyclic", *(["seen"] if nodes else []))
 
 
 def closed_subset(items: DataFrame, needs: DataFrame) -> DataFrame:
@@ -96,3 +96,60 @@ def closed_subset(items: DataFrame, needs: DataFrame) -> DataFrame:
         if now == before:
             return left
         before = now
+
+
+def edges(nodes: DataFrame, key: list[str], sure: float = 0.7) -> DataFrame:
+    """(key, child, parent, score, needs_review): the best candidate of each node; below ``sure`` it has to be looked at."""
+    best = parents(nodes, key, 1)
+    return best.select(*key, "child", "parent", "score", (F.col("score") < sure).alias("needs_review"))
+
+
+def cycles(edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, members): each cycle of (child, parent) edges once, by its sorted members, where a node has one parent.
+
+    Nodes from which no edge goes on, or to which none leads, are in no cycle and drop out until none does; what is left are the
+    cycles, which walks around them tell apart.
+    """
+    left = cut(edges.select(*key, "child", "parent").distinct(), "org-cycles")
+    before = left.count()
+    while True:
+        goes_on = left.select(*key, F.col("child").alias("parent")).distinct()
+        led_to = left.select(*key, F.col("parent").alias("child")).distinct()
+        left = cut(left.join(goes_on, [*key, "parent"], "left_semi").join(led_to, [*key, "child"], "left_semi"), "org-cycles")
+        now = left.count()
+        if now == before:
+            break
+        before = now
+    walks = paths(left, left.select(*key, F.col("child").alias("id"), F.col("child").cast("string").alias("name")), key, True)
+    return walks.select(*key, F.array_sort("seen").alias("members")).distinct()
+
+
+def levels_by_edges(nodes: DataFrame, edges: DataFrame, key: list[str], unreached: int = 99) -> DataFrame:
+    """(key, id, level): breadth first from the nodes without a parent; one join for each level, until it reaches nothing new."""
+    own = edges.select(*key, F.col("parent").alias("id"), F.col("child").alias("_next")).distinct()
+    front = nodes.join(edges.select(*key, F.col("child").alias("id")), [*key, "id"], "left_anti").select(*key, "id").distinct().withColumn("level", F.lit(0))
+    reached = cut(front, "org-levels")
+    level = 0
+    while True:
+        level += 1
+        step = reached.where(F.col("level") == level - 1).join(own, [*key, "id"]).select(*key, F.col("_next").alias("id")).distinct()
+        fresh = step.join(reached, [*key, "id"], "left_anti").withColumn("level", F.lit(level))
+        more = cut(reached.unionByName(fresh), "org-levels")
+        if more.where(F.col("level") == level).isEmpty():
+            break
+        reached = more
+    return nodes.select(*key, "id").join(reached, [*key, "id"], "left").select(*key, "id", F.coalesce("level", F.lit(unreached)).alias("level"))
+
+
+def validation(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n_nodes, n_roots, n_edges, busiest, unknown): figures that tell a chart that was read badly: how many nodes hang under none, under the busiest one, and are of no category."""
+    has_parent = edges.select(*key, F.col("child").alias("id")).distinct().withColumn("_child", F.lit(1))
+    out = edges.groupBy(*key, "parent").agg(F.count("*").alias("_out")).groupBy(*key).agg(F.sum("_out").alias("n_edges"), F.max("_out").alias("_most"))
+    counted = nodes.join(has_parent, [*key, "id"], "left").groupBy(*key).agg(F.count("*").alias("n_nodes"), F.sum(F.col("_child").isNull().cast("bigint")).alias("n_roots"), F.sum(F.col("category").isNull().cast("bigint")).alias("_unknown"))
+    joined = counted.join(out, key, "left")
+    return joined.select(*key, "n_nodes", "n_roots", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.round(F.coalesce("_most", F.lit(0)) / F.col("n_nodes"), 4).alias("busiest"), F.round(F.col("_unknown") / F.col("n_nodes"), 4).alias("unknown"))
+
+
+def groups(nodes: DataFrame, key: list[str]) -> DataFrame:
+    """(key, category, members, confidence): the nodes of each category with the least confidence among them."""
+    return nodes.where("category is not null").groupBy(*key, "category").agg(F.array_sort(F.collect_list("id")).alias("members"), F.min("confidence").alias("confidence"))
