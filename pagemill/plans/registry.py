@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pagemill.plans import composite, layout, more
+from pagemill.plans import composite, grids, layout, more
 from pagemill.plans import queries as basic
 
 FLAGSHIP = "document_report"
 
 
 def queries() -> dict:
-    return basic.QUERIES | more.QUERIES | composite.QUERIES | layout.QUERIES
+    return basic.QUERIES | more.QUERIES | composite.QUERIES | layout.QUERIES | grids.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return basic.SQL | more.SQL | composite.SQL | layout.SQL
+    return basic.SQL | more.SQL | composite.SQL | layout.SQL | grids.SQL
