@@ -19,6 +19,12 @@ def grams(text: Column | str, n: int = 4) -> Column:
     return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def gram_ratio(source: Column | str, delivered: Column | str) -> Column:
+    """Share of the source's n-grams, repeated ones counted each time, that the delivered text holds; 0 without any."""
+    own, there = grams(source), F.array_distinct(grams(delivered))
+    return F.size(F.filter(own, lambda g: F.array_contains(there, g))) / F.greatest(F.size(own), F.lit(1))
+
+
 _TAG = re.compile(r"<!--.*?-->|<[^>]*>", re.S)
 _NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?")
 _OTHER = re.compile(r"[\W]+")
