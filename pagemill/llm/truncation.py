@@ -83,19 +83,6 @@ def line_kind(line: str) -> int:
     return _ENTRY if _LIST.match(line) else _TEXT
 
 
-def _keys(points: np.ndarray, salt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each context length, the key of the context that ends at each position (of the positions that have one)."""
-    p = points.astype(np.uint64) + np.uint64(1)
-    h, power = np.zeros(p.size, dtype=np.uint64), np.uint64(1)
-    with np.errstate(over="ignore"):
-        for length in range(1, min(LONGEST, p.size) + 1):
-            h = h[1:] if length > 1 else h
-            # the character furthest from the end carries the highest power
-            h = h + p[: p.size - length + 1] * power
-            power = power * _BASE
-            yield length, _mixed(h, salt[length - 1 :], length)
-
-
 def _end_of(text: str) -> tuple[str, int, bool] | None:
     """(text before the stop, kind of the last line, whether a mark was taken off); null for a text without characters."""
     text = text.rstrip()
@@ -301,10 +288,22 @@ def _count_inside(values: DataFrame, contexts: Contexts) -> tuple[np.ndarray, np
                 inside &= ~(dotted & listed)
                 met: list[np.ndarray] = []
                 shut: list[np.ndarray] = []
-                for length, keys in _keys(flat, salt):
-                    place = known.find(keys)
-                    met.append(place[inside[length - 1 :] & (place >= 0)])
-                    shut.append(place[stops[length - 1 :] & (place >= 0)])
+                p = flat.astype(np.uint64) + np.uint64(1)
+                at = np.flatnonzero(inside | stops)
+                h, power = np.zeros(at.size, dtype=np.uint64), np.uint64(1)
+                with np.errstate(over="ignore"):
+                    for length in range(1, LONGEST + 1):
+                        reach = at >= length - 1
+                        at = at[reach]
+                        # the character furthest from the end carries the highest power
+                        h = h[reach] + p[at - length + 1] * power
+                        power = power * _BASE
+                        place = known.find(_mixed(h, salt[at], length))
+                        # where a context is none of an end, neither is a longer one
+                        hit = place >= 0
+                        at, h, place = at[hit], h[hit], place[hit]
+                        met.append(place[inside[at]])
+                        shut.append(place[stops[at]])
                 total += np.bincount(np.concatenate(met), minlength=known.size)
                 closed += np.bincount(np.concatenate(shut), minlength=known.size)
         at = np.flatnonzero(total | closed)
