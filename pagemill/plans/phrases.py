@@ -65,9 +65,9 @@ _worked("adjudicated_lines", "id int, text string, delivered string, reads array
 _worked("distinct_notes", "id int, text array<string>, made array<string>", [
     (1, ["註：以上，金額為新台幣。", "以上金額為新台幣", None, " "], ["註：以上，金額為新台幣。"]), (2, ["1. short", "1. short and longer", "2. other"], ["1. short and longer", "2. other"]), (3, ["the fee is paid once", "see: the fee is paid once a year", "x"], ["see: the fee is paid once a year", "x"]), (4, [], []),
 ], li.distinct_notes, _TEXTS)
-_LONG = "The office keeps every form until the end of the month in which it was handed in and signed.", "After that the reader returns it to the department, which notes the reason and the day in its log."
+_LONG = "The office keeps every form until the end of the month in which it was handed in and signed, and two copies of it for a year.", "After that the reader returns it to the department, which notes the reason and the day in its log and sends a letter to all."
 _worked("missing_parts_of_passages", "id int, text string, delivered array<string>, made string", [
-    (1, "one line of text here\nanother line of text", ["one line of text here"], "one line of text here\nanother line of text"), (4, _LONG[0] + "\n" + _LONG[1], [_LONG[0]], _LONG[1]), (2, "all of it is there", ["yes all of it is there"], ""), (3, "none of it is", None, "none of it is"),
+    (1, "one line of text here\nanother line of text", ["one line of text here"], "one line of text here\nanother line of text"), (4, _LONG[0] + "\n" + _LONG[1], [_LONG[0]], _LONG[1]), (5, _LONG[0], [_LONG[0]], ""), (2, "all of it is there", ["yes all of it is there"], ""), (3, "none of it is", None, "none of it is"),
 ], li.evidence_lost, T.StringType(), ("text", "delivered"))
 
 SECTIONS = Literal("id int, text string", [(1, "# A\n" + "x" * 250 + "\n## B\nshort\n### C\nmore\n# D\ny"), (2, "p" * 1500 + "\n\n" + "q" * 1500), (3, "")])
