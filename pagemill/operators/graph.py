@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,3 +155,70 @@ def validation(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
 def groups(nodes: DataFrame, key: list[str]) -> DataFrame:
     """(key, category, members, confidence): the nodes of each category with the least confidence among them."""
     return nodes.where("category is not null").groupBy(*key, "category").agg(F.array_sort(F.collect_list("id")).alias("members"), F.min("confidence").alias("confidence"))
+
+
+# What a unit is by its name, the first that occurs; below the last column's threshold it is unknown.
+CATEGORIES = (
+    ("董事會|監察人|監事會|理事會", "governance", 0.95), ("委員會|小組會議|諮詢", "committee", 0.9), ("院長|董事長|執行長|總經理|副院長|主任秘書", "management", 0.9), ("研究.*所|研究所", "department", 0.85),
+    ("辦公室$", "taskforce", 0.75), ("中心$", "taskforce", 0.75), ("處$|部$", "department", 0.75), ("資料庫$|資訊庫$", "department", 0.7), ("室$", "department", 0.6),
+)
+# What joins two units by what they are.
+RELATIONS = {
+    ("governance", "governance"): "oversight", ("governance", "management"): "oversight", ("management", "governance"): "reports_to", ("management", "management"): "reports_to", ("management", "department"): "reports_to", ("management", "taskforce"): "reports_to",
+    ("committee", "management"): "advisory", ("committee", "governance"): "advisory", ("department", "management"): "reports_to", ("department", "department"): "sibling", ("taskforce", "management"): "reports_to", ("taskforce", "department"): "contains", ("taskforce", "taskforce"): "sibling",
+}
+
+
+def category(label: Column, sure: float = 0.7) -> Column:
+    """(hint, category, confidence) of a unit's name; unknown below ``sure``."""
+    x = F.trim(label)
+    hint, confidence = F.lit("unknown"), F.lit(0.3)
+    for pattern, name, value in reversed(CATEGORIES):
+        hint, confidence = F.when(x.rlike(pattern), name).otherwise(hint), F.when(x.rlike(pattern), value).otherwise(confidence)
+    return F.struct(hint.alias("hint"), F.when(confidence >= sure, hint).otherwise("unknown").alias("category"), confidence.alias("confidence"))
+
+
+def relation(of: Column, to: Column) -> Column:
+    """What joins a unit to another by their categories; unknown for pairs that aren't listed."""
+    known = F.create_map(*(F.lit(x) for (a, b), name in RELATIONS.items() for x in (f"{a}>{b}", name)))
+    return F.coalesce(F.element_at(known, F.concat(of, F.lit(">"), to)), F.lit("unknown"))
+
+
+def is_noise(text: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Numbers, texts of one character, and short texts in a corner of the page (coordinates to 1 or to 1000)."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    scale = F.when(F.greatest(x0, y0, x1, y1) <= 1, 1.0).otherwise(1000.0)
+    corner = ((y0 < scale * 0.05) | (y1 > scale * 0.95)) & ((x0 < scale * 0.1) | (x1 > scale * 0.9))
+    return (F.length(t) < 2) | F.regexp_replace(t, "[-.]", "").rlike("^[0-9]+$") | (F.length(t) <= 5) & F.coalesce(corner, F.lit(False))
+
+
+def indent_edges(text: str) -> list[tuple[str, str, str]]:
+    """(child, parent, relation) of an indented list: the nearest entry above with less indent; a bracket that names a relation gives that one, and headings begin anew."""
+    out, stack = [], []
+    for line in text.split("\n"):
+        bare = line.strip()
+        if bare.startswith("#"):
+            stack = []
+        if not bare.startswith(("- ", "* ")):
+            continue
+        item = bare[2:].replace("**", "").strip()
+        label = re.split("[（(]", item)[0].strip()
+        if named := re.search(r"[（(](監督|諮詢|隸屬)[：:]\s*([^）)]+)[）)]", item):
+            out.append((label, named[2].strip(), {"監督": "oversight", "諮詢": "advisory", "隸屬": "reports_to"}[named[1]]))
+            continue
+        if len(label) < 2:
+            continue
+        indent = len(line) - len(line.lstrip())
+        while stack and stack[-1][0] >= indent:
+            stack.pop()
+        if stack:
+            out.append((label, stack[-1][1], "reports_to"))
+        stack.append((indent, label))
+    return out
+
+
+def markdown(paths: DataFrame, key: list[str]) -> DataFrame:
+    """(key, markdown): the tree as an indented list, from the paths of its nodes (``path``, ``depth``)."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.lit("- "), F.element_at(F.split("path", " > "), -1))
+    item = F.struct(F.split("path", " > ").alias("p"), line.alias("l"))
+    return paths.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["l"]), "\n").alias("markdown"))

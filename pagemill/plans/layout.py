@@ -270,3 +270,54 @@ def chart_validation(spark, root):
 @query(f"""with {NODES.cte("n")} select chart, category, list(id order by id) as members, min(confidence) as confidence from n where category is not null group by 1, 2""")
 def chart_groups(spark, root):
     return graph.groups(NODES.df(spark), ["chart"])
+
+
+UNITS = Literal("id int, label string, x0 double, y0 double, x1 double, y1 double, parent string", [
+    (1, "董事會", 300, 10, 500, 60, "董事長"), (2, "董事長", 300, 100, 500, 150, "監察人"), (3, "人事評議委員會", 0, 100, 100, 150, "院長"), (4, "第一研究所", 0, 300, 100, 350, "院長"), (5, "資訊中心", 200, 300, 300, 350, "第一研究所"), (6, "稽核室", 300, 300, 400, 350, "院長"), (7, "3-1", 400, 500, 420, 520, None), (8, "頁碼", 950, 970, 990, 990, None), (9, "A", 500, 500, 520, 520, None), (10, "頁碼", 0.95, 0.97, 0.99, 0.99, None), (11, "訪客", 400, 500, 500, 520, None),
+])
+
+
+@query("""select id, hint, category, c::double as confidence, relation, noise from (values (1, 'governance', 'governance', 0.95, 'oversight', false), (2, 'management', 'management', 0.9, 'reports_to', false), (3, 'committee', 'committee', 0.9, 'advisory', false), (4, 'department', 'department', 0.85, 'reports_to', false), (5, 'taskforce', 'taskforce', 0.75, 'contains', false), (6, 'department', 'unknown', 0.6, 'unknown', false),
+(7, 'unknown', 'unknown', 0.3, null, true), (8, 'unknown', 'unknown', 0.3, null, true), (9, 'unknown', 'unknown', 0.3, null, true), (10, 'unknown', 'unknown', 0.3, null, true), (11, 'unknown', 'unknown', 0.3, null, false)) as t(id, hint, category, c, relation, noise)""")
+def chart_units(spark, root):
+    """Categories of units by their names, the relation to their parents, and noise."""
+    u = UNITS.df(spark).select("id", graph.category(F.col("label")).alias("c"), graph.category(F.col("parent")).alias("p"), "parent", graph.is_noise(F.col("label"), *(F.col(k) for k in ("x0", "y0", "x1", "y1"))).alias("noise"))
+    return u.select("id", "c.hint", "c.category", "c.confidence", F.when(F.col("parent").isNotNull(), graph.relation(F.col("c.category"), F.col("p.category"))).alias("relation"), "noise")
+
+
+INDENTED = Literal("id int, text string", [(1, "# Units\n- **Board**\n    - Director（隸屬：Board）\n    - Finance (two desks)\n        - Cash\n    - Stores\n# Staff\n- Pool\ntext\n  * Night shift\n- x"), (2, ""), (3, "- 監察人（監督：董事會）")])
+
+
+@query("select * from (values (1, 'Director', 'Board', 'reports_to'), (1, 'Finance', 'Board', 'reports_to'), (1, 'Cash', 'Finance', 'reports_to'), (1, 'Stores', 'Board', 'reports_to'), (1, 'Night shift', 'Pool', 'reports_to'), (3, '監察人', '董事會', 'oversight')) as t(id, child, parent, relation)")
+def indented_edges(spark, root):
+    """Edges of charts that are written as lists."""
+    from pyspark.sql import types as T
+
+    from pagemill.functions.lines import mapped
+
+    split = mapped(lambda x: ["\x01".join(e) for e in graph.indent_edges(x)], T.ArrayType(T.StringType()))
+    e = INDENTED.df(spark).select("id", F.explode(split("text")).alias("e")).select("id", F.split("e", "\x01").alias("e"))
+    return e.select("id", *(F.col("e")[k].alias(n) for k, n in enumerate(("child", "parent", "relation"))))
+
+
+@query("select * from (values ('c', '- Audit' || chr(10) || '- Board' || chr(10) || '  - Finance' || chr(10) || '  - Operations' || chr(10) || '    - Fleet' || chr(10) || '      - Night shift' || chr(10) || '    - Stores'), ('d', '- Alone')) as t(chart, markdown)")
+def chart_markdown(spark, root):
+    """Charts as indented lists (of two pages: what hangs under no node of its own is a root)."""
+    nodes = CHART.df(spark)
+    alone = nodes.where("label = 'Audit'").select("chart", "id", F.col("label").alias("path"), F.lit(0).alias("depth"))
+    return graph.markdown(chart_paths(spark, root).join(alone.select("chart", "id"), ["chart", "id"], "left_anti").unionByName(alone), ["chart"])
+
+
+HEADINGS = Literal("doc string, heading string, head string, pages int", [("a", "至球戦略情勢", "全球戰略情勢", 3), ("a", "至球戦略情勢", "戰略季刊", 9), ("a", "年報", "年報", 4), ("b", "Guide to bagdes", "Guide to badges", 2), ("b", "Guide to bagdes", "Guide of the year", 5)])
+
+
+@query("select * from (values ('b', 'Guide to bagdes', 'Guide to badges')) as t(doc, heading, head)")
+def repaired_headings(spark, root):
+    """A heading takes the running head that agrees with it in six characters or more and three quarters of its own; of several the one on most pages."""
+    from pyspark.sql import types as T
+
+    from pagemill.functions.lines import matched, mapped
+
+    m = HEADINGS.df(spark).withColumn("n", mapped(matched, T.IntegerType())("heading", "head")).withColumn("share", F.col("n") / F.length("heading"))
+    good = m.where("n >= 6 and share >= 0.75 and heading <> head")
+    return good.groupBy("doc", "heading").agg(F.max_by("head", F.struct("pages", "share", F.length("head"))).alias("head"))

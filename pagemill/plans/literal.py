@@ -25,7 +25,8 @@ class Literal:
         self.fields = [tuple(f.strip().split(" ", 1)) for f in schema.split(", ")]
 
     def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+        real = [kind == "double" for _, kind in self.fields]
+        return spark.createDataFrame([tuple(float(x) if f and x is not None else x for x, f in zip(r, real)) for r in self.rows], self.schema)
 
     def cte(self, name: str) -> str:
         names = ", ".join(f"v{k}" for k in range(len(self.fields)))

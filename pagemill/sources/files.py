@@ -341,3 +341,32 @@ def read_html(files: DataFrame) -> DataFrame:
     html = files.where("ext in ('html', 'htm')").select("doc_id", F.decode("content", "UTF-8").alias("html"))
     main = plain_text(html_main("html"))
     return html.select("doc_id", html_title("html").alias("title"), F.when(F.length(main) > 100, main).otherwise(plain_text("html")).alias("text"), html_to_markdown("html").alias("markdown"))
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """(name, kind, term) of expectation manifests (one JSON object in each file): what must be in a delivery, what must not, the facts, and the limits ``min_chunk_count`` and ``max_chunk_tokens``."""
+    lists, limits = ("must_include", "must_not_include", "fact_tokens"), ("min_chunk_count", "max_chunk_tokens")
+    fields = ", ".join([*(f"{k} array<string>" for k in lists), *(f"{k} int" for k in limits)])
+    m = spark.read.schema(f"doc struct<name string, source_pdf string, notes string>, expectations struct<{fields}>").json(path, multiLine=True)
+    own = lambda k: F.col(f"expectations.{k}") if k in lists else F.array(F.col(f"expectations.{k}").cast("string"))
+    named = lambda k: lambda t: F.struct(F.lit(k).alias("kind"), t.alias("term"))
+    each = [F.transform(F.coalesce(own(k), F.array().cast("array<string>")), named(k)) for k in (*lists, *limits)]
+    return m.select(F.col("doc.name").alias("name"), F.explode(F.flatten(F.array(*each))).alias("x")).select("name", "x.kind", "x.term").where("term is not null")
+
+
+def read_layout_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """(file, page_idx, block_no, kind, text, bbox, width, height) of layout results in either schema: pages with ``preproc_blocks`` or ``para_blocks`` and a ``page_size``, or a list of pages with ``layout_dets`` and a ``page_info``."""
+    block = "struct<type:string,category:string,text:string,bbox:array<double>,poly:array<double>>"
+    page = f"struct<page_idx:int,page_size:array<double>,preproc_blocks:array<{block}>,para_blocks:array<{block}>,layout_dets:array<{block}>,page_info:struct<page_no:int,width:double,height:double>>"
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
+    pages = F.coalesce(F.from_json("value", f"struct<pdf_info:array<{page}>>")["pdf_info"], F.from_json("value", f"array<{page}>"))
+    each = files.select("file", F.posexplode(pages).alias("_k", "p"))
+    own = each.select("file", F.coalesce("p.page_idx", "p.page_info.page_no", "_k").alias("page_idx"), F.coalesce(F.col("p.page_size")[0], "p.page_info.width").alias("width"), F.coalesce(F.col("p.page_size")[1], "p.page_info.height").alias("height"), F.posexplode(F.coalesce("p.preproc_blocks", "p.para_blocks", "p.layout_dets")).alias("block_no", "b"))
+    return own.select("file", "page_idx", "block_no", F.coalesce("b.type", "b.category").alias("kind"), "b.text", F.coalesce("b.bbox", "b.poly").alias("bbox"), "width", "height")
+
+
+def list_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, run_id, file) of the run folders under ``docs/<doc>/runs/<run>``, in the order of documents and runs."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/docs").select("path")
+    m = lambda k: F.regexp_extract("path", "/docs/([^/]+)/runs/([^/]+)/(.+)$", k)
+    return files.select(m(1).alias("doc_id"), m(2).alias("run_id"), m(3).alias("file")).where("run_id <> ''").orderBy("doc_id", "run_id", "file")

@@ -95,3 +95,20 @@ def checked_artifact(spark: SparkSession, root: str, version: str) -> DataFrame:
     if not verified(spark, root, version):
         raise ValueError(f"version {version} was changed")
     return spark.read.parquet(f"{root}/versions/{version}")
+
+
+def write_exports(documents: DataFrame, folder: str) -> DataFrame:
+    """Markdown files, one folder for each document (``doc_id``; ``name`` and ``markdown`` in it), and an index (doc_id, name, sha256, n_chars) beside them; many documents go through one write, without a loop."""
+    index = documents.select("doc_id", "name", F.sha2("markdown", 256).alias("sha256"), F.length("markdown").alias("n_chars"))
+    documents.select("doc_id", "name", F.col("markdown").alias("value")).repartition("doc_id").write.partitionBy("doc_id", "name").option("lineSep", "\n").text(f"{folder}/documents")
+    index.write.parquet(f"{folder}/index")
+    return documents.sparkSession.read.parquet(f"{folder}/index")
+
+
+def write_bundle(frames: dict[str, DataFrame], root: str, version: str) -> dict[str, DataFrame]:
+    """Several tables of one version (plan, records, chunks, ...), each published with its manifest; they are current only when all are written, the last one named ``bundle`` lists the others."""
+    spark = next(iter(frames.values())).sparkSession
+    for name, df in frames.items():
+        publish(df, f"{root}/{name}", version)
+    publish(spark.createDataFrame([(name, version) for name in frames], "name string, version string"), f"{root}/bundle", version)
+    return {r["name"]: spark.read.parquet(f"{root}/{r['name']}/versions/{r['version']}") for r in current(spark, f"{root}/bundle").collect()}  # one row for each name given

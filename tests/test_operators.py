@@ -13,11 +13,13 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
+from pagemill import rules
 from pagemill.functions import tokens as tk
 from pagemill.operators import blocks as bl
 from pagemill.operators import catalog, chunking, coverage, geometry, graph, retrieval
 from pagemill.operators import tables as tb
 from pagemill.sources import files, sinks
+from pagemill.streaming import ingest, work
 
 
 def one(spark, value, f):
@@ -272,3 +274,80 @@ def test_empty_tables(spark):
     assert chunking.chunk_documents(empty, "doc", "text").count() == 0 and bl.placed_blocks(empty, ["doc"], "text").count() == 0
     assert bl.repeated_lines(lines, "doc", 2).count() == 0
     assert empty.select(F.sum(tk.token_estimate("text"))).first()[0] is None
+
+
+def test_queue_and_receipts(spark, tmp_path):
+    queue, root = tmp_path / "queue", f"file://{tmp_path}"
+    queue.mkdir()
+    for k in range(5):
+        (queue / f"{k}.json").write_text('{"doc_id": "d%d", "n": %d}\n' % (k, k))
+    double = lambda df: df.withColumn("n", F.col("n") * 2)
+    for _ in range(2):
+        work.drain(spark, str(queue), "doc_id string, n int", double, f"{root}/done", f"{root}/checkpoint")
+    (queue / "9.json").write_text('{"doc_id": "d9", "n": 9}\n')
+    work.drain(spark, str(queue), "doc_id string, n int", double, f"{root}/done", f"{root}/checkpoint")
+    assert sorted(r["n"] for r in spark.read.parquet(f"{root}/done").collect()) == [0, 2, 4, 6, 8, 18]
+
+    def inputs(texts):
+        return spark.createDataFrame(texts, "doc_id string, text string").withColumn("fingerprint", work.fingerprint(F.col("text"), F.lit("v1")))
+
+    stage = lambda texts, k: work.run_stage(inputs(texts), f"{root}/receipts", "chunk", k, lambda df: df, f"{root}/chunks")
+    assert [stage([("a", "x"), ("b", None)], 1), stage([("a", "x"), ("b", None)], 2), stage([("a", "y"), ("b", "")], 3), stage([("a", "x"), ("c", "z")], 4), stage([("a", "x")], 5)] == [2, 0, 2, 2, 0]
+    assert work.pending(inputs([("a", "x")]), work.receipts(spark, f"{root}/receipts"), "other").count() == 1
+
+
+def test_ingest_takes_a_key_once(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    add = lambda rows: spark.createDataFrame(rows, "k string, v int").coalesce(1).write.mode("append").parquet(f"{root}/source")
+    for rows in ([("a", 1), ("a", 1), (None, 2), (None, 3)], [("a", 4), ("b", 5)]):
+        add(rows)
+        ingest.ingest(spark, f"{root}/source", "k string, v int", "k", f"{root}/target", f"{root}/checkpoint")
+    assert sorted((r["k"] or "", r["v"]) for r in spark.read.parquet(f"{root}/target").collect()) == [("", 2), ("", 3), ("a", 1), ("b", 5)]
+
+
+def test_exports_and_bundles(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    docs = spark.createDataFrame([("d1", "main", "# A\nx"), ("d1", "child", "y"), ("d2", "main", "")], "doc_id string, name string, markdown string")
+    assert sinks.write_exports(docs, f"{root}/exports").count() == 3
+    assert {p.parent.name for p in tmp_path.glob("exports/documents/doc_id=d1/*/*.txt")} == {"name=main", "name=child"}
+    bundle = sinks.write_bundle({"plan": docs.limit(1), "records": docs}, f"{root}/b", "r1")
+    assert bundle["records"].count() == 3 and sinks.current_version(spark, f"{root}/b/bundle") == "r1"
+
+
+def test_manifests_layouts_and_runs(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"doc": {"name": "leave"}, "expectations": {"must_include": ["a", "b"], "fact_tokens": ["12"], "min_chunk_count": 3}}')
+    assert {(r["kind"], r["term"]) for r in files.read_golden(spark, str(tmp_path / "g.json")).collect()} == {("must_include", "a"), ("must_include", "b"), ("fact_tokens", "12"), ("min_chunk_count", "3")}
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "m.json").write_text('{"pdf_info": [{"page_idx": 2, "page_size": [600, 800], "preproc_blocks": [{"type": "text", "bbox": [1, 2, 3, 4]}]}]}')
+    (tmp_path / "l" / "n.json").write_text('[{"page_info": {"page_no": 1, "width": 100, "height": 50}, "layout_dets": [{"category": "table", "poly": [0, 0, 9, 0, 9, 9, 0, 9]}]}]')
+    got = {(r["file"], r["page_idx"], r["kind"], r["width"], len(r["bbox"])) for r in files.read_layout_evidence(spark, str(tmp_path / "l")).collect()}
+    assert got == {("m.json", 2, "text", 600.0, 4), ("n.json", 1, "table", 100.0, 8)}
+    for doc, run in (("d2", "r1"), ("d1", "r2"), ("d1", "r1")):
+        (tmp_path / "w" / "docs" / doc / "runs" / run).mkdir(parents=True)
+        (tmp_path / "w" / "docs" / doc / "runs" / run / "chunks.jsonl").write_text("{}")
+    assert [(r["doc_id"], r["run_id"]) for r in files.list_runs(spark, str(tmp_path / "w")).collect()] == [("d1", "r1"), ("d1", "r2"), ("d2", "r1")]
+
+
+def test_rules_and_profiles(tmp_path, monkeypatch):
+    default = {"markers": {"x": "one"}, "text_fixes": [{"pattern": "a(b)", "replacement": "\\1$", "flags": "IGNORECASE"}]}
+    assert rules.load(default).markers == {"x": ("one",)} and rules.load(default).text_fixes[0].to == "$1\\$" and rules.load(default).text_fixes[0].java == "(?i)a(b)"
+    (tmp_path / "r.json").write_text('{"keywords": {"k": ["v"]}}')
+    monkeypatch.setenv(rules.VARIABLE, str(tmp_path / "r.json"))
+    assert rules.load(default).keywords == {"k": ("v",)}
+    monkeypatch.setenv(rules.VARIABLE, str(tmp_path / "none.json"))
+    with pytest.warns(UserWarning, match="default"):
+        assert rules.load(default).markers
+    with pytest.raises(ValueError, match="flags"):
+        rules.RegexRule("a", flags=("odd",))
+    p = rules.Profile()
+    assert p.with_overrides({"package": {"chunk_max_tokens": 512}}).hash == p.hash != p.with_overrides({"chunk_max_tokens": 100}).hash
+    with pytest.raises(ValueError, match="unknown"):
+        p.with_overrides({"other": 1})
+
+
+def test_ledger_edges(spark):
+    empty = spark.createDataFrame([], "doc string, block string, text string")
+    one_ = spark.createDataFrame([("a", "b", None), ("a", "c", ""), (None, "d", "some text of a length"), ("a", "e", "some text of a length"), ("a", "e", "some text of a length")], "doc string, block string, text string")
+    assert coverage.ledger(empty, empty, "doc", "block", "text", "text").count() == 0
+    got = {(r["block"], r["covered"]) for r in coverage.ledger(one_, one_, "doc", "block", "text", "text").collect()}
+    assert ("e", True) in got and ("c", True) in got
