@@ -88,17 +88,26 @@ def ledger(sources: DataFrame, texts: DataFrame, key: str, block: str, passage:
     return out.select(key, block, covered.alias("covered"))
 
 
+#: Passages of a key that stand together in one row at most, on average.
+BLOCK = 256
+
+
 def survival(passages: DataFrame, texts: DataFrame, key: str, passage: str, text: str) -> DataFrame:
     """(key, n_checked, n_survived, survival): passages that some text of their key holds, white space aside.
 
-    The passages of a key travel to its texts as one array; each text answers for all of them in one row, which are
-    combined before the shuffle, so that a key with many texts stays spread.
+    The passages of a key travel to its texts in blocks of a bounded size, so that no key's are gathered in one row; a text
+    answers for a block in one row, and equal answers are combined before the shuffle. The join is on the key alone, so that AQE
+    may split the texts of a key that has many.
     """
-    lists = passages.groupBy(key).agg(F.array_sort(F.collect_set(coverage_form(passage))).alias("_passages"))
-    found = texts.select(key, coverage_form(text).alias("_text")).join(lists, key)
-    hits = found.select(key, F.size("_passages").alias("_n"), F.explode_outer(F.filter("_passages", lambda p: F.contains(F.col("_text"), p))).alias("_hit"))
-    counted = hits.groupBy(key).agg(F.max("_n").cast("bigint").alias("n_checked"), F.countDistinct("_hit").alias("n_survived"))
-    return counted.withColumn("survival", F.round(F.col("n_survived") / F.col("n_checked"), 4))
+    form = passages.select(key, coverage_form(passage).alias("_p")).distinct()
+    counts = form.groupBy(key).agg(F.count("*").alias("n_checked"))
+    dealt = form.join(counts, key).withColumn("_block", F.pmod(F.xxhash64("_p"), F.ceil(F.col("n_checked") / BLOCK)))
+    blocks = dealt.groupBy(key, "_block").agg(F.collect_list("_p").alias("_passages"))
+    found = texts.select(key, coverage_form(text).alias("_text")).join(blocks, key)
+    hits = found.select(key, F.explode(F.filter("_passages", lambda p: F.contains(F.col("_text"), p))).alias("_hit")).distinct()
+    survived = hits.groupBy(key).agg(F.count("*").alias("n_survived"))
+    asked = counts.join(texts.select(key).distinct(), key, "left_semi").join(survived, key, "left")
+    return asked.select(key, "n_checked", F.coalesce("n_survived", F.lit(0)).alias("n_survived")).withColumn("survival", F.round(F.col("n_survived") / F.col("n_checked"), 4))
 
 
 def number_gaps(passages: DataFrame, texts: DataFrame, key: str, passage: str, text: str) -> DataFrame:
