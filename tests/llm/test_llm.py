@@ -238,6 +238,20 @@ def test_shapes_of_a_text(spark):
     assert scanned._shape_keys(low, start, length).tolist() == [scanned._shape_key(w) for w in words if w.isalpha()]
 
 
+def test_verdicts_do_not_depend_on_the_rest_of_the_vocabulary(spark):
+    """A corpus with 100 times as many foreign words, each as frequent as a word must be to be a reading, changes nothing."""
+    own = ["the reader returns every file to the office and the department notes the reason in the log. " * 40] * 20
+    noisy = ["the rcader returns evcry file to thc office.", "the depart\nment notes the reason.", "the readerreturns every file.", "the reader returns\nthe file."]
+    letters = "bdfghjkpqvwxyz"
+    foreign = [" ".join(("z" + "".join(letters[(i // 14**k) % 14] for k in range(5)) + " ") * 9 for i in range(a, a + 500)) for a in range(0, 10_000, 500)]
+    verdicts = []
+    for more in ([], foreign):
+        df = spark.createDataFrame([(k, x) for k, x in enumerate([*noisy, *own, *more])], "k int, content string")
+        lexicon, heads = scanned.corpus_counts(df, "content")
+        verdicts.append([tuple(r) for r in scanned.repair(df.where("k < 4"), "content", lexicon, heads).orderBy("k").collect()])
+    assert verdicts[0] == verdicts[1] and all("thc" not in r[2] and "depart " not in r[2] for r in verdicts[0])
+
+
 def test_running_heads_by_join_and_by_broadcast(spark, monkeypatch):
     """Headings beyond the bound are joined; both ways give one result, and a million foreign headings delete no line."""
     body = "the reader returns every file to the office and the department notes it\nGuide to overtime\n12\nand the reason is kept in the log of the office."
