@@ -82,7 +82,7 @@ def paths(edges: DataFrame, names: DataFrame, key: list[str], nodes: bool = Fals
             F.when(F.col("next").isNotNull() & ~again, F.concat_ws(" > ", "next_name", "path")).otherwise(F.col("path")).alias("path"),
             F.coalesce(again, F.lit(False)).alias("cyclic"), (F.col("next").isNotNull() & ~F.coalesce(again, F.lit(False))).alias("open"),
         )
-        walk = cut(walk.where("not open").unionByName(moved), "org-paths")
+        walk = cut(walk.where("not open").unionByName(moved), "org-paths", walk)
         if walk.where("open").isEmpty():
             return walk.select(*key, "id", (F.size("seen") - 1).alias("depth"), "path", "cyclic", *(["seen"] if nodes else []))
 
@@ -93,7 +93,7 @@ def closed_subset(items: DataFrame, needs: DataFrame) -> DataFrame:
     before = left.count()
     while True:
         broken = needs.join(left.select(F.col("id").alias("needed")), "needed", "left_anti").select("id").distinct()
-        left = cut(left.join(broken, "id", "left_anti"), "closed-subset")
+        left = cut(left.join(broken, "id", "left_anti"), "closed-subset", left)
         now = left.count()
         if now == before:
             return left
@@ -117,7 +117,7 @@ def cycles(edges: DataFrame, key: list[str]) -> DataFrame:
     while True:
         goes_on = left.select(*key, F.col("child").alias("parent")).distinct()
         led_to = left.select(*key, F.col("parent").alias("child")).distinct()
-        left = cut(left.join(goes_on, [*key, "parent"], "left_semi").join(led_to, [*key, "child"], "left_semi"), "org-cycles")
+        left = cut(left.join(goes_on, [*key, "parent"], "left_semi").join(led_to, [*key, "child"], "left_semi"), "org-cycles", left)
         now = left.count()
         if now == before:
             break
@@ -136,8 +136,9 @@ def levels_by_edges(nodes: DataFrame, edges: DataFrame, key: list[str], unreache
         level += 1
         step = reached.where(F.col("level") == level - 1).join(own, [*key, "id"]).select(*key, F.col("_next").alias("id")).distinct()
         fresh = step.join(reached, [*key, "id"], "left_anti").withColumn("level", F.lit(level))
-        more = cut(reached.unionByName(fresh), "org-levels")
+        more = cut(reached.unionByName(fresh), "org-levels", reached)
         if more.where(F.col("level") == level).isEmpty():
+            reached = more
             break
         reached = more
     return nodes.select(*key, "id").join(reached, [*key, "id"], "left").select(*key, "id", F.coalesce("level", F.lit(unreached)).alias("level"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,31 +33,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, before: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table ends the lineage, so a lost executor costs nothing that was computed before it, and a
-    result used twice is computed once. The folders are removed when the driver ends.
+    result used twice is computed once. The folders are removed when the driver ends or by ``release``; in a loop,
+    ``before`` is what the last round wrote, of which nothing is needed any more once the new table stands.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pagemill/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    if before is not None and (old := getattr(before, "_written", None)):
+        _remove(spark, old)
+        _WRITTEN.remove((spark, old))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; local folders are removed directly
+        if path.startswith("file://"):
+            shutil.rmtree(path[len("file://") :], ignore_errors=True)
 
 
 @atexit.register
-def _clean() -> None:
+def release() -> None:
+    """Remove all folders that ``cut`` has written: for long sessions, when no result made from them is needed any more."""
     for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may be gone; local folders are removed directly
-            if path.startswith("file://"):
-                import shutil
-
-                shutil.rmtree(path[len("file://") :], ignore_errors=True)
+        _remove(spark, path)
     _WRITTEN.clear()
 
 
