@@ -78,11 +78,17 @@ def automaton(terms: list[str]) -> Callable[[str], set[str]]:
     except ImportError:
         return lambda x: {t for t in terms if t in x}
     made = ahocorasick.Automaton()
-    for t in terms:
-        if t:
-            made.add_word(t, t)
+    # short terms occur too often to be met one by one: they are asked for
+    short, long = [t for t in terms if 0 < len(t) <= 2], [t for t in terms if len(t) > 2]
+    for t in long:
+        made.add_word(t, t)
     made.make_automaton()
-    return (lambda x: {t for _, t in made.iter(x)}) if len(made) else lambda x: set()
+
+    def held(x: str) -> set[str]:
+        here = {t for t in short if t in x}
+        return here | {t for _, t in made.iter(x)} if long else here
+
+    return held
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, query: str, text: str, query_id: str, candidate_id: str, k: int, on: list[str] | None = None) -> DataFrame:
