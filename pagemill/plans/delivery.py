@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import forms as fo
 from pagemill.operators import delivery, records
+from pagemill.operators.chunking import chunk_documents
 from pagemill.plans.literal import Literal
 from pagemill.plans.phrases import DELIVERED, LEDGER, coverage_ledger
 from pagemill.plans.queries import CHUNKS, _chunks
@@ -95,3 +96,25 @@ def note_parts(spark, root):
 def form_files(spark, root):
     """Files whose name says form."""
     return table(spark, root, "docs").select("doc_id", fo.is_form_path("source_path").alias("form"))
+
+
+TEXTS = Literal("id int, text string", [
+    (1, "# A\n## B\n" + "word " * 20 + "\nlast line"), (2, "# A\ntext\n\n# B"), (3, "x" * 30 + " " + "y" * 60), (4, "intro\n# H\none two\nthree four five six\nseven eight nine ten"), (5, ""), (6, None), (7, "申請人應於月底前送交。" * 4),
+])
+
+
+# Worked out by hand from the rules: a bare heading takes in its follower, blocks fill ten tokens and three overlap, a continued chunk repeats its path,
+# and what is still too long is cut at the last break past its half, each part with a quarter of the one before.
+CHUNKED_TEXTS = Literal("id int, chunk_id string, parent string, path string, content string, first_block int, last_block int, tokens int", [
+    (1, "c000000", None, "A>B", "# A\n\n## B", 0, 1, 3), (1, "c000001_part1", "c000001", "A>B", "A > B（續）\n\n# A\n\n## B\n\nword word ", 0, 2, 9), (1, "c000001_part2", "c000001", "A>B", "d " + "word " * 7, 0, 2, 10), (1, "c000001_part3", "c000001", "A>B", "ord " + "word " * 7, 0, 2, 10), (1, "c000001_part4", "c000001", "A>B", "ord " + "word " * 7, 0, 2, 10),
+    (1, "c000002", None, "A>B", "A > B（續）\n\nlast line", 3, 3, 6), (2, "c000000", None, "A", "# A\n\ntext\n\n# B", 0, 3, 4), (3, "c000000_part1", "c000000", "", "x" * 30 + " ", 0, 0, 8), (3, "c000000_part2", "c000000", "", "xxxxxx " + "y" * 33, 0, 0, 10), (3, "c000000_part3", "c000000", "", "y" * 37, 0, 0, 10),
+    (4, "c000000", None, "", "intro", 0, 0, 2), (4, "c000001", None, "H", "# H\n\none two\n\nthree four five six", 1, 3, 9), (4, "c000002", None, "H", "H（續）\n\nseven eight nine ten", 4, 4, 8),
+    (7, "c000000_part1", "c000000", "", "申請人應於月底前送交。", 0, 0, 8), (7, "c000000_part2", "c000000", "", "交。申請人應於月底前送交。", 0, 0, 9), (7, "c000000_part3", "c000000", "", "送交。申請人應於月底前送交。", 0, 0, 10), (7, "c000000_part4", "c000000", "", "送交。申請人應於月底前送交。", 0, 0, 10),
+])
+
+
+@query(f"with {CHUNKED_TEXTS.cte('c')} select * from c")
+def literal_chunks(spark, root):
+    """Chunks of literal documents under ten tokens with an overlap of three."""
+    c = chunk_documents(TEXTS.df(spark), "id", "text", 10, 3)
+    return c.select("id", "chunk_id", F.col("parent_chunk_id").alias("parent"), F.array_join("heading_path", ">").alias("path"), "content", "first_block", "last_block", "tokens")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 from pagemill.operators import catalog, sequence
 from pagemill.operators import tables as tb
-from pagemill.plans.queries import CELLS, CHUNK_LINES, CHUNKS, LINES, NUM, _cells, _chunk_lines, _chunks, _lines, _placed_chunks
+from pagemill.operators.blocks import blocks, placed_blocks
+from pagemill.plans.queries import CELLS, CHUNK_LINES, CHUNKS, LINES, MORE_CHUNKS, NUM, _more_chunks, _cells, _chunk_lines, _chunks, _lines, _placed_chunks
 from pagemill.sources.files import SUPPORTED
 from pagemill.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+MORE_LINES = CHUNK_LINES.replace(CHUNKS, MORE_CHUNKS)
 PROSE = r"regexp_matches(line, '[。！？；]|[.!?;](?: |$)') or regexp_matches(line, '^[ ]*(?:[-*•]|[0-9]{1,3}[.)]) ')"
 
 
@@ -58,12 +60,13 @@ def table_captions(spark, root):
     return _placed_chunks(spark, root).where("begins").select("run_id", "chunk_id", "reading_order", F.col("above").alias("caption"))
 
 
-@query(f"""with {CHUNK_LINES}, t as (select *, line like '|%' as tab from lines), b as (select *, tab and not coalesce(lag(tab) over (partition by run_id, chunk_id order by k), false) as begins from t),
+@query(f"""with {MORE_LINES}, t as (select *, line like '|%' as tab from lines), b as (select *, tab and not coalesce(lag(tab) over (partition by run_id, chunk_id order by k), false) as begins from t),
 n as (select *, sum(case when begins then 1 else 0 end) over (partition by run_id, chunk_id order by k rows between unbounded preceding and current row) as table_no from b),
 x as (select *, row_number() over (partition by run_id, chunk_id, table_no order by k) as i from n where table_no > 0 and not tab and trim(line, ' ') <> '')
 select run_id, chunk_id, table_no::bigint as table_no, k::int as reading_order from x where i <= 40""")
 def notes_after_tables(spark, root):
-    return _placed_chunks(spark, root).where("table_no > 0 and text and text_no <= 40").select("run_id", "chunk_id", "table_no", "reading_order")
+    placed = placed_blocks(_more_chunks(spark, root), ["run_id", "chunk_id"], "content")
+    return placed.where("table_no > 0 and text and text_no <= 40").select("run_id", "chunk_id", "table_no", "reading_order")
 
 
 @query("""with i as (select run_id, issue_no, min(message) as message from quality_gate where message is not null group by 1, 2), k as (select *, regexp_replace(message, '[ \\t\\n\\r\\x{3000}]+', '', 'g') as f from i)
@@ -130,10 +133,10 @@ def issue_count_mismatch(spark, root):
     return g.withColumn("differs", ~F.col("stated").eqNullSafe(F.col("counted")))
 
 
-@query(f"""with {CELLS}, x as (select run_id, chunk_id, k, col, cell, row_number() over (partition by run_id, chunk_id, k, cell order by col) as i from cells where cell <> '')
+@query(f"""with {CELLS.replace(CHUNK_LINES, MORE_LINES)}, x as (select run_id, chunk_id, k, col, cell, row_number() over (partition by run_id, chunk_id, k, cell order by col) as i from cells where cell <> '')
 select run_id, chunk_id, k::int as reading_order, col::int as "column", case when i > 1 then cell || '(' || i || ')' else cell end as numbered from x where i > 1""")
 def repeated_cells(spark, root):
-    cells = _cells(spark, root).where("text <> ''")
+    cells = tb.pipe_cells(blocks(_more_chunks(spark, root), ["run_id", "chunk_id"], "content"), ["run_id", "chunk_id"]).where("text <> ''")
     made = tb.number_repeats(cells, ["run_id", "chunk_id", "reading_order"], "column", "text")
     return made.where("numbered <> text").select("run_id", "chunk_id", "reading_order", "column", "numbered")
 
