@@ -242,3 +242,32 @@ def read_tables(df: DataFrame, keys: list[str], html: str) -> DataFrame:
             )
 
     return df.select(*keys, html).mapInArrow(read, f"{types}, header_rows int, names array<string>, rows array<array<string>>, folded string")
+
+
+# Marks and words of a form that is to be filled in, and units of amounts.
+FILL_IN = "[□☐☑☒]|_{3,}|＿{3,}|-{5,}|[：:][ ]*(?:年[ ]*月[ ]*日|[ ]{3,})|申請人|申請單位|填寫|填表|請勾選|簽名|簽章|簽核欄"
+AMOUNT = "[0-9]|元|美元|USD|%"
+
+
+def is_reference(rows: DataFrame, keys: list[str], cells: str) -> DataFrame:
+    """(keys, reference): dense tables of data: three rows and columns or more, nothing to fill in, a header among the first rows (three filled cells), three rows with two filled cells, filled to 0.45 or three rows of three, and figures or four such rows."""
+    own = rows.withColumn("_n", F.size(filled(F.col(cells)))).withColumn("_w", F.size(cells)).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("row")))
+    text = F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " ")
+    count = lambda c: F.sum(c.cast("int"))
+    figures = lambda p: F.size(F.filter(cells, lambda c: F.coalesce(c.rlike(p), F.lit(False))))
+    s = own.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max("_w").alias("w"), F.sum("_n").alias("cells"), count(F.col("_n") >= 2).alias("data"), count((F.col("_w") >= 3) & (F.col("_n") >= 3)).alias("shaped"), F.sum(figures("[0-9]")).alias("numeric"), F.sum(figures(AMOUNT)).alias("amounts"),
+        F.max((F.col("_k") <= 3).cast("int") * (F.col("_n") >= 3).cast("int")).alias("header"), F.max(text.rlike(FILL_IN).cast("int")).alias("fill"),
+    )
+    dense = (F.col("cells") / (F.col("n") * F.col("w")) >= 0.45) | (F.col("shaped") >= 3)
+    told = (F.col("amounts") >= 2) | (F.col("numeric") >= 3) | (F.col("shaped") >= 4)
+    return s.select(*keys, ((F.col("n") >= 3) & (F.col("w") >= 3) & (F.col("fill") == 0) & (F.col("data") >= 3) & (F.col("header") == 1) & dense & told).alias("reference"))
+
+
+def is_form_like(rows: DataFrame, keys: list[str], cells: str, terms: tuple[str, ...]) -> DataFrame:
+    """(keys, form): tables of five rows or more that hold four of ``terms`` and either are filled to less than 0.45 or have marks to fill in; tables of data are none."""
+    text = F.array_join(F.flatten(F.array_sort(F.collect_list(F.struct("row", F.transform(cells, lambda c: F.coalesce(c, F.lit(""))).alias("c"))))["c"]), " ")
+    s = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.size(filled(F.col(cells)))).alias("cells"), F.sum(F.size(cells)).alias("all"), text.alias("text"))
+    hits = sum((F.contains("text", F.lit(t)).cast("int") for t in terms), F.lit(0))
+    form = (F.col("n") >= 5) & (hits >= 4) & ((F.col("cells") / F.col("all") < 0.45) | F.col("text").rlike("[□☐☑]|_{3,}| [年月日] "))
+    return s.select(*keys, form.alias("form")).join(is_reference(rows, keys, cells), keys).select(*keys, (F.col("form") & ~F.col("reference")).alias("form"))

@@ -197,3 +197,39 @@ def digest(rows: DataFrame, keys: list[str], order: str, fields: list[str]) -> D
     """(keys, digest): a hash of the fields of a key's rows in their order, which doesn't change when orders are renumbered."""
     item = F.struct(F.col(order).alias("o"), F.to_json(F.struct(*fields)).alias("j"))
     return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["j"]), "\n"), 256).alias("digest"))
+
+
+def in_tables(fragments: DataFrame, tables: DataFrame, shortest: int = 6, large: int = 100, share: float = 0.6, borrowed: float = 0.95) -> DataFrame:
+    """(doc, fragment_id): fragments that a table of their own or a neighbouring page holds.
+
+    A table (doc, page_idx, body, notes) holds what stands in its text without tags, or in its notes, white space aside, from
+    ``shortest`` characters on; and from ``large`` characters on what shares more than ``share`` of its 4-grams with text and notes, of which the notes may
+    give more than the text only if nearly all (``borrowed``) are there.
+    """
+    form = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", ""), "[ \\t\\n\\r\\f\\x0B\\x{A0}\\x{3000}\\\\]+", "")
+    own = fragments.select("doc", "fragment_id", form(F.col("text")).alias("_f"), F.explode(F.sequence(F.col("page_idx") - 1, F.col("page_idx") + 1)).alias("page_idx")).where(F.length("_f") >= shortest)
+    met = own.join(tables.select("doc", "page_idx", form(F.col("body")).alias("_b"), form(F.col("notes")).alias("_n")), ["doc", "page_idx"])
+    grams = F.transform(F.sequence(F.lit(1), F.length("_f") - 3), lambda i: F.substring("_f", i, F.lit(4)))
+    text = F.size(F.filter(grams, lambda g: F.contains(F.col("_b"), g)))
+    more = F.size(F.filter(grams, lambda g: ~F.contains(F.col("_b"), g) & F.contains(F.col("_n"), g)))
+    ratio = (text + more) / F.size(grams)
+    likeness = (F.length("_f") >= large) & (ratio > share) & ((text >= more) | (ratio >= borrowed))
+    return met.where(F.contains("_b", F.col("_f")) | F.contains("_n", F.col("_f")) | likeness).select("doc", "fragment_id").distinct()
+
+
+NOTE_START = "^(?:備註|备注|註[:：]|[一二三四五六七八九十]+、|[0-9]+[.、])"
+
+
+def table_notes(blocks: DataFrame, most: int = 40) -> DataFrame:
+    """(doc, block_id, note): the notes after each table up to the next one: the first ``most`` text blocks, from the first that opens like a note on; a block that doesn't goes on with the note before it, and equal notes of a document count for the first table."""
+    w = Window.partitionBy("doc").orderBy("reading_order")
+    is_table = F.col("type") == "table"
+    numbered = blocks.withColumn("_t", F.sum(is_table.cast("int")).over(w)).withColumn("_id", F.last(F.when(is_table, F.col("block_id")), ignorenulls=True).over(w))
+    texts = numbered.where((F.col("type") == "text") & (F.col("_t") > 0) & ~is_non_content()).withColumn("_line", F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\x{3000}]+", " ")))
+    own = Window.partitionBy("doc", "_t").orderBy("reading_order")
+    placed = texts.withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= most).where("_line <> ''")
+    begun = placed.withColumn("_note", F.sum(F.col("_line").rlike(NOTE_START).cast("int")).over(own)).where("_note > 0")
+    joined = begun.groupBy("doc", "_t", "_id", "_note").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "_line"))), lambda x: x["_line"]), " ").alias("_text"))
+    notes = joined.groupBy("doc", "_t", F.col("_id").alias("block_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_note", "_text"))), lambda x: x["_text"]), "\n").alias("note"))
+    first = Window.partitionBy("doc", compact("note")).orderBy("_t")
+    return notes.withColumn("_first", F.row_number().over(first)).where("_first = 1").select("doc", "block_id", "note")

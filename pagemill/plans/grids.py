@@ -184,3 +184,16 @@ def table_budget(spark, root):
 
     g = ROWS.df(spark).select("tbl").distinct().withColumn("pass", F.lit(1))
     return g.withColumn("place", F.row_number().over(Window.partitionBy("pass").orderBy("tbl"))).where("place <= 2").select("tbl", "place")
+
+
+KINDS = Literal("tbl string, row int, cells array<string>", [
+    *(("data", k, [f"item {k}", str(k * 10), f"{k} 元"]) for k in range(4)), *(("narrow", k, ["a", "1"]) for k in range(5)), *(("fill", k, ["申請人", "□ yes", f"{k}"]) for k in range(5)),
+    ("form", 0, ["申請單位", "", ""]), ("form", 1, ["備註", "", ""]), ("form", 2, ["單位主管", "", "核准"]), ("form", 3, ["", "", ""]), ("form", 4, ["出差", "", None]), ("words", 0, ["a b", "c d", "e f"]), ("words", 1, ["g", "h", "i"]), ("words", 2, ["j", "k", "l"]), ("words", 3, ["m", "n", "o"]),
+])
+
+
+@query("select * from (values ('data', true, false), ('narrow', false, false), ('fill', false, false), ('form', false, true), ('words', true, false)) as t(tbl, reference, form)")
+def table_kinds(spark, root):
+    """Tables of data, and tables that are forms to be filled in."""
+    k = KINDS.df(spark)
+    return ce.is_reference(k, ["tbl"], "cells").join(ce.is_form_like(k, ["tbl"], "cells", ("申請", "備註", "單位主管", "核准", "出差")), "tbl")

@@ -321,3 +321,28 @@ def repaired_headings(spark, root):
     m = HEADINGS.df(spark).withColumn("n", mapped(matched, T.IntegerType())("heading", "head")).withColumn("share", F.col("n") / F.length("heading"))
     good = m.where("n >= 6 and share >= 0.75 and heading <> head")
     return good.groupBy("doc", "heading").agg(F.max_by("head", F.struct("pages", "share", F.length("head"))).alias("head"))
+
+
+_DUMP = "".join(f"cell {k} holds the number {k * 7} and " for k in range(6))
+TABLES = Literal("doc string, page_idx int, body string, notes string", [("a", 1, f"<table><tr><td>{_DUMP}</td></tr><tr><td>Pen box</td></tr></table>", "Source: the store of the office, 2025"), ("b", 5, "<td>x</td>", None)])
+ASKED = Literal("doc string, fragment_id string, page_idx int, text string", [
+    ("a", "t1", 1, "Pen  box"), ("a", "t2", 2, "the store of the office"), ("a", "t3", 4, "Pen box"), ("a", "t4", 0, _DUMP[:150] + "zz"), ("a", "t5", 1, "Pen"), ("a", "t6", 1, "Source: the shop of the office, 2024"), ("a", "t7", 1, "q" * 120), ("b", "t8", 5, "not in it"), ("a", "t9", 1, None),
+])
+
+
+@query("select * from (values ('a', 't1'), ('a', 't2'), ('a', 't4')) as t(doc, fragment_id)")
+def fragments_in_tables(spark, root):
+    """Fragments that a table or its notes hold."""
+    return lo.in_tables(ASKED.df(spark), TABLES.df(spark))
+
+
+NOTED = Literal("doc string, block_id string, reading_order int, type string, text string, origin string", [
+    ("a", "k0", 0, "text", "備註 before", None), ("a", "k1", 1, "table", None, None), ("a", "k2", 2, "text", "a line", None), ("a", "k3", 3, "text", "註：first  note", None), ("a", "k4", 4, "text", "goes on", None), ("a", "k5", 5, "text", "7", lo.FURNITURE), ("a", "k6", 6, "text", "2. second", None), ("a", "k7", 7, "image", None, None),
+    ("a", "k8", 8, "table", None, None), ("a", "k9", 9, "text", "註： first note goes on", None), ("a", "k10", 10, "text", "2.second", None), ("a", "k11", 11, "table", None, None), ("a", "k12", 12, "text", "no note", None), ("b", "k0", 0, "table", None, None), ("b", "k1", 1, "text", "一、x", None),
+])
+
+
+@query("select * from (values ('a', 'k1', '註：first note goes on' || chr(10) || '2. second'), ('b', 'k0', '一、x')) as t(doc, block_id, note)")
+def adjacent_notes(spark, root):
+    """Notes that follow tables, each once."""
+    return lo.table_notes(NOTED.df(spark))
