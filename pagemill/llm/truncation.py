@@ -8,9 +8,10 @@ value's log-odds compare the likelihood of its final context at a true end with
 left out of the counts. The threshold follows from the share of cut values, which is estimated by expectation
 maximisation for each language and column (and for values with a mark in running text apart) from all values.
 
-Only contexts at which a value ends are counted, each under its full 64-bit key, and of those the ones at which at least
-a share of ``SHARE`` of all values ends; a value whose longer context is rarer is judged by its shorter ones. The table that is sent to the
-workers so holds at most ``LONGEST`` / ``SHARE`` contexts, whatever the corpus.
+Only contexts at which a value ends are counted, each under its full 64-bit key, and of those all: the end of a cut value
+is a rare end, so the rare contexts are the ones that tell it. Up to ``MOST`` contexts are sent to the workers at once. Where there
+are more, they are dealt into blocks by their last ``GROUP`` characters, and the values are read once for each block; all
+longer contexts of a place are in one block, shorter ones are in every block.
 
 Defined results: null and empty values and values without a letter are no cases; a mark put after the stop (dots, brackets,
 replacement characters) is taken off before scoring; an ending that is one long code is complete; a part of a split
@@ -20,7 +21,9 @@ chunk whose next part exists is no case; repeated rows count once.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ from pagemill.llm.lookalike import TO_LATIN
 from pagemill.sources.tables import cut, table
 
 LONGEST, SMOOTH = 8, 4.0
-#: The least share of all ends that a context is kept with; each end is in LONGEST of them.
-SHARE = 2e-6
+#: Contexts that are sent to the workers at once; the last characters by which more of them are dealt, and the parts (a power of 2) that these fall into.
+MOST, GROUP, PARTS = 2_000_000, 3, 4096
 #: Recounts of the ends, and nats above the threshold up to which a value's end is left out of them.
 ROUNDS, DOUBT = 2, 4.5
 #: What may stand after the stop.
@@ -131,7 +134,8 @@ class Contexts:
         bits = max(10, int(4 * max(1, keys.size)).bit_length())
         self.shift = np.uint64(64 - bits)
         size = np.bincount((self.keys >> self.shift).astype(np.int64), minlength=1 << bits)
-        self.first = np.r_[0, np.cumsum(size)].astype(np.int32)
+        self.first = np.zeros(size.size + 1, dtype=np.int32)
+        np.cumsum(size, out=self.first[1:])
         self.used = size > 0
         self.most = int(size.max(initial=0))
 
@@ -198,21 +202,78 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, LONGEST)
 
 
-def _count_ends(ends: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the contexts at which a share of all values ends, and the ends at each; equal ends of one document count once."""
+def _counted(ends: DataFrame) -> DataFrame:
+    """(key, part, n) of every context at which a value ends; equal ends of one document count once. Contexts under GROUP characters have part -1."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = _matrix(b.column("keys")).ravel()
-                keys, n = np.unique(keys[keys > 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+                keys = _matrix(b.column("keys"))
+                part = np.where(np.arange(LONGEST) < GROUP - 1, -1, _part(keys[:, GROUP - 1 : GROUP])).ravel()
+                keys, first, n = np.unique(keys.ravel(), return_index=True, return_counts=True)
+                there = keys > 0
+                yield pa.RecordBatch.from_arrays([pa.array(keys[there].view(np.int64)), pa.array(part[first[there]], pa.int32()), pa.array(n[there], pa.int64())], names=["key", "part", "n"])
+
+    counted = _distinct(ends).mapInArrow(count, "key bigint, part int, n bigint")
+    return cut(counted.groupBy("key").agg(F.min("part").alias("part"), F.sum("n").alias("n")), "truncation-contexts")
+
+
+def _part(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(PARTS - 1)).astype(np.int32)
 
-    counted = _distinct(ends).mapInArrow(count, "key bigint, n bigint")
-    summed = cut(counted.groupBy("key").agg(F.sum("n").alias("n")), "truncation-contexts")
-    total = (summed.agg(F.sum("n")).first()[0] or 0) / LONGEST
-    kept = summed.where(F.col("n") >= SHARE * total).toArrow()
-    return kept.column("key").to_numpy().view(np.uint64), kept.column("n").to_numpy()
+
+def _count_ends(ends: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all contexts at which a value ends, and the ends at each."""
+    found = _counted(ends).toArrow()
+    return found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+
+
+def _dealt(counted: DataFrame) -> list[range]:
+    """Ranges of parts with MOST contexts at most (unless a part alone has more), with the short ones that each holds too."""
+    size = {r["part"]: r["count"] for r in counted.groupBy("part").count().collect()}
+    room, held, starts = max(MOST - size.get(-1, 0), MOST // 2), 0, [0]
+    for part in range(PARTS):
+        n = size.get(part, 0)
+        if held and held + n > room:
+            starts.append(part)
+            held = 0
+        held += n
+    return [range(a, b) for a, b in zip(starts, [*starts[1:], PARTS])]
+
+
+class Block:
+    """The contexts of some parts and what was counted at them, in a file of the driver while others are at work."""
+
+    def __init__(self, folder: str, parts: range, counted: DataFrame, values: DataFrame):
+        self.parts, self.path = parts, f"{folder}/{parts.start}.npz"
+        found = counted.where(F.col("part").between(parts.start, parts.stop - 1) | (F.col("part") < 0)).toArrow()
+        keys, part, n = (found.column(k).to_numpy() for k in ("key", "part", "n"))
+        keys = keys.view(np.uint64)
+        contexts = Contexts(keys)
+        inside, closed = _count_inside(values, contexts, parts)
+        # short contexts are in every block, the first one's are added up
+        own = _placed(contexts, keys, (part >= 0) | (parts.start == 0)) > 0
+        self.going = int(inside[own].sum())
+        self._save(keys=contexts.keys, own=own, inside=inside, closed=closed, counts=_placed(contexts, keys, n))
+
+    def _save(self, **arrays: np.ndarray) -> None:
+        self.total = int(arrays["counts"][arrays["own"]].sum())
+        np.savez(self.path, **arrays)
+
+    def load(self) -> dict[str, np.ndarray]:
+        with np.load(self.path) as f:
+            return dict(f)
+
+    def ends(self, ends: DataFrame) -> DataFrame:
+        """The ends whose contexts are here; those under GROUP characters are in the first block."""
+        if len(self.parts) == PARTS:
+            return ends
+        return ends.where(F.expr(f"(keys[{GROUP - 1}] & {PARTS - 1}) between {self.parts.start} and {self.parts.stop - 1}"))
+
+    def recount(self, ends: DataFrame) -> None:
+        """Takes the counts from other ends, which are those of all blocks."""
+        arrays = self.load()
+        self._save(**arrays | {"counts": _recount(ends, Contexts(arrays["keys"]))})
 
 
 def _distinct(ends: DataFrame) -> DataFrame:
@@ -243,8 +304,8 @@ def _placed(contexts: Contexts, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_inside(values: DataFrame, contexts: Contexts) -> tuple[np.ndarray, np.ndarray]:
-    """Continuations, and ends of list entries and table rows inside values, at the contexts at which any value ends."""
+def _count_inside(values: DataFrame, contexts: Contexts, parts: range = range(PARTS)) -> tuple[np.ndarray, np.ndarray]:
+    """Continuations, and ends of list entries and table rows inside values, at the contexts at which any value ends and which are those of ``parts`` or short."""
     wanted = values.sparkSession.sparkContext.broadcast(contexts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +360,12 @@ def _count_inside(values: DataFrame, contexts: Contexts) -> tuple[np.ndarray, np
                         # the character furthest from the end carries the highest power
                         h = h[reach] + p[at - length + 1] * power
                         power = power * _BASE
-                        place = known.find(_mixed(h, salt[at], length))
+                        keys = _mixed(h, salt[at], length)
+                        if length == GROUP and len(parts) < PARTS:
+                            part = _part(keys)
+                            held = (part >= parts.start) & (part < parts.stop)
+                            at, h, keys = at[held], h[held], keys[held]
+                        place = known.find(keys)
                         # where a context is none of an end, neither is a longer one
                         hit = place >= 0
                         at, h, place = at[hit], h[hit], place[hit]
@@ -318,11 +384,15 @@ def _count_inside(values: DataFrame, contexts: Contexts) -> tuple[np.ndarray, np
     return inside, closed
 
 
-def _score(ends: DataFrame, contexts: Contexts, counts: np.ndarray, closed: np.ndarray, inside: np.ndarray) -> DataFrame:
+def _score(ends: DataFrame, blocks: list[Block], drop: tuple[str, ...] = ()) -> DataFrame:
     """``ends`` with log_odds; ``counted`` tells whether a value's own end is among the counts."""
-    total, going = max(1, int(counts.sum()) // LONGEST), max(1, int(inside.sum()) // LONGEST)
+    total, going = max(1, sum(b.total for b in blocks) // LONGEST), max(1, sum(b.going for b in blocks) // LONGEST)
     base = total / (total + going)
-    tables = ends.sparkSession.sparkContext.broadcast((contexts, (counts + closed).astype(np.float32), inside.astype(np.float32)))
+    return reduce(DataFrame.unionByName, [cut(_score_block(b.ends(ends), base, **b.load()).drop(*drop), "truncation-scores") for b in blocks])
+
+
+def _score_block(ends: DataFrame, base: float, keys: np.ndarray, counts: np.ndarray, closed: np.ndarray, inside: np.ndarray, **_: np.ndarray) -> DataFrame:
+    tables = ends.sparkSession.sparkContext.broadcast((Contexts(keys), (counts + closed).astype(np.float32), inside.astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, stop, go = tables.value
@@ -355,18 +425,18 @@ def scored(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, int, bool], fl
     Cut values are among the ends that are counted, so the counts are taken again without those that look cut.
     """
     ends = cut(_ends(values), "truncation-ends")
-    keys, n = _count_ends(ends)
-    contexts = Contexts(keys)
-    counts = _placed(contexts, keys, n)
-    inside, closed = _count_inside(values, contexts)
-    own: Column = F.lit(1)
-    for _ in range(ROUNDS):
-        scores = cut(_score(ends.withColumn("counted", own).drop("keep"), contexts, counts, closed, inside), "truncation-scores")
-        limit = _limit(thresholds(scores))
-        ends = scores.withColumn("keep", F.coalesce(F.col("log_odds") >= limit + DOUBT, F.lit(True)).cast("int")).drop("counted", "log_odds")
-        counts = _recount(ends.where("keep = 1"), contexts)
-        own = F.col("keep")
-    scores = cut(_score(ends.withColumn("counted", own).drop("keep"), contexts, counts, closed, inside).drop("keys"), "truncation-scores")
+    counted = _counted(ends)
+    with tempfile.TemporaryDirectory(prefix="truncation-") as folder:
+        blocks = [Block(folder, parts, counted, values) for parts in _dealt(counted)]
+        own: Column = F.lit(1)
+        for _ in range(ROUNDS):
+            scores = _score(ends.withColumn("counted", own).drop("keep"), blocks)
+            limit = _limit(thresholds(scores))
+            ends = scores.withColumn("keep", F.coalesce(F.col("log_odds") >= limit + DOUBT, F.lit(True)).cast("int")).drop("counted", "log_odds")
+            for b in blocks:
+                b.recount(ends.where("keep = 1"))
+            own = F.col("keep")
+        scores = _score(ends.withColumn("counted", own).drop("keep"), blocks, ("keys",))
     return scores, thresholds(scores)
 
 

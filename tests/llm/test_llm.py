@@ -307,6 +307,31 @@ def test_contexts_are_told_apart(spark):
     assert truncation.Contexts(keys).find(np.arange(1, 5000, dtype=np.uint64)).max() == -1 and not closed.any()
 
 
+def test_rare_contexts_are_kept(spark):
+    common, rare = ", ".join(map(str, range(1, 9))), ", ".join(map(str, range(11, 19)))
+    ends = spark.range(1_200_000).selectExpr("string(id) doc_id", "0 col", "true usable", f"if(id = 7, array({rare}), array({common})) keys").withColumn("keys", F.col("keys").cast("array<bigint>"))
+    keys, n = truncation._count_ends(ends)
+    assert dict(zip(keys.tolist(), n.tolist())) == {k: 1_199_999 for k in range(1, 9)} | {k: 1 for k in range(11, 19)}
+
+
+def test_blocks_of_contexts(spark, monkeypatch):
+    rng = random.Random(3)
+    words = "office form reader list copy month request reason".split()
+    rows = []
+    for i in range(300):
+        text = " ".join(f"The {rng.choice(words)} goes to the {rng.choice(words)} with the {rng.choice(words)}." for _ in range(4)) + "\n- signed form" * (i % 5 == 1)
+        rows.append(("r", f"c{i}", f"d{i}", text[: -rng.randint(4, 12)] if i % 20 == 7 else "ok" if i % 50 == 3 else text))
+    values = truncation.values_of(chunks(spark, rows), gate(spark, [("r", 1, "Label check: 5 of 13 passed", None, None)]))
+    whole, limits = truncation.scored(values)
+    key = lambda r: (r["item_id"], r["col"])
+    want = {key(r): r["log_odds"] for r in whole.collect()}
+    monkeypatch.setattr(truncation, "MOST", 60)
+    assert len(truncation._dealt(truncation._counted(truncation._ends(values)))) > 3
+    dealt, same = truncation.scored(values)
+    got = {key(r): r["log_odds"] for r in dealt.collect()}
+    assert dealt.count() == whole.count() == 301 and got == want and same == limits
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
