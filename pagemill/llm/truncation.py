@@ -5,7 +5,8 @@ count as one class, letters in lower case, width variants and look-alikes folded
 list entry or table row ends there and how often it goes on. The contexts of ends and of continuations are counted apart for
 running text, list entries, table rows and headings, and for each column. Shorter contexts smooth longer ones. A
 value's log-odds compare the likelihood of its final context at a true end with that at a random stop; its own end is
-left out of the counts. The threshold follows from the share of cut values, which is estimated by expectation
+left out of the counts; the share of ends among all places is one for each column. What is copied counts once (a content by its text, a message by its text and the contents of its document):
+the copies of a cut value would else vouch for its end. The threshold follows from the share of cut values, which is estimated by expectation
 maximisation for each language and column (and for values with a mark in running text apart) from all values.
 
 Only contexts at which a value ends are counted, each under its full 64-bit key, and of those all: the end of a cut value
@@ -15,7 +16,7 @@ longer contexts of a place are in one block, shorter ones are in every block.
 
 Defined results: null and empty values and values without a letter are no cases; a mark put after the stop (dots, brackets,
 replacement characters) is taken off before scoring; an ending that is one long code is complete; a part of a split
-chunk whose next part exists is no case; repeated rows count once.
+chunk whose next part exists is no case; repeated rows count once, and so do copied documents.
 """
 
 from __future__ import annotations
@@ -172,6 +173,22 @@ def values_of(chunks: DataFrame, gate: DataFrame) -> DataFrame:
     return contents.unionByName(messages).where("length(trim(text)) > 0")
 
 
+def _alike(ends: DataFrame) -> DataFrame:
+    """(doc_id, unit): documents that hold the same contents have one unit, told by the least hash of a document's contents, so that copies may differ in a few of them."""
+    return ends.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("col") == 0, F.col("text_hash"))), F.min("text_hash")).alias("unit"))
+
+
+def _units(values: DataFrame, alike: DataFrame) -> DataFrame:
+    """``values`` with ``unit``: equal texts of one unit are copies. Contents are one unit; messages, which follow templates, have that of their document."""
+    messages = values.where("col = 1").join(alike, "doc_id", "left").withColumn("unit", F.coalesce("unit", F.lit(0)))
+    return values.where("col = 0").withColumn("unit", F.lit(0).cast("bigint")).unionByName(messages)
+
+
+def _texts(values: DataFrame, alike: DataFrame) -> DataFrame:
+    """(col, unit, text) of each text of a unit once."""
+    return _units(values, alike).select("col", "unit", "text").distinct()
+
+
 def _ends(values: DataFrame) -> DataFrame:
     """(run_id, item_id, doc_id, col, lang, marked, usable, text_hash, keys) of every value; ``usable`` is false where nothing can be said (no letter, an ending that is one long code)."""
 
@@ -203,7 +220,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _counted(ends: DataFrame) -> DataFrame:
-    """(key, part, n) of every context at which a value ends; equal ends of one document count once. Contexts under GROUP characters have part -1."""
+    """(key, part, col, n) of every context at which a value ends, and its column; equal ends of one document count once. Contexts under GROUP characters have part -1."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,10 +229,12 @@ def _counted(ends: DataFrame) -> DataFrame:
                 part = np.where(np.arange(LONGEST) < GROUP - 1, -1, _part(keys[:, GROUP - 1 : GROUP])).ravel()
                 keys, first, n = np.unique(keys.ravel(), return_index=True, return_counts=True)
                 there = keys > 0
-                yield pa.RecordBatch.from_arrays([pa.array(keys[there].view(np.int64)), pa.array(part[first[there]], pa.int32()), pa.array(n[there], pa.int64())], names=["key", "part", "n"])
+                first = first[there]
+                col = b.column("col").to_numpy(zero_copy_only=False)[first // LONGEST]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[there].view(np.int64)), pa.array(part[first], pa.int32()), pa.array(col, pa.int32()), pa.array(n[there], pa.int64())], names=["key", "part", "col", "n"])
 
-    counted = _distinct(ends).mapInArrow(count, "key bigint, part int, n bigint")
-    return cut(counted.groupBy("key").agg(F.min("part").alias("part"), F.sum("n").alias("n")), "truncation-contexts")
+    counted = _distinct(ends).mapInArrow(count, "key bigint, part int, col int, n bigint")
+    return cut(counted.groupBy("key").agg(F.min("part").alias("part"), F.min("col").alias("col"), F.sum("n").alias("n")), "truncation-contexts")
 
 
 def _part(keys: np.ndarray) -> np.ndarray:
@@ -247,17 +266,18 @@ class Block:
     def __init__(self, folder: str, parts: range, counted: DataFrame, values: DataFrame):
         self.parts, self.path = parts, f"{folder}/{parts.start}.npz"
         found = counted.where(F.col("part").between(parts.start, parts.stop - 1) | (F.col("part") < 0)).toArrow()
-        keys, part, n = (found.column(k).to_numpy() for k in ("key", "part", "n"))
+        keys, part, col, n = (found.column(k).to_numpy() for k in ("key", "part", "col", "n"))
         keys = keys.view(np.uint64)
         contexts = Contexts(keys)
         inside, closed = _count_inside(values, contexts, parts)
         # short contexts are in every block, the first one's are added up
         own = _placed(contexts, keys, (part >= 0) | (parts.start == 0)) > 0
-        self.going = int(inside[own].sum())
-        self._save(keys=contexts.keys, own=own, inside=inside, closed=closed, counts=_placed(contexts, keys, n))
+        col = _placed(contexts, keys, col)
+        self.going = _by_column(inside, own, col)
+        self._save(keys=contexts.keys, own=own, col=col, inside=inside, closed=closed, counts=_placed(contexts, keys, n))
 
     def _save(self, **arrays: np.ndarray) -> None:
-        self.total = int(arrays["counts"][arrays["own"]].sum())
+        self.total = _by_column(arrays["counts"], arrays["own"], arrays["col"])
         np.savez(self.path, **arrays)
 
     def load(self) -> dict[str, np.ndarray]:
@@ -277,7 +297,13 @@ class Block:
 
 
 def _distinct(ends: DataFrame) -> DataFrame:
-    return ends.where("usable").select("doc_id", "col", "keys").distinct().select("keys")
+    return ends.where("usable").select("doc_id", "col", "keys").distinct().select("col", "keys")
+
+
+def _once(ends: DataFrame, alike: DataFrame) -> DataFrame:
+    """The usable ends, copies only in one of their documents (named by a hash, so that the aggregate needs no sort)."""
+    usable = ends.where("usable").select("doc_id", "col", "text_hash", "keys")
+    return _units(usable, alike).groupBy("col", "unit", "text_hash", "keys").agg(F.min(F.xxhash64("doc_id")).alias("doc_id")).withColumn("usable", F.lit(True))
 
 
 def _recount(ends: DataFrame, contexts: Contexts) -> np.ndarray:
@@ -304,6 +330,10 @@ def _placed(contexts: Contexts, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_column(n: np.ndarray, own: np.ndarray, col: np.ndarray) -> np.ndarray:
+    return np.array([n[own & (col == c)].sum() for c in (0, 1)])
+
+
 def _count_inside(values: DataFrame, contexts: Contexts, parts: range = range(PARTS)) -> tuple[np.ndarray, np.ndarray]:
     """Continuations, and ends of list entries and table rows inside values, at the contexts at which any value ends and which are those of ``parts`` or short."""
     wanted = values.sparkSession.sparkContext.broadcast(contexts)
@@ -386,22 +416,23 @@ def _count_inside(values: DataFrame, contexts: Contexts, parts: range = range(PA
 
 def _score(ends: DataFrame, blocks: list[Block], drop: tuple[str, ...] = ()) -> DataFrame:
     """``ends`` with log_odds; ``counted`` tells whether a value's own end is among the counts."""
-    total, going = max(1, sum(b.total for b in blocks) // LONGEST), max(1, sum(b.going for b in blocks) // LONGEST)
+    # a message ends sooner than a content: the share of ends among the places is one for each column
+    total, going = (np.maximum(1, sum(n) // LONGEST) for n in ([b.total for b in blocks], [b.going for b in blocks]))
     base = total / (total + going)
     return reduce(DataFrame.unionByName, [cut(_score_block(b.ends(ends), base, **b.load()).drop(*drop), "truncation-scores") for b in blocks])
 
 
-def _score_block(ends: DataFrame, base: float, keys: np.ndarray, counts: np.ndarray, closed: np.ndarray, inside: np.ndarray, **_: np.ndarray) -> DataFrame:
+def _score_block(ends: DataFrame, base: np.ndarray, keys: np.ndarray, counts: np.ndarray, closed: np.ndarray, inside: np.ndarray, **_: np.ndarray) -> DataFrame:
     tables = ends.sparkSession.sparkContext.broadcast((Contexts(keys), (counts + closed).astype(np.float32), inside.astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, stop, go = tables.value
-        zero = np.log(base / (1 - base))
         for b in batches:
             if not b.num_rows:
                 continue
             keys, own = _matrix(b.column("keys")), b.column("counted").to_numpy(zero_copy_only=False)
-            p, prior, last = (np.full(b.num_rows, x) for x in (base, base, np.inf))
+            p = start = base[b.column("col").to_numpy(zero_copy_only=False)]
+            prior, last = start, np.full(b.num_rows, np.inf)
             for length in range(LONGEST):
                 # ends of values that aren't usable may be no context; they get no score
                 place = known.find(keys[:, length])
@@ -413,7 +444,7 @@ def _score_block(ends: DataFrame, base: float, keys: np.ndarray, counts: np.ndar
                 prior, last = np.where(new, p, prior), np.where(new, n, last)
                 p = np.where(here, (e + SMOOTH * prior) / (n + SMOOTH), p)
             p = np.clip(p, 1e-9, 1 - 1e-9)
-            odds = pa.array(np.log(p / (1 - p)) - zero, pa.float64(), mask=~b.column("usable").to_numpy(zero_copy_only=False))
+            odds = pa.array(np.log(p / (1 - p)) - np.log(start / (1 - start)), pa.float64(), mask=~b.column("usable").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*b.columns, odds], names=[*b.schema.names, "log_odds"])
 
     return ends.mapInArrow(score, T.StructType([*ends.schema.fields, T.StructField("log_odds", T.DoubleType())]))
@@ -425,16 +456,20 @@ def scored(values: DataFrame) -> tuple[DataFrame, dict[tuple[str, int, bool], fl
     Cut values are among the ends that are counted, so the counts are taken again without those that look cut.
     """
     ends = cut(_ends(values), "truncation-ends")
-    counted = _counted(ends)
+    alike = cut(_alike(ends), "truncation-alike")
+    counted = _counted(_once(ends, alike))
+    dealt, texts = _dealt(counted), _texts(values, alike)
+    # where there are several blocks, each reads the texts
+    texts = cut(texts, "truncation-texts") if len(dealt) > 1 else texts
     with tempfile.TemporaryDirectory(prefix="truncation-") as folder:
-        blocks = [Block(folder, parts, counted, values) for parts in _dealt(counted)]
+        blocks = [Block(folder, parts, counted, texts) for parts in dealt]
         own: Column = F.lit(1)
         for _ in range(ROUNDS):
             scores = _score(ends.withColumn("counted", own).drop("keep"), blocks)
             limit = _limit(thresholds(scores))
             ends = scores.withColumn("keep", F.coalesce(F.col("log_odds") >= limit + DOUBT, F.lit(True)).cast("int")).drop("counted", "log_odds")
             for b in blocks:
-                b.recount(ends.where("keep = 1"))
+                b.recount(_once(ends.where("keep = 1"), alike))
             own = F.col("keep")
         scores = _score(ends.withColumn("counted", own).drop("keep"), blocks, ("keys",))
     return scores, thresholds(scores)

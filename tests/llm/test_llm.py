@@ -332,6 +332,35 @@ def test_blocks_of_contexts(spark, monkeypatch):
     assert dealt.count() == whole.count() == 301 and got == want and same == limits
 
 
+def test_copies_do_not_vouch_for_a_cut(spark):
+    rng = random.Random(7)
+    words = "office form reader list copy month request reason".split()
+    sentence = lambda: f"The {rng.choice(words)} goes to the {rng.choice(words)} with the {rng.choice(words)}."
+    texts = [" ".join(sentence() for _ in range(6)) for _ in range(300)]
+    texts = [t[: -rng.randint(4, 12)] if i % 15 == 7 else t for i, t in enumerate(texts)]
+
+    def found(copies: int) -> list[tuple[str, str]]:
+        c = chunks(spark, [(f"r{k}", f"c{i}", f"d{i}/{k}", t) for k in range(copies) for i, t in enumerate(texts)])
+        return sorted((r["run_id"], r["item_id"]) for r in truncation.truncated(c, gate(spark, [])).where("cut").collect())
+
+    one = [item for _, item in found(1)]
+    assert len({f"c{i}" for i in range(7, 300, 15)} & set(one)) >= 18
+    assert found(8) == sorted((f"r{k}", item) for k in range(8) for item in one)
+
+
+def test_long_contents_say_nothing_of_messages(spark):
+    rng = random.Random(11)
+    words = "office form reader list copy month request reason".split()
+    messages = [f"{i} passages were not found in the text of the {rng.choice(words)}, so it may have lost them." for i in range(100, 400)]
+    g = gate(spark, [("r", i, m[:-9] if i % 20 == 7 else m, None, None) for i, m in enumerate(messages)]).withColumn("doc_id", F.concat("doc_id", "issue_no"))
+
+    def odds(sentences: int) -> dict[str, float]:
+        c = chunks(spark, [("r", f"c{i}", f"c{i}", f"The {words[i % 8]} goes to the office. " * sentences) for i in range(100)])
+        return {r["item_id"]: r["log_odds"] for r in truncation.scored(truncation.values_of(c, g))[0].where("col = 1").collect()}
+
+    assert odds(1) == odds(40)
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
