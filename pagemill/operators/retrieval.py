@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagemill.functions.arrow import slices
 from pagemill.functions.text import col
@@ -99,7 +101,42 @@ def top_k(queries: DataFrame, candidates: DataFrame, query: str, text: str, quer
 
 
 def fact_recall(queries: DataFrame, texts: DataFrame, on: str, terms: str, text: str, query_id: str) -> DataFrame:
-    """(query_id, n_expected, n_found, recall): expected terms that some text of the key holds."""
-    each = queries.select(query_id, on, F.explode(F.array_distinct(F.col(terms))).alias("term"))
-    found = each.join(texts.select(on, F.col(text).alias("_text")), on, "left").groupBy(query_id, "term").agg(F.max(F.coalesce(F.contains(F.lower("_text"), F.lower("term")), F.lit(False)).cast("int")).alias("found"))
+    """(query_id, n_expected, n_found, recall): expected terms that some text of the key holds; null terms are none.
+
+    The distinct terms of the query set go to all tasks (in blocks of ``TERMS``, the texts are read once for each); a task looks in a text
+    only for terms of its key that it hasn't met yet, and returns each once, so no query is joined with a text.
+    """
+    each = queries.select(query_id, on, F.explode(F.array_distinct(F.array_compact(F.col(terms)))).alias("term")).withColumn("_low", F.lower("term"))
+    asked = each.where(F.col(on).isNotNull()).select(on, "_low").distinct().orderBy(on, "_low").collect()
+    read = texts.where(F.col(on).isNotNull() & F.col(text).isNotNull()).select(on, F.lower(F.col(text)).alias("_text"))
+    schema = read.select(on).schema.add("_low", "string")
+    held = [read.mapInArrow(_first_met([(r[on], r["_low"]) for r in asked[a : a + TERMS]], on, to_arrow_schema(schema)), schema) for a in range(0, len(asked), TERMS)]
+    met = reduce(DataFrame.unionByName, held, texts.sparkSession.createDataFrame([], schema)).distinct().withColumn("_met", F.lit(1))
+    found = each.join(met, [on, "_low"], "left").groupBy(query_id, "term").agg(F.max(F.coalesce("_met", F.lit(0))).alias("found"))
     return found.groupBy(query_id).agg(F.count("*").alias("n_expected"), F.sum("found").cast("bigint").alias("n_found"), F.round(F.avg("found"), 4).alias("recall"))
+
+
+def _first_met(asked: list[tuple[object, str]], on: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that gives the pairs (key, term) of ``asked`` whose term some text of the key holds, each once."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        missing: dict[object, set[str]] = {}
+        for key, term in asked:
+            missing.setdefault(key, set()).add(term)
+        search = {key: (automaton(list(left)), len(left)) for key, left in missing.items()}
+        for b in slices(batches, "_text"):
+            out = []
+            for key, x in zip(b.column(on).to_pylist(), b.column("_text").to_pylist()):
+                left = missing.get(key)
+                if not left:
+                    continue
+                here = search[key][0](x) & left
+                here |= left & {""}
+                left -= here
+                out += [(key, t) for t in here]
+                # what was met isn't looked for again
+                if here and 2 * len(left) <= search[key][1]:
+                    search[key] = automaton(list(left)), len(left)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return find

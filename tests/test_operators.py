@@ -176,6 +176,20 @@ def test_parent_score(spark):
     assert got[4, 1][0] == round((0.3 * (1 - 350 / 400) + 0.0) / 2, 6) and got[4, 2][1] == 1 and got[4, 3] == (0.1125, 2) and len(got) == 5
 
 
+def test_fact_recall(spark):
+    q = spark.createDataFrame(
+        [(1, "en", ["Fee", "fee", "old fee", "x", None, "fee"]), (2, "de", ["fee"]), (3, None, ["fee", ""]), (4, "en", [""]), (4, "fr", ["", "FEE"]), (5, "en", [None]), (6, "en", None), (7, "en", [])],
+        "id int, lang string, terms array<string>",
+    )
+    t = spark.createDataFrame([("en", "the FEE of x"), ("en", None), ("de", "no charge"), (None, "fee"), ("fr", "the old fee"), ("EN", "old fee")], "lang string, text string")
+    found = retrieval.fact_recall(q, t, "lang", "terms", "text", "id")
+    want = [(1, 4, 3, 0.75), (2, 1, 0, 0.0), (3, 2, 0, 0.0), (4, 2, 2, 1.0)]
+    assert sorted(map(tuple, found.collect())) == want
+    # no text takes part in a join
+    assert all("_text" not in line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line or "Exchange" in line)
+    assert sorted(map(tuple, retrieval.fact_recall(q, t.limit(0), "lang", "terms", "text", "id").collect())) == [(k, n, 0, 0.0) for k, n, *_ in want]
+
+
 def test_retrieval(spark):
     q = spark.createDataFrame([(1, "Where is form_12 a?", "x"), (2, "流程圖 說明", "x"), (3, None, "x")], "id int, query string, k string")
     assert [r["t"] for r in q.select(retrieval.query_terms("query").alias("t")).collect()] == [sorted(["where", "is", "form_12", "a", "a?"]), sorted(["流程圖", "說明", "flowchart", "chart", "diagram"]), None]
